@@ -2,7 +2,7 @@
 
 Each packing task keeps a fixed number of open bins, listed by free space under a bitset (one bit per free amount). A
 piece goes to the open bin with the least free space that still takes it; if none does, a bin is opened, and when that
-is one too many, the fullest open bin closes. Pieces are met largest first within blocks of a shuffled partition.
+is one too many, the fullest open bin closes. Within each block of a shuffled partition the largest pieces come first.
 
 Defined results: null text is the empty text and gives one piece of the end id alone; a document of more than
 `capacity` ids is cut so that all pieces but the first are full; repeated rows are packed as often as they occur; an
@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import table
 from .tokens import encoder
 
 CAPACITY, END_ID, OPEN_BINS = 1024, 2, 4096
+#: Pieces that a task holds and sorts at a time; the open bins go on from block to block.
+BLOCK_PIECES = 8_192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -89,21 +92,36 @@ class BestFit:
         return b, self.capacity - free
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, vocabulary: str | None = None) -> DataFrame:
+def blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of about `rows` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, block_pieces: int = BLOCK_PIECES, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents with the sequence and offset each is placed at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            placed = [fit.put(n) for n in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                [*batch.schema.names, "sequence_id", "offset"])
+        for block in blocks(batches, block_pieces):
+            lengths = block.column("length").to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            placed = np.empty((2, len(order)), dtype="int64")
+            for i, n in zip(order.tolist(), lengths[order].tolist()):
+                placed[:, i] = fit.put(n)
+            block = block.append_column("sequence_id", pa.array(placed[0] + base)).append_column("offset", pa.array(placed[1]))
+            yield from block.combine_chunks().to_batches()
 
     dealt = pieces(docs, id_col, text_col, capacity, end_id, vocabulary).repartition("doc_id", "piece")
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
+    return dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
