@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int = 4 << 20):
     col = batch.column(column)
     if len(col) == 0:
         return
-    sizes = np.asarray(pa.compute.binary_length(col).fill_null(0)).astype("int64")
+    sizes = np.asarray(pc.binary_length(col).fill_null(0)).astype("int64")
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:
