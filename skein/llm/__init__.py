@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing", "ngram_join", "exact_dedup"]
+_MODULES = ["packing", "ngram_join", "telephony", "exact_dedup"]
 
 
 def queries() -> dict:
