@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing", "langid", "ngram_join", "telephony", "quality", "html_text", "exact_dedup"]
+_MODULES = ["packing", "langid", "mixing", "ngram_join", "telephony", "quality", "html_text", "exact_dedup"]
 
 
 def queries() -> dict:
