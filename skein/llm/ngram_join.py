@@ -7,8 +7,8 @@ points, at most the same sum with the node's greatest counts. Pairs that survive
 1. Texts of equal sets become one node (their class); only classes go on.
 2. Any two sets that link share a shingle among the first n - ceil(t n) + 1 of either under one fixed order. The order puts
    shingles found often last, so few unrelated texts meet; it is fitted on all texts and any order gives the same links.
-3. Classes that share such a shingle form a group; equal groups are kept once. Each class is first verified against its
-   group's first class, so that large groups of near copies join by a number of checks in proportion to their size.
+3. Classes that share such a shingle form a group; equal groups are kept once. Each class is first bounded and verified
+   against its group's first class, so that large groups of near copies join by checks in proportion to their size.
 4. Groups that still hold several components are searched through the R-tree, in cells of bounded size, for pairs of
    different components; survivors are verified, and components are taken over all links.
 
@@ -32,7 +32,7 @@ from .components import components
 from .shingles import shingle_sets, text_buffers
 
 #: Count-vector dimensions.
-GROUPS = 64
+GROUPS = 256
 #: Shingles put last in the order: at most this many, each seen this often within some block of one task.
 COMMON_SHINGLES, COMMON_LEAST = 65_536, 4
 COMMON_BLOCK = 1 << 21
@@ -107,7 +107,7 @@ def classes(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
                     place[hit] = top | rank[i[hit]]
                 p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                 keys.append((s[np.argpartition(place, p - 1)[:p]] if p < len(s) else s).view("int64"))
-                vec.append(np.bincount((s & np.uint64(GROUPS - 1)).astype("int64"), minlength=GROUPS).astype("<u4").tobytes() if len(s) else b"")
+                vec.append(packed(np.bincount((s & np.uint64(GROUPS - 1)).astype("int64"), minlength=GROUPS)) if len(s) else b"")
             lengths = np.array([0, *map(len, keys)], dtype="int64").cumsum().astype("int32")
             flat = np.concatenate(keys) if keys else np.zeros(0, "int64")
             yield pa.RecordBatch.from_arrays(
@@ -117,61 +117,96 @@ def classes(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
     return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, vec binary")
 
 
+def packed(v: np.ndarray) -> bytes:
+    return v.astype("<u2" if v.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """A matrix of count vectors, in the narrowest integers that hold them."""
+    short = 2 * GROUPS
+    if all(len(r) == short for r in rows):
+        m = np.frombuffer(b"".join(rows), dtype="<u2").reshape(-1, GROUPS)
+        return m.astype("uint8") if len(m) and m.max() < 256 else m
+    return np.stack([np.frombuffer(r, dtype="<u2" if len(r) == short else "<u4").astype("uint32") for r in rows])
+
+
+def overlap_bound(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.minimum(u, v).sum(axis=-1, dtype="int64")
+
+
 class CountTree:
     """R-tree over count vectors: points sorted by size, then tiled by their most varied coordinates, FANOUT to a node."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
+        self.percent = percent
         wide = np.argsort(-points.var(axis=0))[:2]
         strip = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (FANOUT * FANOUT)
-        slab = points[:, wide[0]] // max(1, int(points[:, wide[0]].std()) or 1)
+        slab = points[:, wide[0]] // max(1, int(points[:, wide[0]].std()))
         self.order = np.lexsort((points[:, wide[1]], slab, strip))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), FANOUT)
-        self.high = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
-        up = np.arange(0, len(cuts), FANOUT)
-        self.high2 = np.maximum.reduceat(self.high, up, axis=0)
-        self.least2, self.most2 = np.minimum.reduceat(self.least, up), np.maximum.reduceat(self.most, up)
-
-    def near(self, q: np.ndarray, n: int, percent: int) -> np.ndarray:
+        level = (points[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [level]
+        while len(level[1]) > FANOUT:
+            cuts = np.arange(0, len(level[1]), FANOUT)
+            level = (np.maximum.reduceat(level[0], cuts, axis=0), np.minimum.reduceat(level[1], cuts), np.maximum.reduceat(level[2], cuts))
+            self.levels.append(level)
+
+    def near(self, q: np.ndarray, n: int) -> np.ndarray:
         """Indices of the points whose set may link with one of n shingles counted by q."""
-
-        def may(high: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-            ok = (100 * least <= (10_000 * n) // percent) & (100 * most >= percent * n)
-            rows = np.flatnonzero(ok)
-            over = np.minimum(high[rows], q).sum(axis=1)
-            return rows[(100 + percent) * over >= percent * (n + np.maximum(least[rows], needed(n, percent)))]
-
-        at = may(self.high2, self.least2, self.most2)
-        at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        at = at[at < len(self.high)]
-        at = at[may(self.high[at], self.least[at], self.most[at])]
-        at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        at = at[at < len(self.sizes)]
-        return self.order[at[may(self.points[at], self.sizes[at], self.sizes[at])]]
+        at = np.arange(len(self.levels[-1][1]))
+        for depth, (high, least, most) in enumerate(reversed(self.levels)):
+            if depth:
+                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                at = at[at < len(least)]
+            at = at[(self.percent * least[at] <= 100 * n) & (100 * most[at] >= self.percent * n)]
+            over = overlap_bound(high[at], q)
+            at = at[(100 + self.percent) * over >= self.percent * (n + np.maximum(least[at], needed(n, self.percent)))]
+        return self.order[at]
 
 
 def search_cells(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that survive the bound; cells: cell columns, side, rep, component, n, vec."""
+    """Pairs (a, b) of different components that survive the bound, each in the first group that its ends share."""
 
     def run(t: pa.Table) -> pa.Table:
         rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        left, right = t.column("as_query").to_numpy(zero_copy_only=False), t.column("as_point").to_numpy(zero_copy_only=False)
-        points = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype="<u4").reshape(len(rep), GROUPS).astype("int64")
-        inside = np.flatnonzero(right)
-        out: list[np.ndarray] = []
-        if len(inside):
-            tree = CountTree(points[inside], n[inside])
-            for i in np.flatnonzero(left):
-                j = inside[tree.near(points[i], int(n[i]), percent)]
-                j = j[comp[j] != comp[i]]
-                out.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
-        got = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), "int64")
-        return pa.table({"a": got[0], "b": got[1]})
+        left, right = (np.flatnonzero(t.column(c).to_numpy()) for c in ("as_query", "as_point"))
+        key, keys = t.column("gkey")[0].as_py(), [frozenset(k) for k in t.column("gkeys").to_pylist()]
+        points = unpacked(t.column("vec").to_pylist())
+        out: set[tuple[int, int]] = set()
+
+        def add(i: int, near: np.ndarray) -> None:
+            for j in near[comp[near] != comp[i]].tolist():
+                if min(keys[i] & keys[j]) == key:
+                    out.add((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+
+        if len(right) <= FANOUT:  # the tree is its one node
+            for i in left:
+                over = overlap_bound(points[right], points[i])
+                add(i, right[(100 + percent) * over >= percent * (n[i] + n[right])])
+        else:
+            tree = CountTree(points[right], n[right], percent)
+            for i in left:
+                add(i, right[tree.near(points[i], int(n[i]))])
+        got = np.array(sorted(out), dtype="int64").reshape(-1, 2)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
     return cells.groupBy("gkey", "ci", "cj").applyInArrow(run, "a long, b long")
 
 
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the bound of their two points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            u, v = (unpacked(batch.column(c).to_pylist()) for c in ("va", "vb"))
+            over = overlap_bound(u, v)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * over >= percent * (m + n)))
+
+    for end in "ab":
+        pairs = pairs.join(points.select(F.col("rep").alias(end), F.col("n_shingles").alias("n" + end), F.col("vec").alias("v" + end)), end)
+    return pairs.where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
 
@@ -193,8 +228,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, s): the whole sets of the texts whose id and digest are in ids (a materialised table: rep, digest)."""
+def sets_of(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(rep, s): the whole sets of the ends of pairs, read from the texts again."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ids = materialise(ends.join(reps.select("rep", "digest"), "rep"), "near-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +240,7 @@ def sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["rep", "s"]).filter(pa.array(same, pa.bool_()))
 
     kept = texts.join(small(ids.withColumnRenamed("rep", "doc_id"), 48), "doc_id").select("doc_id", "text", "digest")
-    return kept.mapInArrow(run, "rep long, s binary")
+    return materialise(kept.mapInArrow(run, "rep long, s binary"), "near-sets")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -219,22 +256,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = materialise(groups.groupBy("c", "x", "y", "lo", "hi").agg(F.min("gkey").alias("gkey")), "near-groups")
     several = materialise(groups.where("c > 2").select("gkey", "c", "lo"), "near-several")
     members = materialise(shared.join(small(several, 32), "gkey"), "near-members")
-    first = materialise(groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))).distinct(), "near-first")
-
-    ids = materialise(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep"), "near-ids")
-    sets = materialise(sets_of(texts, ids, k), "near-sets")
-    links = materialise(verified(first, sets, percent), "near-links")
+    points = reps.select("rep", "n_shingles", "vec")
+    first = groups.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))
+    first = materialise(bounded(first.distinct(), points, percent), "near-first")
+    links = materialise(verified(first, sets_of(texts, reps, first, k), percent), "near-links")
     label = components(links)
 
     # Groups of several components, in cells of two chunks of one group (by size, so that far sizes never meet).
     held = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("gkey", "c", "rep", F.coalesce("component", "rep").alias("component"))
     split = held.groupBy("gkey").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l != m").select("gkey")
-    points = reps.select("rep", "n_shingles", "vec")
-    open_rows = materialise(held.join(split, "gkey", "left_semi").join(points, "rep"), "near-open")
+    listed = members.groupBy("rep").agg(F.collect_list("gkey").alias("gkeys"))  # as many as a text's keys at most
+    open_rows = materialise(held.join(split, "gkey", "left_semi").join(points.join(listed, "rep"), "rep"), "near-open")
     if not open_rows.isEmpty():
-        more = materialise(search_cells(cells_of(open_rows, percent), percent).distinct().join(first, ["a", "b"], "left_anti"), "near-more")
+        more = materialise(search_cells(cells_of(open_rows, percent), percent).join(first, ["a", "b"], "left_anti").distinct(), "near-more")
         if not more.isEmpty():
-            links = materialise(links.union(verified(more, sets, percent)), "near-links")
+            links = materialise(links.union(verified(more, sets_of(texts, reps, more, k), percent)), "near-links")
             label = components(links)
 
     ends = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -246,7 +282,8 @@ def cells_of(rows: DataFrame, percent: int) -> DataFrame:
     from pyspark.sql import Window
 
     yes = F.lit(True)
-    one = rows.where(F.col("c") <= CHUNK).withColumns({"ci": F.lit(0), "cj": F.lit(0), "as_query": yes, "as_point": yes})
+    keep = ["gkey", "gkeys", "rep", "component", "n_shingles", "vec", "ci", "cj", "as_query", "as_point"]
+    one = rows.where(F.col("c") <= CHUNK).withColumns({"ci": F.lit(""), "cj": F.lit(""), "as_query": yes, "as_point": yes}).select(keep)
     big = rows.where(F.col("c") > CHUNK)
     if big.isEmpty():
         return one
@@ -262,8 +299,7 @@ def cells_of(rows: DataFrame, percent: int) -> DataFrame:
     pairs = i.join(j, "gkey").where(f"ci <= cj and 100 * ai <= 10000 * zj / {percent} and 100 * aj <= 10000 * zi / {percent}").select("gkey", "ci", "cj")
     sides = pairs.select("gkey", "ci", "cj", F.col("ci").alias("chunk")).union(pairs.select("gkey", "ci", "cj", F.col("cj").alias("chunk"))).distinct()
     dealt = cut.join(sides, ["gkey", "chunk"]).withColumns({"as_query": F.col("chunk") == F.col("ci"), "as_point": F.col("chunk") == F.col("cj")})
-    keep = ["gkey", "c", "rep", "component", "n_shingles", "vec", "ci", "cj", "as_query", "as_point"]
-    return one.withColumns({"ci": F.lit(""), "cj": F.lit("")}).select(keep).union(dealt.select(keep))
+    return one.union(dealt.select(keep))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
