@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_PLANS = ["retrieval", "documents"]
+_PLANS = ["retrieval", "documents", "web", "sync", "store", "scope", "memory"]
 
 
 def _plans() -> list:

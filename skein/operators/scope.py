@@ -1,0 +1,87 @@
+"""Workspaces, sources, permissions and entitlements."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+MODES = ("strict", "hybrid", "proactive")
+RANKS = {"viewer": 1, "analyst": 2, "admin": 3}
+
+
+def resolve_workspace(asked: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """asked: x; workspaces: id, workspace_id, name. By id or name without case, else `ws_<n>` by number; null if none."""
+    w = workspaces.alias("w")
+    by = (F.col("w.workspace_id") == F.col("x")) | (F.lower("w.name") == F.lower("x"))
+    number = F.regexp_extract("x", r"^ws_(\d+)$", 1)
+    either = by | ((number != "") & (F.col("w.id").cast("string") == number))
+    hits = asked.join(F.broadcast(w), either, "left").withColumn("_by", F.coalesce(by.cast("int"), F.lit(0)))
+    best = Window.partitionBy("x").orderBy(F.desc("_by"), "id")
+    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("x", F.col("name").alias("workspace"))
+
+
+def grounding_mode(own: Column, shared: Column) -> Column:
+    valid = lambda c: F.when(F.lower(c).isin(*MODES), F.lower(c))
+    return F.coalesce(valid(own), valid(shared), F.lit("strict"))
+
+
+def allowed(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """tokens: token, role, allowed (array); asked: token, workspace_id, name, role. Whether each request may pass."""
+    level = lambda c: sum((F.when(c == r, n).otherwise(0) for r, n in RANKS.items()), F.lit(0))
+    t = tokens.select("token", F.col("role").alias("_role"), F.transform("allowed", lambda x: F.lower(x)).alias("_allowed"))
+    ok_role = level(F.col("_role")) >= level(F.col("role"))
+    ok_scope = F.array_contains("_allowed", "*") | F.array_contains("_allowed", F.lower("workspace_id")) | F.array_contains("_allowed", F.lower("name"))
+    j = asked.join(t, "token", "left")
+    return j.withColumn("allowed", F.coalesce((F.col("_role") == "admin") | (ok_role & ok_scope), F.lit(False))).drop("_role", "_allowed")
+
+
+def live_names(users: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """users: user, allowed (array of ids or names). The list with ids replaced by names, in its order, each name once."""
+    items = users.select("user", F.posexplode("allowed").alias("pos", "item"))
+    named = items.join(workspaces.select(F.col("workspace_id").alias("item"), "name"), "item", "left")
+    listed = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("name", "item").alias("n"))))  # one user's list
+    return named.groupBy("user").agg(F.array_distinct(F.transform(listed, lambda x: x["n"])).alias("allowed"))
+
+
+def unified_sources(folders: DataFrame, web: DataFrame, drives: DataFrame, links: DataFrame) -> DataFrame:
+    """All sources of workspaces in one shape, families in a fixed order."""
+    parts = []
+    for n, (kind, df) in enumerate((("folder", folders), ("web", web), ("cloud_drive", drives), ("link", links))):
+        details = df.details if "details" in df.columns else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        parts.append(df.select("workspace", F.lit(n).alias("family"), F.lit(kind).alias("type"), "identifier", F.coalesce(F.nullif("title", F.lit("")), "identifier").alias("title"), details.alias("details")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def library_sources(sources: DataFrame, libraries: list[str]) -> DataFrame:
+    """The first of each (type, identifier) among the library workspaces, in their order, links left out."""
+    rank = F.array_position(F.array(*map(F.lit, libraries)), F.col("workspace"))
+    kept = sources.where(F.col("workspace").isin(*libraries) & (F.col("type") != "link"))
+    w = Window.partitionBy("type", "identifier").orderBy(rank, "title")
+    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def accept_invites(invites: DataFrame, uses: DataFrame) -> DataFrame:
+    """invites: code, max_uses, current_uses, is_active; uses: code, user. State after all uses that still fit; 0 uses is no limit."""
+    n = uses.groupBy("code").agg(F.countDistinct("user").alias("n"))
+    j = invites.join(n, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    room = F.when(F.col("max_uses") == 0, F.col("n")).otherwise(F.greatest(F.col("max_uses") - F.col("current_uses"), F.lit(0)))
+    taken = F.when(F.col("is_active"), F.least("n", room)).otherwise(0)
+    used = F.col("current_uses") + taken
+    return j.select("code", used.cast("long").alias("current_uses"), (F.col("is_active") & ((F.col("max_uses") == 0) | (used < F.col("max_uses")))).alias("is_active"))
+
+
+def access(level: Column, user: Column) -> Column:
+    """Struct of what a user may do with a shared workspace; level: viewer, editor, owner or null."""
+    owner = F.coalesce(user, F.lit("")).isin("", "admin", "local_owner")
+    lv = F.when(owner, "owner").otherwise(level)
+    return F.struct(lv.alias("level"), lv.isNotNull().alias("may_chat"), F.coalesce(lv.isin("owner", "editor"), F.lit(False)).alias("may_add"))
+
+
+def entitled(asked: DataFrame, tiers: DataFrame) -> DataFrame:
+    """asked: tier, source_type, n_workspaces; tiers: tier, source_types (array), max_workspaces (0: no limit)."""
+    j = asked.join(F.broadcast(tiers), "tier", "left")
+    return j.select(*asked.columns, F.coalesce(F.array_contains("source_types", F.col("source_type")), F.lit(False)).alias("may_use_source"),
+                    F.coalesce((F.col("max_workspaces") == 0) | (F.col("n_workspaces") < F.col("max_workspaces")), F.lit(False)).alias("may_add_workspace"))
