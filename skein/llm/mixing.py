@@ -30,7 +30,7 @@ BUCKETS, MARKERS, LEAST_Z = 1 << 16, 256, 12.0
 LABELLED_ROWS = 6000
 #: Token shares wanted for each domain, and the greatest rate of a document.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
-MAX_RATE, STEPS, TOLERANCE = 4.0, 12, 1e-4
+MAX_RATE, STEPS, TOLERANCE, PROTECT = 4.0, 12, 1e-4, 0.1
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -40,20 +40,20 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,;:!?()\"]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
-def marks(text: Column, w: Column) -> Column:
-    """The words w of text, and words that stand for its shape: symbols a word, capitals and repetition, on coarse scales."""
-    t = F.coalesce(text, F.lit(""))
+def marks(w: Column) -> Column:
+    """The words w of a text, and words that stand for its shape: symbols at words' ends and repetition, on coarse scales."""
     n = F.greatest(F.size(w), F.lit(1))
-    scale = lambda x: F.floor(F.least(x, F.lit(1.0)) * 8).cast("string")
-    shape = [("s", F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:?()'\"+@-]")) / n), ("u", F.regexp_count(t, F.lit(r"\p{Lu}")) / F.greatest(F.length(t), F.lit(1))), ("d", F.size(F.array_distinct(w)) / n)]
-    return F.concat(w, F.array(*(F.concat(F.lit(f"\x01{k}"), scale(x)) for k, x in shape)))
+    scale = lambda k, x: F.concat(F.lit(f"\x01{k}"), F.floor(x / n * 8).cast("string"))
+    symbols = F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(*"&%$#*!|=<>~^")))
+    return F.concat(w, F.array(scale("s", symbols), scale("d", F.size(F.array_distinct(w)))))
 
 
 def bucket(w: Column) -> Column:
-    return F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    """The hash bucket of a word without the punctuation it ends with."""
+    return F.xxhash64(F.rtrim(w, F.lit(".,;:!?)\"\n"))).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 @dataclass
@@ -72,7 +72,7 @@ class Classifier:
         literal = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs or [0]))), ",").cast(f"array<{kind}>")
         slots = literal(self.slots, "int")
         out = docs.withColumn("_w", words(F.col(text_col)))
-        hit = F.array_distinct(F.filter(F.transform(marks(F.col(text_col), F.col("_w")), lambda w: F.element_at(slots, bucket(w) + 1)), lambda s: s > 0))
+        hit = F.array_distinct(F.filter(F.transform(marks(F.col("_w")), lambda w: F.element_at(slots, bucket(w) + 1)), lambda s: s > 0))
         out = out.withColumns({"_h": hit, "_n": F.size("_w").cast("long")})
         ratios = [literal(w, "double") for w in self.weights]
         score = [F.aggregate("_h", F.lit(math.log(p)), (lambda r: lambda a, s: a + F.element_at(r, s))(r)) for r, p in zip(ratios, self.prior)]
@@ -90,7 +90,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_RO
     known = labelled.where(F.col("domain").isNotNull())
     share = int(1_000_000 * min(1.0, 1.2 * rows / max(1, known.count())))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.min("domain").alias("domain")).limit(2 * rows)
-    seen = docs.join(F.broadcast(chosen), "doc_id").select("domain", F.array_distinct(F.transform(marks(F.col("text"), words(F.col("text"))), bucket)).alias("b"))
+    seen = docs.join(F.broadcast(chosen), "doc_id").select("domain", words(F.col("text")).alias("w")).select("domain", F.array_distinct(F.transform(marks(F.col("w")), bucket)).alias("b"))
     # per bucket and domain, bounded by their number; bucket -1 counts the rows
     counts = seen.select("domain", F.explode(F.array_append("b", F.lit(-1))).alias("bucket")).groupBy("bucket", "domain").agg(F.count("*").alias("n"))
     per_bucket = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("n"), F.sum("n").alias("all"))
@@ -113,17 +113,18 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_RO
 
 @dataclass
 class Rates:
-    """Rates as made by a sequence of projected steps; floors: least rate of documents by their likeliest domain."""
+    """Rates as made by a sequence of projected steps."""
 
     domains: list[str]
-    floors: list[float]
+    floors: list[float]  # least rate of documents that are of a domain with probability PROTECT at least
     most: float
     steps: list[list[float]] = field(default_factory=list)
 
-    def column(self, p: Column, domain: Column, steps: list[list[float]] | None = None, start: Column | None = None) -> Column:
-        low = F.element_at(F.array(*map(F.lit, self.floors)), domain)
-        r = F.lit(1.0) if start is None else start
-        for e in self.steps if steps is None else steps:
+    def column(self, p: Column) -> Column:
+        kept = [F.when(p[d] >= PROTECT, F.lit(f)).otherwise(F.lit(0.0)) for d, f in enumerate(self.floors) if f]
+        low = F.greatest(F.lit(0.0), *kept) if kept else F.lit(0.0)
+        r = F.lit(1.0)
+        for e in self.steps:
             move = sum((p[d] * F.lit(e[d]) for d in range(1, len(e))), p[0] * F.lit(e[0]))
             r = F.least(F.greatest(r - move, low), F.lit(self.most))
         return r
@@ -149,7 +150,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], fl
 
     def totals() -> tuple[np.ndarray, np.ndarray]:
         """Domain totals under the rates so far, and the Gram matrix of the posteriors of documents off their bounds."""
-        r = post.select(F.col("n_tokens").alias("t"), "p", "domain", rates.column(F.col("p"), F.col("domain")).alias("r"))
+        r = post.select(F.col("n_tokens").alias("t"), "p", rates.column(F.col("p")).alias("r"))
         row = r.withColumn("free", (F.col("r") > 0) & (F.col("r") < most)).agg(*sums, *gram).first()
         got = np.array([float(x or 0.0) for x in row])
         return got[: len(k)], got[len(k) :].reshape(len(k), len(k))
@@ -192,7 +193,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     post = materialise(with_posteriors(docs, model), "mix-posteriors")
     rates = fit_rates(post, model.domains, targets or TARGETS, floors)
     names = F.array(*map(F.lit, model.domains))
-    out = post.withColumn("rate", rates.column(F.col("p"), F.col("domain")))
+    out = post.withColumn("rate", rates.column(F.col("p")))
     return out.select("doc_id", "n_tokens", F.element_at(names, F.col("domain")).alias("domain"), F.map_from_arrays(names, "p").alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
@@ -205,7 +206,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floors:
     rates = fit_rates(post, model.domains, targets, floors, keep=keep)
     names = {c: f"_own{i}" for i, c in enumerate(docs.columns)}  # the caller's columns, out of the way of ours
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    scored = model.add_posterior(own, names["text"]).withColumn("_r", rates.column(F.col("_p"), F.col("_d")))
+    scored = model.add_posterior(own, names["text"]).withColumn("_r", rates.column(F.col("_p")))
     dealt = scored.withColumn("_c", copies(F.col("_r"), F.col(names["doc_id"]))).where("_c > 0")
     return dealt.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*(F.col(n).alias(c) for c, n in names.items()))
 
