@@ -1,7 +1,7 @@
 """Operator 4, mixing sources to target weights by soft membership. DataFrame functions only.
 
-A classifier fitted on a labelled table gives every document a posterior over domains: naive Bayes over the presence of
-hashed words and of marks of a text's shape, kept to the buckets that tell the domains apart best. Rates, nonnegative and one for each document, start at 1 and
+A classifier fitted on a labelled table gives every document a posterior over domains: softmax regression on the presence
+of hashed words and of marks of a text's shape, kept to the buckets that tell the domains apart best. Rates, nonnegative and one for each document, start at 1 and
 follow the projected gradient of the squared distance between the expected domain token totals and their targets, scaled
 by the curvature between domains. A step moves a document by the dot product of its posterior with one vector over the
 domains, so a step needs only one distributed sum for each domain and pair of domains, and the rate of any document is a
@@ -15,7 +15,6 @@ and kept by `mix`; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Hash buckets for words, and how many of them at most make up the classifier.
-BUCKETS, MARKERS, LEAST_Z = 1 << 16, 256, 12.0
+BUCKETS, MARKERS, LEAST_Z = 1 << 16, 256, 6.0
 #: Labelled rows a fit may read.
 LABELLED_ROWS = 6000
 #: Token shares wanted for each domain, and the greatest rate of a document.
@@ -60,8 +59,8 @@ def bucket(w: Column) -> Column:
 class Classifier:
     domains: list[str]
     slots: list[int]  # of each bucket: its marker's number from 1, or 0
-    weights: list[list[float]]  # of each domain: log likelihood ratio of each marker
-    prior: list[float]
+    weights: list[list[float]]  # of each domain: the weight of each marker
+    bias: list[float]
 
     def add_posterior(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with _n (words), _p (array of the domains' probabilities) and _d (the likeliest one's place from 1).
@@ -75,7 +74,7 @@ class Classifier:
         hit = F.array_distinct(F.filter(F.transform(marks(F.col("_w")), lambda w: F.element_at(slots, bucket(w) + 1)), lambda s: s > 0))
         out = out.withColumns({"_h": hit, "_n": F.size("_w").cast("long")})
         ratios = [literal(w, "double") for w in self.weights]
-        score = [F.aggregate("_h", F.lit(math.log(p)), (lambda r: lambda a, s: a + F.element_at(r, s))(r)) for r, p in zip(ratios, self.prior)]
+        score = [F.aggregate("_h", F.lit(float(b)), (lambda r: lambda a, s: a + F.element_at(r, s))(r)) for r, b in zip(ratios, self.bias)]
         out = out.withColumns({f"_s{d}": score[d] for d in k})
         top = F.greatest(*(F.col(f"_s{d}") for d in k)) if len(k) > 1 else F.col("_s0")
         out = out.withColumns({f"_e{d}": F.exp(F.greatest(F.col(f"_s{d}") - top, F.lit(-60.0))) for d in k})
@@ -91,24 +90,43 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_RO
     share = int(1_000_000 * min(1.0, 1.2 * rows / max(1, known.count())))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.min("domain").alias("domain")).limit(2 * rows)
     seen = docs.join(F.broadcast(chosen), "doc_id").select("domain", words(F.col("text")).alias("w")).select("domain", F.array_distinct(F.transform(marks(F.col("w")), bucket)).alias("b"))
-    # per bucket and domain, bounded by their number; bucket -1 counts the rows
-    counts = seen.select("domain", F.explode(F.array_append("b", F.lit(-1))).alias("bucket")).groupBy("bucket", "domain").agg(F.count("*").alias("n"))
-    per_bucket = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("n"), F.sum("n").alias("all"))
-    total = per_bucket.where("bucket = -1").select("n").first()
-    if total is None:
+    seen = materialise(seen, "mix-labelled")
+    size = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
+    if not size:
         return None
-    size = dict(sorted(total["n"].items()))
     rows_seen = sum(size.values())
-    p = (F.col("all") + 0.5) / F.lit(rows_seen + 1.0)
-    n = {d: F.coalesce(F.element_at("n", F.lit(d)), F.lit(0)) for d in size}
+    # per bucket and domain, bounded by their number
+    per_bucket = seen.select("domain", F.explode("b").alias("bucket")).groupBy("bucket").pivot("domain", list(size)).count()
+    n = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in size}
+    p = (sum(n.values(), F.lit(0.5))) / F.lit(rows_seen + 1.0)
     z = [F.abs(n[d] - F.lit(k) * p) / F.sqrt(F.lit(k) * p * (1 - p) + 1) for d, k in size.items()]
-    likely = [F.log(((n[d] + 2 * p) / F.lit(k + 2.0)) / p) for d, k in size.items()]
     best = F.greatest(*z) if len(z) > 1 else z[0]
-    markers = per_bucket.where("bucket >= 0").select("bucket", best.alias("z"), F.array(*likely).alias("w")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MARKERS).collect()
+    markers = per_bucket.select("bucket", best.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MARKERS).collect()
     slots = [0] * BUCKETS
     for i, m in enumerate(markers, 1):
         slots[m["bucket"]] = i
-    return Classifier(list(size), slots, [[m["w"][d] for m in markers] for d in range(len(size))], [k / rows_seen for k in size.values()])
+    held = F.array(*(F.lit(m["bucket"]) for m in markers)) if markers else F.array().cast("array<int>")
+    hits = seen.select("domain", F.array_intersect("b", held).alias("h")).groupBy("domain", F.sort_array("h").alias("h")).agg(F.count("*").alias("n")).orderBy("domain", "h").collect()
+    x = np.zeros((len(hits), len(markers) + 1))
+    for i, r in enumerate(hits):
+        x[i, [slots[b] - 1 for b in r["h"]]] = 1
+    x[:, -1] = 1
+    w = softmax_regression(x, np.array([list(size).index(r["domain"]) for r in hits]), np.array([r["n"] for r in hits], dtype="float64"), len(size))
+    return Classifier(list(size), slots, w[:-1].T.tolist(), w[-1].tolist())
+
+
+def softmax_regression(x: np.ndarray, y: np.ndarray, n: np.ndarray, k: int, steps: int = 1500) -> np.ndarray:
+    """Weights of features by classes for rows that occur n times each, by gradient steps with adaptive rates."""
+    w, m, v = (np.zeros((x.shape[1], k)) for _ in range(3))
+    target, share = np.eye(k)[y], (n / n.sum())[:, None]
+    for t in range(1, steps + 1):
+        z = x @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = x.T @ ((p - target) * share) + 3e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        w -= 0.2 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return w
 
 
 @dataclass
@@ -166,7 +184,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], fl
         if np.abs(gap).max() <= TOLERANCE * budget:
             break
         # the gradient's direction, scaled by the curvature over the documents that can still move
-        move = np.linalg.solve(m + 1e-6 * budget * np.eye(len(k)), gap)
+        move = np.linalg.lstsq(m, gap, rcond=1e-3)[0]
         rates.steps.append(np.clip(move, -most, most).tolist())
         after, m = totals()
         if np.square(after - goal).sum() >= np.square(gap).sum() * (1 - 1e-9):  # no nearer: a shorter step is tried
@@ -189,7 +207,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     """One row per row of docs: doc_id, n_tokens, domain, posterior (by domain name), rate, copies."""
     model = fit_classifier(docs.select("doc_id", "text"), labelled)
     if model is None:
-        model = Classifier(["all"], [0] * BUCKETS, [[]], [1.0])
+        model = Classifier(["all"], [0] * BUCKETS, [[]], [0.0])
     post = materialise(with_posteriors(docs, model), "mix-posteriors")
     rates = fit_rates(post, model.domains, targets or TARGETS, floors)
     names = F.array(*map(F.lit, model.domains))
