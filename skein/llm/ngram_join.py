@@ -34,7 +34,7 @@ from .shingles import shingle_sets, text_buffers
 #: Count-vector dimensions.
 GROUPS = 256
 #: Shingles put last in the order: at most this many, each seen this often within some block of one task.
-COMMON_SHINGLES, COMMON_LEAST = 65_536, 4
+COMMON_SHINGLES, COMMON_LEAST = 262_144, 3
 COMMON_BLOCK = 1 << 21
 #: Classes of a group that one R-tree cell takes from either of its two chunks.
 CHUNK = 1024
@@ -117,17 +117,21 @@ def classes(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
     return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, vec binary")
 
 
+#: Integers of a packed count vector by its length.
+WIDTHS = {GROUPS: "<u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+
+
 def packed(v: np.ndarray) -> bytes:
-    return v.astype("<u2" if v.max() < 1 << 16 else "<u4").tobytes()
+    top = int(v.max())
+    return v.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
-    """A matrix of count vectors, in the narrowest integers that hold them."""
-    short = 2 * GROUPS
-    if all(len(r) == short for r in rows):
-        m = np.frombuffer(b"".join(rows), dtype="<u2").reshape(-1, GROUPS)
-        return m.astype("uint8") if len(m) and m.max() < 256 else m
-    return np.stack([np.frombuffer(r, dtype="<u2" if len(r) == short else "<u4").astype("uint32") for r in rows])
+    """A matrix of count vectors, in the narrowest integers that hold them all."""
+    kinds = {len(r) for r in rows} or {GROUPS}
+    if len(kinds) == 1:
+        return np.frombuffer(b"".join(rows), dtype=WIDTHS[kinds.pop()]).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, dtype=WIDTHS[len(r)]).astype(WIDTHS[max(kinds)]) for r in rows])
 
 
 def overlap_bound(u: np.ndarray, v: np.ndarray) -> np.ndarray:
