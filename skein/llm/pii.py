@@ -36,8 +36,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT, MARK = re.compile("[0-9]"), re.compile("[0-9@]")
-#: Other nodes: groups of digits with the separators of numbers, or one token with a digit or an at sign.
-TOKEN = re.compile(r"\(?\+?[0-9][0-9().\x20-]*[0-9](?![^\s.,;:!?)])|[^\s]*[0-9@][^\s]*")
+#: IP's matches, found without going back over a run of digits: a match starts where its run does.
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: Other nodes: groups of digits with the separators of numbers, or one token. Both read long runs once.
+TOKEN = re.compile(r"\(?\+?(?<![0-9])[0-9]++(?:[().\x20-]{1,3}[0-9]++){0,12}+(?![^\s.,;:!?)])|\S++")
 
 #: Documents that a fit may read, the longest of them (bytes), and nodes it may take from one.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_NODES = 4000, 20_000, 64
@@ -73,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of all base matches, by kind and start."""
     out = [(0, *s) for s in emails(text)]
     if DIGIT.search(text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP_RUN.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 d = m[0].replace(" ", "").replace("-", "")

@@ -109,7 +109,7 @@ def test_long_text_is_read_whole(monkeypatch):
 PATTERNS = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
 TEXTS = [
     "mail a.b@c.de, x@@y.z @q@r.s.t a@b a@b.c@d.e ..@x.y", "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.004 0000000255.1.1.1",
-    "card 4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111", "tel +1 (767) 555-5699 ext, +49 30 123456 +1 2", "+12 345 678 901 4111111111111111", ""]
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111", "tel +1 (767) 555-5699 ext, +49 30 123456 +1 2", "+12 345 678 901 4111111111111111", "", "12.34.5x 1..2.3.4.5 .9.8.7.6. 1.2.3.4x a1.2.3.4"]
 
 
 def brute(text):
@@ -128,6 +128,12 @@ def test_base_spans_equal_the_patterns(spark, sf_dir):
         assert pii.base_spans(t) == brute(t)
 
 
+def test_long_runs_are_read_once():
+    m = pii.fit_rows(np.zeros((2, pii.FEATURES)), np.array([3, pii.NONE]), np.zeros((5, 5)), np.zeros((5, 5)))
+    for t in ("1" * 300_000 + "x", "y" * 300_000 + " 1", "1 " * 100_000 + "1x", "@" * 100_000, "a@" * 50_000, "+1(" * 50_000):
+        pii.find(t, m)
+
+
 def test_the_field_marks_values_that_return(spark):
     m = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
     text = "Call +1 (767) 555-5699 today. Once more: (767) 555-5699 is the number. Room 12 holds 30 people."
