@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small, table
 
 #: Hash buckets for words, and how many of them at most make up the classifier.
 BUCKETS, MARKERS, LEAST_Z = 1 << 16, 256, 6.0
@@ -216,17 +216,18 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floors: dict[str, float], keep: str) -> DataFrame:
-    """docs, each row as often as its copies say; the rate is computed where the text is read, with no join."""
+    """docs, each row as often as its copies say. Only ids whose copies are not 1 are joined; an id that is null or missing there stays as it is, and one of several texts takes the least copies."""
     model = fit_classifier(docs.select("doc_id", "text"), labelled)
     if model is None:
         return docs
     post = materialise(with_posteriors(docs, model), "mix-posteriors")
     rates = fit_rates(post, model.domains, targets, floors, keep=keep)
-    names = {c: f"_own{i}" for i, c in enumerate(docs.columns)}  # the caller's columns, out of the way of ours
-    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    scored = model.add_posterior(own, names["text"]).withColumn("_r", rates.column(F.col("_p")))
-    dealt = scored.withColumn("_c", copies(F.col("_r"), F.col(names["doc_id"]))).where("_c > 0")
-    return dealt.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*(F.col(n).alias(c) for c, n in names.items()))
+    dealt = post.where("doc_id IS NOT NULL").select("doc_id", copies(rates.column(F.col("p")), F.col("doc_id")).alias("n"))
+    other = materialise(dealt.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("n").alias("_mix_n")).where("_mix_n <> 1"), "mix-copies")
+    gone, more = other.where("_mix_n = 0").select("_mix_id"), other.where("_mix_n > 1")
+    kept = docs.join(small(gone, 16), docs["doc_id"] == F.col("_mix_id"), "left_anti")
+    again = docs.join(small(more, 24), docs["doc_id"] == F.col("_mix_id")).withColumn("_mix_i", F.explode(F.sequence(F.lit(2), F.col("_mix_n"))))
+    return kept.unionByName(again.select(*(docs[c] for c in docs.columns)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
