@@ -146,6 +146,15 @@ def test_the_field_marks_values_that_return(spark):
     assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_value_that_returns_fifty_times_is_marked_each_time(spark):
+    m = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    base, later = "Call +1 (767) 555-5699 now.", " Then again {} is what they all said to us on that long day."
+    for v in ("(767) 555-5699", "767 555 5699", "767-555-5699"):
+        for text in (base + later.format(v) * 50, later.format(v) * 50 + " " + base, later.format(v) * 25 + " " + base + later.format(v) * 25):
+            found, added = pii.find(text, m)
+            assert len(found) == 1 and [(pii.KINDS[k], text[s:e]) for k, s, e in added] == [("phone", v)] * 50
+
+
 # ---- 4 mixing
 
 
