@@ -7,10 +7,10 @@ by the curvature between domains. A step moves a document by the dot product of
 domains, so a step needs only one distributed sum for each domain and pair of domains, and the rate of any document is a
 closed expression of its posterior and the few steps made.
 
-Defined results: null text is the empty text, which has no tokens and the prior as its posterior; a null label is no
-label, and of several labels the least domain counts; a domain that no labelled row has is left out and the other targets
-are scaled up; with no labelled rows every rate is 1; repeated rows get equal rates; other columns are ignored by the fit
-and kept by `mix`; an empty table gives an empty result.
+Defined results: tokens are the words between white space of any kind; null text is the empty text, which has no tokens
+and the prior as its posterior; a null label is no label, and of several labels the least domain counts; a domain that no
+labelled row has is left out and the other targets are scaled up; with no labelled rows every rate is 1; repeated rows get
+equal rates; other columns are ignored by the fit and kept by `mix`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ LABELLED_ROWS = 6000
 #: Token shares wanted for each domain, and the greatest rate of a document.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 MAX_RATE, STEPS, TOLERANCE, PROTECT = 4.0, 12, 1e-4, 0.1
+#: White space besides the space itself, as Unicode has it: in ASCII, and beyond it.
+ASCII_SPACES = "\t\n\v\f\r"
+OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -38,8 +41,18 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", kind.alias("domain"))
 
 
+def spaced(text: Column, spaces: str) -> Column:
+    """text with a space for each of the given characters, by literal replacements: they read bytes, not characters."""
+    for c in spaces:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+    """The lower-case words of a text: what white space of any kind sets apart."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.when(F.octet_length(low) == F.length(low), low).otherwise(spaced(low, OTHER_SPACES))
+    return F.filter(F.split(spaced(low, ASCII_SPACES), " "), lambda w: w != "")
 
 
 def marks(w: Column) -> Column:
@@ -52,7 +65,7 @@ def marks(w: Column) -> Column:
 
 def bucket(w: Column) -> Column:
     """The hash bucket of a word without the punctuation it ends with."""
-    return F.xxhash64(F.rtrim(w, F.lit(".,;:!?)\"\n"))).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    return F.xxhash64(F.rtrim(w, F.lit(".,;:!?)\""))).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 @dataclass

@@ -179,6 +179,20 @@ def test_mixing_odd_tables(spark):
     assert same.columns == table(spark, ODD).columns and same.count() == len(ODD)
 
 
+def test_words_are_split_at_all_white_space(spark):
+    texts = ["a\nb", "a\tb c\r\nd", "\n \t\v\f", "one\x0btwo\x0cthree", "à\xa0la\u2009carte\u3000x\u2028y\x85z", "row\tof\tcells\n" * 500, None, "plain words"]
+    model = mixing.Classifier(["all"], [0] * mixing.BUCKETS, [[]], [0.0])
+    got = {r.doc_id: r.n_tokens for r in mixing.with_posteriors(table(spark, list(enumerate(texts))), model).collect()}
+    assert got == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    docs = table(spark, [(i, f"fine\n{'slur' if i % 2 else 'rose'}\nwords here") for i in range(400)])
+    labels = spark.createDataFrame([(i, "toxic" if i % 2 else "clean") for i in range(200)], "doc_id long, domain string")
+    out = mixing.mixed(docs, labels, {"clean": 0.5, "toxic": 0.5}).collect()
+    assert {r.n_tokens for r in out} == {4} and all(r.domain == ("toxic" if r.doc_id % 2 else "clean") and max(r.posterior.values()) > 0.9 for r in out)
+    model = mixing.fit_classifier(docs, labels)
+    other = mixing.with_posteriors(table(spark, [(1, "quite\nslur\tother"), (2, "slur other")]), model).collect()
+    assert {model.domains[r.domain - 1] for r in other} == {"toxic"} and all(max(r.p) > 0.9 for r in other)
+
+
 # ---- 5 n-gram join
 
 
