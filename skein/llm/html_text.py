@@ -1,10 +1,10 @@
 """Operator 9, main text of HTML: streaming parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard-library parser's events give lines: blocks of text with the number of tags met in each. Lines inside
-elements that never hold an article's text (menus, footers, forms, scripts and the like, by name, role or class words)
-are set aside. The ratios of text to tags over the remaining lines are smoothed with a Gaussian and clustered about a
-threshold; lines above it vote, with their length, for the sectioning element they stand in, and all blocks of the chosen
-regions are kept in page order, short ones too.
+elements that never hold an article's text (menus, footers, forms, scripts and the like, by name, role or whole class
+words) are set aside. The ratios of text to tags over the remaining lines are smoothed with a Gaussian and clustered about
+a threshold; lines above it are content. Where any content stands in an article or main element, all blocks of all such
+elements are kept in page order, short ones and short articles too; else all blocks of the page that are not set aside.
 
 Defined results: null and empty html give the empty text; equal pages have equal text; unclosed and crossed tags end as
 HTML's own rules for paragraphs, items and cells end them, else with their parent; white space is what Unicode calls so;
@@ -64,9 +64,8 @@ def set_aside(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
             return True
         if k in ("class", "id") and v and tag not in ("html", "body", "article", "main"):
             for w in v.lower().split():
-                for part in re.split(r"[-_:]+|\d+", w):
-                    if part in OUT_WORDS:
-                        return True
+                if w.rstrip("-_0123456789") in OUT_WORDS:  # the whole word, or one that is numbered
+                    return True
     return False
 
 
@@ -170,14 +169,6 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
-def within(node: Node, region: Node) -> bool:
-    while node is not None:
-        if node is region:
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(html: str) -> str:
     """The article's blocks, joined by an empty line."""
     p = Lines()
@@ -191,22 +182,10 @@ def main_text(html: str) -> str:
     ratio = np.array([len(t) / max(1, n) for t, n, _, _ in lines], dtype="float64")
     s = smoothed(ratio)
     content = s >= min(threshold(s), float(s.max()))
-    article = any(x[2].article for x in lines)
-    votes: dict[int, list] = {}
-    for (t, _, sec, _), yes in zip(lines, content):
-        if yes and (sec.article or not article):
-            while article and sec.parent is not None and sec.parent.article:
-                sec = sec.parent.section
-            votes.setdefault(id(sec), [sec, 0])[1] += len(t)
-    if not votes:  # none of the article's lines is above the threshold: all of them vote
-        for t, _, sec, _ in lines:
-            if sec.article:
-                while sec.parent is not None and sec.parent.article:
-                    sec = sec.parent.section
-                votes.setdefault(id(sec), [sec, 0])[1] += len(t)
-    most = max(v for _, v in votes.values())
-    regions = [sec for sec, v in votes.values() if 4 * v >= most]
-    return "\n\n".join(t for t, _, sec, _ in lines if any(within(sec, r) for r in regions))
+    # an article's or main's blocks stay when they hold any of the content; else all blocks do, whatever containers they are in
+    if any(sec.article for (_, _, sec, _), yes in zip(lines, content) if yes):
+        lines = [x for x in lines if x[2].article]
+    return "\n\n".join(t for t, _, _, _ in lines)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -406,6 +406,17 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+def test_article_text_in_sibling_containers_stays():
+    long, short = "long text " * 80, "short text " * 14
+    for one, two in (("<div>", "</div>"), ("<section>", "</section>"), ("<div><div><div>", "</div></div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<article>", "</article>")):
+        for texts in ((long, short), (short, long), (long, short, "end"), (long, long, short, long)):
+            body = "".join(f"{one}<p>{t}</p>{two}" for t in texts)
+            for html in (body, f"<body><nav>menu</nav><div>{body}</div><footer>f</footer></body>"):
+                assert html_text.main_text(html) == "\n\n".join(t.strip() for t in texts)
+    for word in ("has-sidebar", "no-ads-page", "share-holders", "header2-font"):
+        assert html_text.main_text(f"<div class='{word}'><p>{short}</p></div><div class='ad-2'>buy</div>") == short.strip()
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.createDataFrame([(9001, "u", None), (9002, None, "")], "page_id long, url string, html string"))
     got = html_text.extract(pages).collect()
