@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one batch may hold; they are sent to every task.
+#: Query vectors of one block; a block is held by the driver and sent to every task, and the chunks are read once a block.
 MAX_QUERIES = 10_000
 
 
@@ -20,13 +22,23 @@ def distance_score(distance: Column) -> Column:
 def knn(chunks: DataFrame, queries: DataFrame, k: int, key: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """(q, id_col, score) of the k nearest chunks of each query by squared L2, ties by id; with key only where it is equal.
 
-    Each task keeps k rows a query and batch, so what is shuffled grows with tasks and not with chunks.
+    Each task keeps k rows a query and batch, so what is shuffled grows with tasks and not with chunks. Queries of any
+    number are gone through in blocks of MAX_QUERIES.
     """
-    held = queries.select("q", F.col(key).alias("key") if key else F.lit(None).cast("string").alias("key"), "vector").orderBy("q").limit(MAX_QUERIES + 1).collect()
-    if len(held) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
-    if not held:
+    own = F.col(key) if key else F.lit(None).cast("string")
+    source = chunks.where(F.col("vector").isNotNull()).select(F.col(id_col).cast("long").alias(id_col), "vector", own.alias("key"))
+    rows = queries.select("q", own.alias("key"), "vector").orderBy("q").toLocalIterator()
+    found = []
+    while held := list(islice(rows, MAX_QUERIES)):
+        found.append(_block(source, held, k, key, id_col))
+    if not found:
         return chunks.select(F.lit(0).cast("long").alias("q"), id_col, F.lit(0.0).alias("score")).limit(0)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
+    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def _block(source: DataFrame, held: list[Row], k: int, key: str | None, id_col: str) -> DataFrame:
+    """(q, id_col, score) of the k nearest in each batch of the source, for each query held."""
     names, keys = np.array([r["q"] for r in held]), [r["key"] for r in held]
     matrix = np.array([r["vector"] for r in held], dtype="float64")
     norms = (matrix**2).sum(axis=1)
@@ -49,10 +61,7 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, key: str | None = None, i
                 r, at = np.concatenate(q), np.concatenate(i)
                 yield pa.RecordBatch.from_arrays([pa.array(names[a + r]), pa.array(ids[at]), pa.array(score[r, at])], ["q", id_col, "score"])
 
-    own = F.col(key) if key else F.lit(None).cast("string")
-    near = chunks.where(F.col("vector").isNotNull()).select(F.col(id_col).cast("long").alias(id_col), "vector", own.alias("key")).mapInArrow(run, f"q long, {id_col} long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    return source.mapInArrow(run, f"q long, {id_col} long, score double")
 
 
 def knn_sql(chunks: DataFrame, vector: list[float], k: int, id_col: str = "doc_id") -> DataFrame:

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pytest
+
 from skein.config import TRUNCATED, preset
 from skein.functions import web
+from skein.operators import knn as search
 from skein.operators import ranking, sync
 from skein.sources.files import discover, load_text
 from skein.sources.snapshot import Snapshot
@@ -101,3 +105,20 @@ def test_rename_pairs_takes_each_file_once(spark):
     rows = [("w", "a/x.md", "deleted", 1), ("w", "b/x.md", "deleted", 1), ("w", "c/x.md", "new", 1)]
     got = sync.rename_pairs(spark.createDataFrame(rows, "workspace string, file_path string, status string, size long")).collect()
     assert [(r.old_path, r.new_path) for r in got] == [("a/x.md", "c/x.md")]
+
+
+@pytest.mark.parametrize("key", [None, "workspace"])
+def test_knn_goes_through_any_number_of_queries(spark, monkeypatch, key):
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], [float(x) for x in rng.integers(0, 9, 4)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "doc_id long, workspace string, vector array<float>")
+    queries = chunks.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "q")
+    got = {}
+    for r in search.knn(chunks, queries, 4, key=key).orderBy("q", "score", "doc_id").collect():
+        got.setdefault(r.q, set()).add((r.doc_id, r.score))
+    want = {}
+    for q, w, v in rows[::5]:
+        near = [(-round(1 / (1 + sum((a - b) ** 2 for a, b in zip(v, x))), 6), i) for i, u, x in rows if key is None or u == w]
+        want[q] = {(i, -s) for s, i in sorted(near)[:4]}
+    assert got == want and search.knn(chunks, queries.limit(0), 4).count() == 0
