@@ -3,7 +3,8 @@
 Defined results: null text counts as the empty text; texts are equal when their bytes are; of equal rows the largest
 (keep="max") or smallest id stays; a row repeated with the same id and text is reported as often as it occurs, and
 `drop_copies` returns it once; an empty table gives an empty result; other columns, whatever their names, are ignored.
-A null id takes part in its group's size, is never the kept row while another id is there, and stays if it is alone.
+A null id takes part in its group's size, is never the kept row while another id is there, and stays if it is alone:
+of each text that only null ids have, one row stays, and an id's rows of several texts are judged text by text.
 """
 
 from __future__ import annotations
@@ -42,16 +43,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs without the rows that exact_groups does not keep; all columns stay."""
-    found = materialise(exact_groups(docs, id_col, text_col, keep).select("doc_id", "kept"), "exact-kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    """docs without the rows that exact_groups does not keep; all columns stay. A row is known by its id and its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = exact_groups(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+    found = materialise(found, "exact-kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct()
+    again = found.where("kept").groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("sha").alias("_sha"))
     gone, again = materialise(gone, "exact-gone"), materialise(again, "exact-again")
-    out = docs.join(small(gone, 16), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    if again.isEmpty():
-        return out
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_again"))
-    return out.join(small(again, 16), same, "left_anti").unionByName(out.join(small(again, 16), same, "left_semi").dropDuplicates([id_col]))
+    rows = docs.withColumns({"_exact_id": F.col(id_col).cast("long"), "_exact_sha": F.unhex(F.sha2(text, 256))})
+    is_row = lambda i: F.col("_exact_id").eqNullSafe(F.col(i)) & (F.col("_exact_sha") == F.col("_sha"))
+    out = rows.join(small(gone, 64), is_row("_gone"), "left_anti")
+    if not again.isEmpty():
+        once = out.join(small(again, 64), is_row("_again"), "left_semi").withColumn("_exact_text", text)
+        once = once.dropDuplicates(["_exact_id", "_exact_text"]).drop("_exact_text")
+        out = out.join(small(again, 64), is_row("_again"), "left_anti").unionByName(once)
+    return out.drop("_exact_id", "_exact_sha")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,6 +445,15 @@ def test_drop_copies(spark):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 6, 7] and left.columns == table(spark, []).columns
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_drop_copies_goes_by_id_and_text(spark, keep):
+    rows = [(None, "copy"), (1, "copy"), (None, "alone"), (None, "other"), (None, "other"), (None, None), (None, ""), (5, "one"), (5, "two"), (5, "two"), (6, "two"), (7, "three"), (7, "copy")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in exact_dedup.drop_copies(table(spark, rows), keep=keep).collect())
+    low = keep == "min"
+    want = [(1 if low else 7, "copy"), (0, "alone"), (0, "other"), (0, ""), (5, "one"), (5 if low else 6, "two"), (7, "three")]
+    assert got == sorted(want)
+
+
 def test_query_equals_sql(spark, sf_dir):
     from skein.llm import oracle_sql
 
