@@ -5,7 +5,7 @@ of hashed words and of marks of a text's shape, kept to the buckets that tell th
 follow the projected gradient of the squared distance between the expected domain token totals and their targets, scaled
 by the curvature between domains. A step moves a document by the dot product of its posterior with one vector over the
 domains, so a step needs only one distributed sum for each domain and pair of domains, and the rate of any document is a
-closed expression of its posterior and the few steps made.
+closed expression of its posterior and the few steps made. Targets that cannot be met are listed in `Rates.unmet` and logged.
 
 Defined results: tokens are the words between white space of any kind; null text is the empty text, which has no tokens
 and the prior as its posterior; a null label is no label, and of several labels the least domain counts; a domain that no
@@ -15,6 +15,7 @@ equal rates; other columns are ignored by the fit and kept by `mix`; an empty ta
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,13 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small, table
 
+log = logging.getLogger(__name__)
+
 #: Hash buckets for words, and how many of them at most make up the classifier.
 BUCKETS, MARKERS, LEAST_Z = 1 << 16, 256, 6.0
 #: Labelled rows a fit may read.
 LABELLED_ROWS = 6000
-#: Token shares wanted for each domain, and the greatest rate of a document.
+#: Token shares wanted for each domain; rates have no upper bound.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
-MAX_RATE, STEPS, TOLERANCE, PROTECT = 4.0, 12, 1e-4, 0.1
+STEPS, SHORTER, TOLERANCE, PROTECT = 12, 6, 1e-4, 0.1
+#: A domain's target counts as met within TOLERANCE of the budget and this share of the target.
+NEAR = 0.01
 #: White space besides the space itself, as Unicode has it: in ASCII, and beyond it.
 ASCII_SPACES = "\t\n\v\f\r"
 OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -148,8 +153,8 @@ class Rates:
 
     domains: list[str]
     floors: list[float]  # least rate of documents that are of a domain with probability PROTECT at least
-    most: float
     steps: list[list[float]] = field(default_factory=list)
+    unmet: dict[str, tuple[float, float]] = field(default_factory=dict)  # share reached and share wanted of the budget
 
     def column(self, p: Column) -> Column:
         kept = [F.when(p[d] >= PROTECT, F.lit(f)).otherwise(F.lit(0.0)) for d, f in enumerate(self.floors) if f]
@@ -157,7 +162,7 @@ class Rates:
         r = F.lit(1.0)
         for e in self.steps:
             move = sum((p[d] * F.lit(e[d]) for d in range(1, len(e))), p[0] * F.lit(e[0]))
-            r = F.least(F.greatest(r - move, low), F.lit(self.most))
+            r = F.greatest(r - move, low)
         return r
 
 
@@ -167,9 +172,9 @@ def with_posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id",
     return scored.select("doc_id", F.col("_n").alias("n_tokens"), F.col("_p").alias("p"), F.col("_d").alias("domain"))
 
 
-def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], floors: dict[str, float] | None = None, most: float = MAX_RATE, keep: str | None = None) -> Rates:
+def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], floors: dict[str, float] | None = None, keep: str | None = None) -> Rates:
     """Projected gradient on a materialised table of posteriors. The budget is all tokens, or, with keep, what gives that domain's tokens their share as they are."""
-    rates = Rates(domains, [float((floors or {}).get(d, 0.0)) for d in domains], most)
+    rates = Rates(domains, [float((floors or {}).get(d, 0.0)) for d in domains])
     mass = sum(targets.get(d, 0.0) for d in domains)
     if not mass:
         return rates
@@ -182,7 +187,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], fl
     def totals() -> tuple[np.ndarray, np.ndarray]:
         """Domain totals under the rates so far, and the Gram matrix of the posteriors of documents off their bounds."""
         r = post.select(F.col("n_tokens").alias("t"), "p", rates.column(F.col("p")).alias("r"))
-        row = r.withColumn("free", (F.col("r") > 0) & (F.col("r") < most)).agg(*sums, *gram).first()
+        row = r.withColumn("free", F.col("r") > 0).agg(*sums, *gram).first()
         got = np.array([float(x or 0.0) for x in row])
         return got[: len(k)], got[len(k) :].reshape(len(k), len(k))
 
@@ -192,21 +197,29 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], fl
     keep_at = domains.index(keep) if keep in domains else None
     budget = now[keep_at] / share[keep_at] if keep_at is not None and share[keep_at] else now.sum()
     goal = budget * np.array(share)
+    def far(gap: np.ndarray) -> np.ndarray:
+        return np.abs(gap) > np.where(goal > 0, np.minimum(TOLERANCE * budget, NEAR * goal), TOLERANCE * budget)
+
     for _ in range(STEPS):
         gap = now - goal
-        if np.abs(gap).max() <= TOLERANCE * budget:
+        if not far(gap).any():
             break
-        # the gradient's direction, scaled by the curvature over the documents that can still move
-        move = np.linalg.lstsq(m, gap, rcond=1e-3)[0]
-        rates.steps.append(np.clip(move, -most, most).tolist())
-        after, m = totals()
-        if np.square(after - goal).sum() >= np.square(gap).sum() * (1 - 1e-9):  # no nearer: a shorter step is tried
-            rates.steps[-1] = (np.array(rates.steps[-1]) / 4).tolist()
-            after, m = totals()
-            if np.square(after - goal).sum() >= np.square(gap).sum() * (1 - 1e-9):
-                rates.steps.pop()
+        # the gradient's direction, scaled by the curvature over the documents that can still move; domains count alike, however rare
+        scale = 1 / np.sqrt(np.maximum(m.diagonal(), 1e-12 * budget))
+        move = scale * np.linalg.lstsq(m * np.outer(scale, scale), scale * gap, rcond=1e-9)[0]
+        weight = 1 / np.maximum(goal, TOLERANCE * budget)
+        for shorter in range(SHORTER):  # a shorter step is tried where one comes no nearer
+            rates.steps.append((move / 4**shorter).tolist())
+            after, m_after = totals()
+            if np.square((after - goal) * weight).sum() < np.square(gap * weight).sum() * (1 - 1e-9):
                 break
-        now = after
+            rates.steps.pop()
+        else:
+            break
+        now, m = after, m_after
+    rates.unmet = {domains[d]: (float(now[d] / budget), share[d]) for d in k if far(now - goal)[d]}
+    if rates.unmet:
+        log.warning("mixing targets not met, as shares reached and wanted: %s", rates.unmet)
     return rates
 
 

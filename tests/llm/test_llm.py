@@ -193,6 +193,19 @@ def test_words_are_split_at_all_white_space(spark):
     assert {model.domains[r.domain - 1] for r in other} == {"toxic"} and all(max(r.p) > 0.9 for r in other)
 
 
+def test_rates_lift_a_rare_domain_to_its_target(spark):
+    names, targets = ["clean", "low", "toxic"], {"clean": 0.90, "low": 0.07, "toxic": 0.03}
+    rows = [(i, 100, [0.0005, 0.0005, 0.999] if i == 7 else [0.01, 0.9895, 0.0005] if i % 9 == 0 else [0.9989, 0.001, 0.0001], 1) for i in range(2000)]  # toxic: one in 2000
+    post = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>, domain int")
+    rates = mixing.fit_rates(post, names, targets)
+    out = post.withColumn("r", rates.column(F.col("p"))).collect()
+    for d, name in enumerate(names):
+        assert abs(sum(r.n_tokens * r.p[d] * r.r for r in out) / 200_000 - targets[name]) < 0.001
+    assert not rates.unmet and min(r.r for r in out) >= 0
+    none = spark.createDataFrame([(i, 10, [1.0, 0.0], 1) for i in range(20)], "doc_id long, n_tokens long, p array<double>, domain int")
+    assert mixing.fit_rates(none, ["clean", "toxic"], {"clean": 0.5, "toxic": 0.5}).unmet["toxic"] == (0.0, 0.5)
+
+
 # ---- 5 n-gram join
 
 
