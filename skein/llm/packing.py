@@ -2,7 +2,8 @@
 
 Each packing task keeps a fixed number of open bins, listed by free space under a bitset (one bit per free amount). A
 piece goes to the open bin with the least free space that still takes it; if none does, a bin is opened, and when that
-is one too many, the fullest open bin closes. Within each block of a shuffled partition the largest pieces come first.
+is one too many, the fullest open bin closes. The bins are online from block to block; within a block of a shuffled partition,
+which is what a task looks ahead, the largest pieces come first (block_pieces=1 takes them strictly as they come).
 
 Defined results: null text is the empty text and gives one piece of the end id alone; a document of more than
 `capacity` ids is cut so that all pieces but the first are full; repeated rows are packed as often as they occur; an
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import encoder
+from .common import released, slices, table
+from .tokens import encoder, forget
 
 CAPACITY, END_ID, OPEN_BINS = 1024, 2, 4096
 #: Pieces that a task holds and sorts at a time; the open bins go on from block to block.
@@ -42,18 +43,18 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    out.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            for a, z in slices(batch, 1):
+                out: list[tuple] = []
+                for doc, text in zip(batch.column(0).slice(a, z - a).to_pylist(), batch.column(1).slice(a, z - a)):
+                    ids = encode(text.as_py() or "") + end
+                    for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        out.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), PIECES)
 
 
 class BestFit:
@@ -121,7 +122,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield from block.combine_chunks().to_batches()
 
     dealt = pieces(docs, id_col, text_col, capacity, end_id, vocabulary).repartition("doc_id", "piece")
-    return dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
+    return dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(released(run), PACKED)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ open at its start, so that documents that cross one or many blocks get whole len
 
 Defined results: an empty document counts 0; tokens after a file's last separator are a document without an end and are
 counted as one, unless there are none; a file whose size is no multiple of the id's width raises ValueError; null text is
-the empty text; an empty table or folder gives an empty result; other columns are ignored.
+the empty text; an empty table or folder gives an empty result; other columns are ignored. The separator's own marker,
+written out in a text, is encoded as ordinary text, so that it never counts as an end. Ids are two bytes wide where the
+vocabulary and the separator fit in them, else four.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, table
-from .tokens import encoder
+from .common import materialise, released, scratch, table
+from .tokens import encoder, forget
 
-#: The end-of-document id of the vocabulary, and the bytes of one id.
+#: The end-of-document id of the vocabulary, and the bytes of one id of its files.
 SEPARATOR, WIDTH = 50_256, 2
 BLOCK_BYTES = 8 << 20
 FLAT = "file string, bytes long, ordinal long, doc_id long"
@@ -36,15 +38,16 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, vocabulary: str | None = None) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, vocabulary: str | None = None, width: int = WIDTH) -> DataFrame:
     """Write one flat file per task; (file, bytes, ordinal, doc_id) tells which document stands where.
 
     A task that runs again writes a file of another name, and only files in the returned (materialised) table count.
     """
-    end = np.array([separator], dtype="<u2").tobytes()
+    kind = f"<u{width}"
+    end = np.array([separator], dtype=kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, marker=False).encode
         name = f"{folder}/{uuid.uuid4().hex}.tokens"
         fs, path = _fs(name)
         ids: list = []
@@ -53,10 +56,10 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         with fs.open_output_stream(path) as out:
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    flat = np.frombuffer(encode(text.as_py() or ""), dtype="<u4").astype("<u2").tobytes()
+                    flat = np.frombuffer(encode(text.as_py() or ""), dtype="<u4").astype(kind).tobytes()
                     out.write(flat)
                     out.write(end)
-                    size += len(flat) + WIDTH
+                    size += len(flat) + width
                     ids.append(doc)
         if not ids:
             fs.delete_file(path)
@@ -66,33 +69,33 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                 [pa.array([name] * len(part)), pa.array([size] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int64()), pa.array(part, pa.int64())],
                 ["file", "bytes", "ordinal", "doc_id"])
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FLAT), "flat-documents")
+    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), FLAT), "flat-documents")
 
 
-def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:
     """files: file, bytes. One row per document: file, ordinal, start (in ids), n_tokens."""
-    step = block_bytes // WIDTH * WIDTH
+    step, kind = max(1, block_bytes // width) * width, f"<u{width}"
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), (F.col("bytes") - 1).cast("long"), F.lit(step))).alias("at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size, at in zip(*(c.to_pylist() for c in batch.columns)):
-                if size % WIDTH:
+                if size % width:
                     raise ValueError(f"{name}: {size} bytes are no whole ids")
                 fs, path = _fs(name)
                 with fs.open_input_file(path) as f:
                     f.seek(at)
-                    ids = np.frombuffer(f.read(min(step, size - at)), dtype="<u2")
+                    ids = np.frombuffer(f.read(min(step, size - at)), dtype=kind)
                 ends = np.flatnonzero(ids == separator)
                 last = at + step >= size
                 inner = np.diff(ends) - 1
                 head, tail = (int(ends[0]), len(ids) - 1 - int(ends[-1])) if len(ends) else (len(ids), len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([at // WIDTH], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([head], pa.int64()), pa.array([tail], pa.int64()),
+                    [pa.array([name]), pa.array([at // width], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([head], pa.int64()), pa.array([tail], pa.int64()),
                      pa.array([last]), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([inner.tolist()], pa.list_(pa.int64()))],
                     ["file", "at", "ends", "head", "tail", "last", "places", "inner"])
 
-    found = blocks.repartition("file", "at").mapInArrow(read, "file string, at long, ends long, head long, tail long, last boolean, places array<long>, inner array<long>")
+    found = blocks.repartition("file", "at").mapInArrow(released(read), "file string, at long, ends long, head long, tail long, last boolean, places array<long>, inner array<long>")
     found = materialise(found, "flat-blocks")
     # Prefix scan over the narrow columns of a file's blocks: separators before a block, tokens open at its start.
     own = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,11 +114,20 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_
     return head.unionByName(rest).unionByName(end.where("n_tokens > 0"))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def id_width(vocabulary: str | None, separator: int) -> int:
+    """Bytes that hold every id of a vocabulary and the separator; a separator that is an id of its words raises ValueError."""
+    size = encoder(vocabulary, marker=False).size
+    if separator < size:
+        raise ValueError(f"separator {separator} is an id of the vocabulary's words")
+    return 2 if separator < 1 << 16 else 4
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, separator: int = SEPARATOR, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, file, ordinal: documents written as flat files, and counted by scanning these."""
-    rows = write_flat(docs, scratch(docs.sparkSession, "flat"), id_col, text_col)
+    width = id_width(vocabulary, separator)
+    rows = write_flat(docs, scratch(docs.sparkSession, "flat"), id_col, text_col, separator, vocabulary, width)
     files = rows.select("file", "bytes").distinct()
-    return scan(files, block_bytes=block_bytes).join(rows, ["file", "ordinal"]).select("doc_id", "n_tokens", F.col("ordinal"), "start")
+    return scan(files, separator, block_bytes, width).join(rows, ["file", "ordinal"]).select("doc_id", "n_tokens", F.col("ordinal"), "start")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A boundary before a single space is always a boundary of the vocabulary's pre-tokeniser when the words on both sides
 have no white space at their ends, so such words are encoded once and their ids are joined. Any other text is encoded
-whole. Ids equal those of the `tokenizers` file of the same vocabulary, and the tests hold them against it.
+whole. Ids equal those of the `tokenizers` file of the same vocabulary with no special tokens added, and the tests hold
+them against it: the literal end-of-document marker in a text is its one id there. An encoder made with marker=False takes
+it as ordinary text, for uses in which that id must stand for ends of documents only.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ import base64
 
 import numpy as np
 
-#: Words kept per Python worker; further words are encoded each time they occur.
-MEMO_WORDS = 400_000
+#: Words kept per task, and the longest of them; further words are encoded each time they occur. About 200 bytes each.
+MEMO_WORDS, MEMO_LETTERS = 100_000, 64
+#: The marker of the vocabulary's file, with its id (fixed values).
+MARKER, MARKER_ID = "<|endoftext|>", 50_256
 
 
 def default_path() -> str:
@@ -24,24 +28,26 @@ def default_path() -> str:
 class WordEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, marker: bool = True):
         import public_tokenizers
         import tiktoken
 
         with open(path or default_path(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={MARKER: MARKER_ID} if marker else {})
+        #: One more than the greatest id.
+        self.size = max(max(ranks.values()), MARKER_ID if marker else 0) + 1
         self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.array(self.bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
 
     def word(self, w: str) -> bytes | None:
         """Ids of one word after a space; None where the text must be encoded whole."""
         if not w or w[0].isspace() or w[-1].isspace():
             return None
         got = self.ids(" " + w)
-        if len(self.memo) < MEMO_WORDS and len(w) <= 64:
+        if len(self.memo) < MEMO_WORDS and len(w) <= MEMO_LETTERS:
             self.memo[w] = got
         return got
 
@@ -60,11 +66,17 @@ class WordEncoder:
         return self.ids(first) + b"".join(parts)
 
 
-_KEPT: dict[str | None, WordEncoder] = {}
+_KEPT: dict[tuple[str | None, bool], WordEncoder] = {}
 
 
-def encoder(path: str | None = None) -> WordEncoder:
-    """One encoder per Python worker and vocabulary."""
-    if path not in _KEPT:
-        _KEPT[path] = WordEncoder(path)
-    return _KEPT[path]
+def encoder(path: str | None = None, marker: bool = True) -> WordEncoder:
+    """One encoder per Python worker, vocabulary and way with the marker."""
+    if (path, marker) not in _KEPT:
+        _KEPT[path, marker] = WordEncoder(path, marker)
+    return _KEPT[path, marker]
+
+
+def forget() -> None:
+    """Empty the memos of this worker, at the end of a task."""
+    for e in _KEPT.values():
+        e.memo = {}

@@ -30,13 +30,12 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_word_encoder_equals_the_tokenizer(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts += [t or "" for _, t in ODD] + [" lead", "trail ", "a  b", "a \n b", "a\n b", "tab\t x", "  nb sp ", "it's we'll", "<|endoftext|> x", "1 2 33 a1", "   ", "a　 b"]
+    texts += [t or "" for _, t in ODD] + [" lead", "trail ", "a  b", "a \n b", "a\n b", "tab\t x", "  nb sp ", "it's we'll", "<|endoftext|> x", "a <|endoftext|> b", "x  <|endoftext|>", "a<|endoftext|>b\n<|endoftext|>", "1 2 33 a1", "   ", "a　 b"]
     e = WordEncoder()
     for t, want in zip(texts, reference_ids(texts)):
         for _ in range(2):  # from the memo, too
@@ -44,7 +43,7 @@ def test_word_encoder_equals_the_tokenizer(spark, sf_dir):
 
 
 def test_packing(spark):
-    rows = ODD + [(100 + i, "some words here " * (i % 90)) for i in range(300)]
+    rows = ODD + [(100 + i, "some words here " * (i % 90)) for i in range(300)] + [(990, "<|endoftext|> hi <|endoftext|>")]
     got = packing.pack(table(spark, rows)).collect()
     ids = {}
     for (d, _), x in zip(rows, reference_ids([t or "" for _, t in rows])):
@@ -270,11 +269,49 @@ def test_tree_bound_loses_no_pair():
     points = np.stack([np.bincount([x % ngram_join.GROUPS for x in s], minlength=ngram_join.GROUPS) for s in sets]).astype("uint8")
     sizes = np.array([len(s) for s in sets])
     tree = ngram_join.CountTree(points, sizes, 85)
+    assert len(tree.levels) > 2
     for i in range(0, len(sets), 7):
         near = set(tree.near(points[i], len(sets[i])).tolist())
         assert {j for j, s in enumerate(sets) if 100 * len(s & sets[i]) >= 85 * len(s | sets[i])} <= near
 
 
+def test_search_of_vectors_of_several_lengths_loses_no_pair(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIR_CELLS", 4096)
+    rng = np.random.default_rng(8)
+    sets = [rng.choice(1 << 40, n, replace=False).astype("uint64") for n in (5, 900, 1020, 1030, 1100, 2040, 2060, 4000, 4200, 9000) for _ in range(4)]
+    sets += [np.concatenate((s[len(s) // 20 :], rng.choice(1 << 40, len(s) // 30).astype("uint64"))) for s in sets for _ in range(3)]
+    vectors, sizes = [ngram_join.packed(ngram_join.counted(s)) for s in sets], np.array([len(s) for s in sets])
+    assert len({len(ngram_join.unpacked(v)) for v in vectors}) > 3
+    half = np.arange(len(sets)) % 2 == 0
+    for left, right in ((np.arange(len(sets)),) * 2, (np.flatnonzero(half), np.flatnonzero(~half))):
+        found = {(x, y) for i, j in ngram_join.near_pairs(vectors, sizes, np.arange(len(sets)), left, right, 80) for x, y in zip(i.tolist(), j.tolist())}
+        held = [set(s.tolist()) for s in sets]
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if i != j and 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])}
+        assert want and want <= found and len(found) < len(left) * len(right) / 4
+
+
+def test_the_tree_decides_which_pairs_of_a_group_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 10**9)
+    base = [f"w{i}" for i in range(100)]  # 0 to 7 hold the text of 8 and 9 and more, link with neither, and are first in each of their groups
+    rows = [(d, " ".join(base + [f"{d}x{i}" for i in range(30)])) for d in range(8)] + [(8, " ".join(base)), (9, " ".join(base[:99]))]
+    want = brute_components(rows, 4, 85)
+    get = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table(spark, rows), k=4, percent=85).collect()}
+    assert get() == want
+    monkeypatch.setattr(ngram_join, "search_cells", lambda cells, percent: cells.selectExpr("node AS a", "node AS b").where("false"))
+    assert get() != want
+
+
+@pytest.mark.parametrize("limit", [48 << 20, 0])
+def test_ids_that_are_null_or_have_several_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", limit)
+    a, b, c = ("red green blue white black grey pink brown " * 3 + x for x in ("one two three four five six", "one two three four five seven", "ten nine eight"))
+    alone = "this text has nothing to do with any of the others in here"
+    rows = [(5, a), (5, alone), (9, b), (None, b + " eight"), (None, alone), (None, "quite another text without an id at all"), (12, alone), (12, alone)]
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(table(spark, rows), k=2, percent=70).collect())
+    n = {t: len(set(zip(t.split(), t.split()[1:]))) for _, t in rows}
+    assert got == sorted([(5, n[a], 5), (5, n[alone], 5), (9, n[b], 5), (0, n[b + " eight"], 5), (0, n[alone], 5), (0, n[rows[5][1]], 0), (12, n[alone], 5), (12, n[alone], 5)])
+
+
 def test_words_cross_blocks(monkeypatch):
     import pyarrow as pa
 
@@ -309,11 +346,26 @@ def test_scan_of_flat_files(spark, tmp_path, block):
 
 
 def test_token_counts(spark):
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in token_counts.token_counts(table(spark, ODD), block_bytes=1000).collect())
-    assert got == sorted((d is None, d or 0, len(x)) for (d, _), x in zip(ODD, reference_ids([t or "" for _, t in ODD])))
+    rows = [*ODD, (77, "a <|endoftext|> b")]  # the marker in a text is no end of a document
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in token_counts.token_counts(table(spark, rows), block_bytes=1000).collect())
+    marked = len(np.frombuffer(WordEncoder(marker=False).encode("a <|endoftext|> b"), "<u4"))
+    assert marked > 4 and got == sorted([(d is None, d or 0, len(x)) for (d, _), x in zip(ODD, reference_ids([t or "" for _, t in ODD]))] + [(False, 77, marked)])
     assert token_counts.token_counts(table(spark, [])).count() == 0
 
 
+def test_wide_ids_do_not_wrap(spark, tmp_path):
+    assert token_counts.id_width(None, 50_256) == 2 and token_counts.id_width(None, 70_000) == 4
+    with pytest.raises(ValueError):
+        token_counts.id_width(None, 13)
+    rows = [(1, "two words"), (2, ""), (3, "word " * 50)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table(spark, rows), block_bytes=64, separator=70_000).collect()}
+    assert got == {d: len(x) for (d, _), x in zip(rows, reference_ids([t for _, t in rows]))}
+    ids = [5, 65_536 + 7, 5, 70_000, 9, 70_000]
+    (tmp_path / "w").write_bytes(np.array(ids, "<u4").tobytes())
+    f = spark.createDataFrame([(f"file://{tmp_path}/w", 4 * len(ids))], "file string, bytes long")
+    assert sorted((r.ordinal, r.n_tokens) for r in token_counts.scan(f, 70_000, 8, width=4).collect()) == [(0, 3), (1, 1)]
+
+
 # ---- 7 telephony
 
 
