@@ -1,20 +1,29 @@
 """Operator 9, main text of HTML: streaming parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-The standard-library parser's events give lines: blocks of text with the number of tags met in each. Lines inside
-elements that never hold an article's text (menus, footers, forms, scripts and the like, by name, role or whole class
-words) are set aside. The ratios of text to tags over the remaining lines are smoothed with a Gaussian and clustered about
-a threshold; lines above it are content. Where any content stands in an article or main element, all blocks of all such
-elements are kept in page order, short ones and short articles too; else all blocks of the page that are not set aside.
+The standard-library parser's events give lines: blocks of text with the number of tags met in each. A line's ratio is its
+characters by its tags. Lines that are marked as something else than the article's text (inside menus, footers, asides and the
+like, by tag, role or whole class words, or made of links for the most part) count with FAINT of their ratio. The ratios are
+smoothed with a Gaussian over the lines, weighed with the line's own, and clustered about a threshold: lines above it are
+content. Content lines select the regions of the page:
+
+* the run of unmarked lines, from one marked line to the next, that a content line stands in;
+* the section, article or main element that a content line stands in, and all articles where one holds content;
+* a marked line only if it is content itself.
+
+All unmarked lines of these regions are the text, short ones too; a page without content has none. Scripts, styles, forms and
+hidden elements have no lines. Inside an article or main element class words count only for adverts, comments and sidebars.
 
 Defined results: null and empty html give the empty text; equal pages have equal text; unclosed and crossed tags end as
-HTML's own rules for paragraphs, items and cells end them, else with their parent; white space is what Unicode calls so;
-other columns are ignored; an empty table gives an empty result.
+HTML's own rules for paragraphs, items and cells end them, else with their parent, in time linear in the page; white space is
+what Unicode calls so; repeated rows are extracted each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,81 +31,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import released, slices, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is not the article's.
-OUT_TAGS = frozenset(
-    "head script style noscript template nav footer aside form button select textarea iframe object svg math canvas audio video dialog menu title".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status".split())
-#: Class and id words of elements whose text is not the article's.
-OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie "
-    "cookies disqus dialog disclaimer flash footer gdpr header infobar login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies respond reviews search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription taboola tags teaser teasers toolbar topbar widget widgets".split())
-SECTIONS = frozenset("article main section div body td html".split())
-#: A start tag of the first kind ends an open element of the second.
+#: Elements that have no lines.
+GONE = frozenset("head script style noscript template form button select textarea iframe object svg math canvas audio video title".split())
+#: Elements and roles that mark their lines.
+MARKS = frozenset("nav footer aside dialog menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status".split())
+#: Whole class and id words that mark lines: anywhere, and outside articles.
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising sponsored comment comments comment-list commentlist disqus sidebar".split())
+WORDS = ALWAYS | frozenset(
+    "banner breadcrumb breadcrumbs consent cookie cookies dialog disclaimer footer gdpr header infobar login masthead menu menus modal nav navbar navigation "
+    "newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related replies respond search share sharing signup "
+    "skip social sponsor subscribe subscription toolbar topbar widget widgets".split())
+SECTIONS = frozenset("article main section div td".split())
+ARTICLES = frozenset(("article", "main"))
+#: A start tag of the first kind ends open elements of the second, and paragraphs, up to the nearest element of SCOPE.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body article section div main html".split())
-WORD = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*")
-
-
-class Node:
-    __slots__ = ("tag", "out", "parent", "section", "article")
+#: What a marked line's ratio counts, the share of linked text that marks a line, and the least score of content.
+FAINT, LINKED, LEAST = 1e-4, 0.6, 0.1
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
-    def __init__(self, tag: str, out: bool, parent: Node | None):
-        self.tag, self.out, self.parent = tag, out, parent
-        self.article = tag in ("article", "main") or (parent is not None and parent.article)
-        self.section = self if tag in SECTIONS or parent is None else parent.section
 
-
-def set_aside(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in OUT_TAGS or (tag == "header" and not inside_article):
-        return True
-    for k, v in attrs:
-        if k == "role" and v and (v.lower() in OUT_ROLES):
-            return True
-        if k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v, re.I)):
-            return True
-        if k in ("class", "id") and v and tag not in ("html", "body", "article", "main"):
-            for w in v.lower().split():
-                if w.rstrip("-_0123456789") in OUT_WORDS:  # the whole word, or one that is numbered
-                    return True
-    return False
+@dataclass
+class Line:
+    text: str
+    tags: int
+    links: int  # characters inside links
+    marked: bool
+    section: int  # number of the nearest section element
+    article: bool
 
 
 class Lines(HTMLParser):
-    """Blocks of a page: (text, tags met in it, section node, set aside)."""
+    """The lines of a page. Open elements are a stack; places in it are kept by tag, so that none is walked over."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.node = Node("", False, None)
+        self.stack: list[tuple[str, int]] = []  # tag, and the number of the section that it began, or -1
+        self.at: dict[str, list[int]] = {}
+        self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors = ([] for _ in range(6))
+        self.sections: list[int] = [0]
+        self.spans: list[list[int]] = [[0, -1, 0]]  # first line, end line, whether it is an article, of each section
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, Node, bool]] = []
+        self.tags = self.linked = 0
+        self.lines: list[Line] = []
 
     def flush(self) -> None:
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                self.lines.append((t, self.tags, self.node.section, self.node.out))
+                marked = bool(self.marks) or self.linked >= LINKED * len(t)
+                self.lines.append(Line(t, self.tags, self.linked, marked, self.sections[-1], bool(self.articles)))
                 self.tags = 0
-            self.text = []
-
-    def open(self, tag: str) -> Node | None:
-        n = self.node
-        while n.parent is not None:
-            if n.tag == tag:
-                return n
-            n = n.parent
-        return None
-
-    def close(self, node: Node) -> None:
-        self.node = node.parent
+            self.text, self.linked = [], 0
+
+    def pop_to(self, place: int) -> None:
+        """Close the elements from this place of the stack on."""
+        while len(self.stack) > place:
+            tag, number = self.stack.pop()
+            self.at[tag].pop()
+            if number >= 0:
+                self.spans[number][1] = len(self.lines)
+                self.sections.pop()
+        for held in (self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors):
+            while held and held[-1] >= place:
+                held.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -106,47 +111,71 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             if tag not in ("html", "body"):
-                self.end_implied(tag)
+                over = self.scopes[-1] if self.scopes else -1
+                ended = [p[i] for t in ("p", *ENDS.get(tag, ())) if (p := self.at.get(t)) and (i := bisect_right(p, over)) < len(p)]
+                if ended:
+                    self.pop_to(min(ended))
         if tag in VOID:
             return
-        out = self.node.out or set_aside(tag, attrs, self.node.article)
-        if out and not self.node.out:
+        place = len(self.stack)
+        gone, marked = self.meant(tag, attrs)
+        if marked and not self.marks:
             self.flush()
-        self.node = Node(tag, out, self.node)
-
-    def end_implied(self, tag: str) -> None:
-        n = self.node
-        ended = ENDS.get(tag, ())
-        while n.parent is not None and n.tag not in SCOPE:
-            if n.tag == "p" or n.tag in ended:
-                self.close(n)
-            n = n.parent
+        number = -1
+        if tag in SECTIONS:
+            number = len(self.spans)
+            self.spans.append([len(self.lines), -1, int(tag in ARTICLES)])
+            self.sections.append(number)
+        self.stack.append((tag, number))
+        self.at.setdefault(tag, []).append(place)
+        for held, yes in ((self.scopes, tag in SCOPE), (self.blocks, tag in BLOCKS), (self.marks, marked), (self.gone, gone), (self.articles, tag in ARTICLES), (self.anchors, tag == "a")):
+            if yes:
+                held.append(place)
+
+    def meant(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element has no lines, and whether its lines are marked."""
+        gone, marked = tag in GONE, tag in MARKS or (tag == "header" and not self.articles)
+        for k, v in attrs:
+            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and HIDDEN.search(v)):
+                gone = True
+            elif k == "role" and v and v.lower() in ROLES:
+                marked = True
+            elif k in ("class", "id") and v and tag not in ("html", "body", *ARTICLES):
+                known = ALWAYS if self.articles else WORDS
+                marked = marked or any(w.rstrip("-_0123456789") in known for w in v.lower().split())
+        return gone, marked
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag != "br":
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCKS or tag in OUT_TAGS:
+        ends = tag in BLOCKS or tag in GONE
+        if tag in BLOCKS:
             self.flush()
-        if (n := self.open(tag)) is not None:
-            if n.out and not n.parent.out:
-                self.flush()
-                self.text = []
-            if tag in BLOCKS or tag in OUT_TAGS or not any(self.crosses(n)):
-                self.close(n)
-
-    def crosses(self, n: Node) -> Iterator[bool]:
-        """Whether an inline end tag would end a block opened inside its element."""
-        m = self.node
-        while m is not n:
-            yield m.tag in BLOCKS
-            m = m.parent
+        if places := self.at.get(tag):
+            place = places[-1]
+            # an inline end tag does not end the blocks opened inside its element
+            if ends or not (self.blocks and self.blocks[-1] > place):
+                if self.marks and self.marks[-1] >= place:
+                    self.flush()
+                self.pop_to(place)
 
     def handle_data(self, data: str) -> None:
+        if self.gone:
+            return
         self.text.append(data)
+        if self.anchors:
+            self.linked += len(" ".join(data.split()))
+
+    def done(self) -> list[Line]:
+        HTMLParser.close(self)  # what the parser still holds of a page cut short is text
+        self.flush()
+        self.pop_to(0)
+        self.spans[0][1] = len(self.lines)
+        return self.lines
 
 
 def smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -157,35 +186,44 @@ def smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """The middle between two clusters of x, from its mean until both settle."""
+    """The middle between two clusters of x, from its mean until both settle; LEAST at the least."""
     t = float(x.mean())
     for _ in range(32):
         low, high = x[x <= t], x[x > t]
         if not len(low) or not len(high):
-            return t
+            break
         if abs((nxt := float(low.mean() + high.mean()) / 2) - t) < 1e-9:
-            return t
+            break
         t = nxt
-    return t
+    return max(LEAST, min(t, float(x.max())))
+
+
+def content(lines: list[Line]) -> np.ndarray:
+    """Which lines the clustering takes for content."""
+    ratio = np.array([len(x.text) / max(1, x.tags) * (FAINT if x.marked else 1.0) for x in lines])
+    score = np.sqrt(smoothed(ratio) * ratio)
+    return score >= threshold(score)
 
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by an empty line."""
     p = Lines()
     p.feed(html)
-    # what the parser still holds at a page cut short is text
-    HTMLParser.close(p)
-    p.flush()
-    lines = [x for x in p.lines if not x[3]]
+    lines = p.done()
     if not lines:
         return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, _, _ in lines], dtype="float64")
-    s = smoothed(ratio)
-    content = s >= min(threshold(s), float(s.max()))
-    # an article's or main's blocks stay when they hold any of the content; else all blocks do, whatever containers they are in
-    if any(sec.article for (_, _, sec, _), yes in zip(lines, content) if yes):
-        lines = [x for x in lines if x[2].article]
-    return "\n\n".join(t for t, _, _, _ in lines)
+    yes, marked = content(lines), np.array([x.marked for x in lines])
+    run = np.cumsum(marked)  # unmarked lines with no marked one between them have one number
+    keep = np.isin(run, run[yes & ~marked])
+    held = {x.section for x, c in zip(lines, yes) if c and not x.marked and x.section}
+    if any(x.article for x, c in zip(lines, yes) if c):
+        held |= {i for i, s in enumerate(p.spans) if s[2]}
+    cover = np.zeros(len(lines) + 1, dtype="int64")
+    for i in held:
+        cover[p.spans[i][0]] += 1
+        cover[p.spans[i][1]] -= 1
+    keep = (keep | (np.cumsum(cover[:-1]) > 0)) & ~marked | (marked & yes)
+    return "\n\n".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -197,7 +235,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

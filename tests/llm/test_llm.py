@@ -482,6 +482,58 @@ def test_article_text_in_sibling_containers_stays():
         assert html_text.main_text(f"<div class='{word}'><p>{short}</p></div><div class='ad-2'>buy</div>") == short.strip()
 
 
+PLAIN = [  # pages without article or main: only the ratios tell their regions
+    ("<body><div><a href=a>Home</a> <a href=b>News and more</a></div><div><h1>Title</h1><p>{t}</p><p>Short.</p></div><div><a href=c>Imprint of us</a></div></body>", "Title\n\n{t}\n\nShort."),
+    ("<body><nav>x</nav><p>by us</p><div class=ad>Buy now</div><h2>Head</h2><p>{t}</p><footer>f</footer></body>", "Head\n\n{t}"),
+    ("<table><tr><td><a href=a>one</a><br><a href=b>two</a></td><td><p>{t}<p>End</td></tr></table>", "{t}\n\nEnd"),
+    ("<body><div class=ad>{t}</div></body>", ""),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), PLAIN)
+def test_regions_without_article(html, want):
+    t = "A long enough sentence of the text that this page is about, with more words. " * 4
+    assert html_text.main_text(html.format(t=t)) == want.format(t=t.strip())
+
+
+def test_the_clusters_decide(monkeypatch, sf_dir):
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")["html"].tolist()[:50] + [h.format(t="Some words of text. " * 20) for h, _ in PLAIN]
+    texts = [html_text.main_text(h) for h in pages]
+    monkeypatch.setattr(html_text, "threshold", lambda x: -1.0)
+    assert all(html_text.main_text(h) != t for h, t in zip(pages, texts))
+
+
+def test_blocks_of_pages():
+    page = "<article><p>a<span hidden>no</span> b<script>var x;</script>c</p>{}</article>"
+    for word in ("tags", "related", "share", "search", "flash", "disclaimer", "widget"):
+        assert html_text.main_text(page.format(f"<div class='{word}'><p>inside {word}</p></div>")) == f"a bc\n\ninside {word}"
+    for word in ("ads", "comments", "sidebar"):
+        assert html_text.main_text(page.format(f"<div class='{word}'>out</div><p>d</p>")) == "a bc\n\nd"
+    assert html_text.main_text("<p>&lt;b&gt; &amp;amp; &#233;&nbsp; x\u3000y") == "<b> &amp; \u00e9 x y"
+    assert html_text.main_text("<p>" + "x" * 2_000_000 + "</p>") == "x" * 2_000_000
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text("<b>" * n + "<p>x" * n + "</i>" * n + "<div>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(32_000) < 16 * max(0.05, took(8000))
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "u", "<p>one</p>", "t", 3), (1, "u", "<p>one</p>", "t", 3), (2, None, None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in got.collect() if r.url) == [(1, "u", "one", 3)] * 2 and got.columns == ["page_id", "url", "text", "n_chars"]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.createDataFrame([(9001, "u", None), (9002, None, "")], "page_id long, url string, html string"))
     got = html_text.extract(pages).collect()
