@@ -1,23 +1,32 @@
 """Operator 3, personal data by a skip-chain conditional random field.
 
-Base matches of four kinds come from fixed patterns. Nodes of the field are those matches and all other tokens that hold a
-digit or an at sign; its labels are the kinds and "none". Node potentials are linear in shape features, neighbours in the
+Base matches of four kinds come from fixed patterns. Nodes of the field are those matches and other tokens: groups of digits
+with the separators of numbers, all tokens with a digit or an at sign, tokens near a base match and tokens that are an
+address's local part; its labels are the kinds and "none". Node potentials are linear in shape features, neighbours in the
 text share a chain potential, and distant nodes with equal or similar values share a skip potential: the same digits, digits
 of which one ends with the other, the same letters, or an address's local part. Base matches are evidence; loopy
 sum-product messages settle the labels of the others, so that a value once seen as personal is marked wherever it returns
-in the document. Weights are trained on base matches of a bounded sample, as their labels, by gradient descent in numpy.
+in the document, and a number that has the shape of a base match is marked where the patterns' own rules lose it.
+
+All weights are trained together, by pseudo-likelihood: each node's label given its shape, the label before it and the label
+of its value's anchor. The counts that this needs, one for each shape code and labels, are taken over all documents, so
+there is no sample. Base matches are labelled by their kind; a token that shares a value with one is left out; others are
+"none". Evidence is masked: each base match is also shown in a form that the patterns do not know, beside an anchor of each
+kind, as that kind, and alone and beside a "none", as "none"; shape cannot tell these apart, and the skip weights are learned
+from them.
 
 Defined results: null text is the empty text and has no spans; spans are in code points, end exclusive; base spans always
-stay, and spans the field adds never overlap one of the same kind; ties keep "none"; texts of any length are read whole and
+stay, and spans the field adds never overlap a base one; ties keep "none"; texts of any length are read whole and
 each value has edges to its last occurrence and to its anchor (its first base match, else its first occurrence) only, so
-the field is linear in the text, and evidence is one hop away; rounds go on until messages settle; repeated rows get equal results;
-other columns are ignored; an empty table gives an empty result.
+the field is linear in the text, and evidence is one hop away; connected parts of a document are settled some at a time;
+rounds go on until messages settle; repeated rows get equal results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import released, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -39,15 +48,22 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DIGIT, MARK = re.compile("[0-9]"), re.compile("[0-9@]")
 #: IP's matches, found without going back over a run of digits: a match starts where its run does.
 IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-#: Other nodes: groups of digits with the separators of numbers, or one token. Both read long runs once.
-TOKEN = re.compile(r"\(?\+?(?<![0-9])[0-9]++(?:[().\x20-]{1,3}[0-9]++){0,12}+(?![^\s.,;:!?)])|\S++")
+#: Other nodes: groups of at most eight digits with the separators of numbers, or one token. Both read long runs once.
+TOKEN = re.compile(r"\(?\+?(?<![0-9])[0-9]{1,8}(?![0-9])(?:[().\x20-]{1,3}[0-9]{1,8}(?![0-9])){0,12}+(?![^\s.,;:!?)])|\S++")
 
-#: Documents that a fit may read, the longest of them (bytes), and nodes it may take from one.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_NODES = 4000, 20_000, 64
 MARGIN = 0.8
+#: Code points from a base match within which every token is a node, and between neighbours of a chain.
+NEAR, CHAIN = 24, 40
 #: Messages settle when none moves by SETTLED; from round EASE on steps shrink, so that messages that swing settle too.
 SETTLED, EASE, SHRINK = 1e-3, 200, 0.97
-FEATURES = 22
+#: Nodes settled at a time, but for a connected part that has more.
+PART_NODES = 50_000
+#: Sizes of the parts of a shape code: digits, at sign, plus, letters, four dotted numbers, brackets, dash, space, Luhn, long.
+SHAPES = (9, 3, 2, 3, 2, 2, 2, 2, 2, 2)
+FEATURES, CODES = 1 + sum(SHAPES), int(np.prod(SHAPES))
+DIGIT_CLASSES = (1, 7, 9, 10, 12, 13, 16, 20)
+#: A neighbour that is not there, or whose label is not known.
+ABSENT = NONE + 1
 PIECE = 4 << 20
 
 
@@ -92,13 +108,14 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     """(start, end, kind) by start: base matches, and other tokens that overlap none, whose kind is -1."""
     taken = sorted((s, e, k) for k, s, e in base)
     found, i, reach = [], 0, -1
-    ends = []
+    ends: list[list[int]] = []
     for s, e, _ in taken:  # merged cover, for the overlap test
         if s <= reach and ends:
             ends[-1][1] = reach = max(reach, e)
         else:
             ends.append([s, e])
             reach = e
+    locals_ = {text[s:e].lower().split("@")[0] for k, s, e in base if k == 0}
     for m in TOKEN.finditer(text) if MARK.search(text) else ():
         s, e = m.span()
         while s < e and not (text[s].isalnum() or text[s] in "+(@"):
@@ -107,28 +124,51 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             e -= 1
         while i < len(ends) and ends[i][1] <= s:
             i += 1
-        if s < e and (i == len(ends) or ends[i][0] >= e) and MARK.search(text, s, e):
-            found.append((s, e, -1))
+        if s < e and (i == len(ends) or ends[i][0] >= e):
+            near = (i < len(ends) and ends[i][0] - e <= NEAR) or (i and s - ends[i - 1][1] <= NEAR)
+            if near or MARK.search(text, s, e) or (locals_ and text[s:e].lower() in locals_):
+                found.append((s, e, -1))
     return sorted(taken + found)
 
 
-def shape(v: str) -> np.ndarray:
-    """Features of a node's text; none of them is a base pattern."""
-    d = sum("0" <= c <= "9" for c in v)
-    a = sum(c.isalpha() for c in v)
-    dots, at = v.count("."), v.count("@")
+def shape(v: str) -> int:
+    """The code of a node's shape; no part of it is a base pattern."""
     digits = "".join(c for c in v if "0" <= c <= "9")
-    x = np.zeros(FEATURES, dtype="float32")
-    x[0] = 1
-    x[1 + min(6, d // 3)] = 1
-    x[8], x[9], x[10] = at == 1, "." in v[v.find("@") :] if at else 0, v.startswith("+")
-    x[11], x[12], x[13] = a == 0, dots == 3 and a == 0, "(" in v or ")" in v
-    x[14], x[15], x[16] = "-" in v, " " in v, d >= 13 and luhn(digits)
-    x[17], x[18], x[19] = a > d, len(v) > 24, d == len(v)
-    x[20], x[21] = 13 <= d <= 19, 9 <= d <= 15
+    d, a = len(digits), sum(c.isalpha() for c in v)
+    at = v.count("@")
+    parts = (
+        sum(d >= x for x in DIGIT_CLASSES), 0 if not at else 1 if at == 1 and "." in v[v.find("@") :] else 2, v.startswith("+"), 0 if not a else 1 if a <= d else 2,
+        v.count(".") == 3 and a == 0, "(" in v or ")" in v, "-" in v, " " in v, d >= 13 and luhn(digits), len(v) > 24)
+    code = 0
+    for x, n in zip(parts, SHAPES):
+        code = code * n + int(x)
+    return code
+
+
+def expanded(codes: np.ndarray) -> np.ndarray:
+    """Shape codes as rows of features: a constant and one indicator for each part's value."""
+    x = np.zeros((len(codes), FEATURES), dtype="float32")
+    x[:, 0] = 1
+    at, rest, rows = FEATURES, codes.astype("int64"), np.arange(len(codes))
+    for n in reversed(SHAPES):
+        at -= n
+        x[rows, at + rest % n] = 1
+        rest = rest // n
     return x
 
 
+def masked(kind: int, v: str) -> str:
+    """A base match in a form that the patterns do not know."""
+    if kind == 0:
+        return v.split("@")[0]
+    if kind == 1:
+        return v.replace(".", "-")
+    digits = "".join(c for c in v if "0" <= c <= "9")
+    if kind == 2:
+        return digits[-max(10, len(digits) - 4) :]
+    return re.sub(r"^\+[0-9]{1,3}[\x20.-]*", "", v) or digits
+
+
 def values(v: str) -> list[str]:
     """Values by which a node is found again; nodes that share one are linked."""
     out = []
@@ -145,12 +185,14 @@ def values(v: str) -> list[str]:
     return out
 
 
-def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip): nodes next to each other within 40 code points; each value's occurrence with the one before and the anchor.
+def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """(chain, skip, anchors): nodes next to each other within CHAIN code points; each value's occurrence with the one before
+    and the anchor; the anchor of each node's values, or -1.
 
-    A value's anchor is its first base match, else its first occurrence.
+    A value's anchor is its first base match, else its first occurrence; a node of several values has that of the first one
+    with a base match, else of its first value.
     """
-    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 40]
+    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= CHAIN]
     held = [values(text[s:e]) for s, e, _ in found]
     anchor: dict[str, int] = {}
     for i, (_, _, kind) in enumerate(found):
@@ -159,34 +201,77 @@ def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
                 anchor[v] = i
     last: dict[str, int] = {}
     skip: dict[tuple[int, int], None] = {}
+    anchors = []
     for i, vs in enumerate(held):
+        own = -1
         for v in vs:
             for j in (last.get(v, i), anchor[v]):
                 if j != i:
                     skip[min(i, j), max(i, j)] = None
             last[v] = i
-    return chain, list(skip)
+            if (j := anchor[v]) != i and (own < 0 or (found[j][2] >= 0 > found[own][2])):
+                own = j
+        anchors.append(own)
+    return chain, list(skip), anchors
+
+
+def parts(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The least node of each node's connected part."""
+    label = np.arange(n)
+    while len(pairs):
+        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, pairs.ravel(), np.repeat(low, 2))
+        np.minimum.at(new, label[pairs.ravel()], np.repeat(low, 2))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
 
 @dataclass
 class Field:
     unary: np.ndarray  # features by labels
-    chain: np.ndarray  # labels by labels
-    skip: np.ndarray
+    chain: np.ndarray  # labels by labels: the one before by the one after
+    skip: np.ndarray  # labels by labels, where one end is evidence
+    echo: np.ndarray  # labels by labels, where neither is
 
     def labels(self, text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
-        """Marginals of each node after loopy sum-product."""
-        n, k = len(found), NONE + 1
-        own = np.stack([shape(text[s:e]) for s, e, _ in found]).astype("float64") @ self.unary
-        for i, (_, _, kind) in enumerate(found):
-            if kind >= 0:
-                own[i] = -50.0
-                own[i, kind] = 0
-        chain, skip = edges(text, found)
+        """Marginals of each node after loopy sum-product, over some of the connected parts at a time."""
+        n = len(found)
+        codes = np.array([shape(text[s:e]) for s, e, _ in found], dtype="int32")
+        kinds = np.array([k for _, _, k in found])
+        chain, skip, _ = edges(text, found)
         pairs = np.array(chain + skip, dtype="int64").reshape(-1, 2)
+        skips = np.arange(len(pairs)) >= len(chain)
+        if n <= PART_NODES:
+            return self.settled(codes, kinds, pairs, skips)
+        part = parts(n, pairs)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        place = np.empty(n, dtype="int64")
+        place[order] = np.arange(n)
+        out = np.empty((n, NONE + 1))
+        a = 0
+        while a < n:
+            z = int(starts[max(np.searchsorted(starts, a, "right"), np.searchsorted(starts, a + PART_NODES, "right") - 1)]) if a + PART_NODES < n and starts[-1] > a else n
+            mine = (place[pairs[:, 0]] >= a) & (place[pairs[:, 0]] < z)
+            out[order[a:z]] = self.settled(codes[order[a:z]], kinds[order[a:z]], place[pairs[mine]] - a, skips[mine])
+            a = z
+        return out
+
+    def settled(self, codes: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """Marginals of nodes of these shapes; kinds: of evidence, else -1; pairs that are skip edges, else chain ones."""
+        k = NONE + 1
+        own = expanded(codes).astype("float64") @ self.unary
+        sure = kinds >= 0
+        own[sure] = -50.0
+        own[sure, kinds[sure]] = 0
         if not len(pairs):
             return soft(own)
-        pot = np.concatenate((np.broadcast_to(self.chain, (len(chain), k, k)), np.broadcast_to(self.skip, (len(skip), k, k))))
+        told = sure[pairs].any(axis=1)
+        pot = np.where(skips[:, None, None], np.where(told[:, None, None], self.skip, self.echo), self.chain)
         src = np.concatenate((pairs[:, 0], pairs[:, 1]))
         dst = np.concatenate((pairs[:, 1], pairs[:, 0]))
         pot = np.concatenate((pot, pot.transpose(0, 2, 1)))
@@ -197,7 +282,6 @@ class Field:
             return new - np.logaddexp.reduce(new, axis=1, keepdims=True)
 
         # evidence speaks first and in full, so that many unsure occurrences do not outvote it before it is heard
-        sure = np.array([kind >= 0 for _, _, kind in found])
         msg = np.where(sure[src, None], sent(own[src]), -np.log(k))
         belief = own.copy()
         np.add.at(belief, dst, msg)
@@ -234,62 +318,76 @@ def find(text: str, model: Field | None) -> tuple[list[tuple[int, int, int]], li
     return base, added
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, chains: np.ndarray, skips: np.ndarray, steps: int = 300) -> Field:
-    """Piecewise training: softmax regression for nodes, smoothed log ratios of joint to independent labels for edges."""
+def examples(text: str) -> list[tuple[int, int, int, int]]:
+    """(shape code, label, label before, label of the anchor) for training, from one text; ABSENT where there is none."""
+    base = base_spans(text)
+    found = nodes(text, base)
+    if not found:
+        return []
+    chain, _, anchors = edges(text, found)
+    before = {j: i for i, j in chain}
+    # a token whose value some base match has is of that kind or not: nobody knows
+    label = [k if k >= 0 else -1 if anchors[i] >= 0 and found[anchors[i]][2] >= 0 else NONE for i, (_, _, k) in enumerate(found)]
+    seen = lambda i: label[i] if i is not None and i >= 0 and label[i] >= 0 else ABSENT
+    out = [(shape(text[s:e]), label[i], seen(before.get(i)), seen(anchors[i])) for i, (s, e, _) in enumerate(found) if label[i] >= 0]
+    for k, s, e in base:
+        code = shape(masked(k, text[s:e]))
+        out += [(code, j, ABSENT, j) for j in range(NONE)] + [(code, NONE, ABSENT, ABSENT), (code, NONE, ABSENT, NONE)]
+    return out
+
+
+def fit_counts(rows: list[tuple[int, int, int, int, int]], steps: int = 1500) -> Field:
+    """rows: an example and how often it is met. All potentials by gradient steps on the regularised pseudo-likelihood."""
+    code, y, left, anchor, n = (np.array(c) for c in zip(*sorted(rows)))
     k = NONE + 1
-    w = np.zeros((FEATURES, k))
-    freq = np.bincount(y, minlength=k) + 1.0
-    weight = 1 / np.sqrt(freq)[y]
-    weight /= weight.sum()
+    x = np.concatenate((expanded(code).astype("float64"), np.eye(ABSENT + 1)[left][:, :k], np.eye(ABSENT + 1)[anchor][:, :k]), axis=1)
+    share = n / np.sqrt(np.bincount(y, weights=n, minlength=k))[y]
+    share = (share / share.sum())[:, None]
     target = np.eye(k)[y]
-    for i in range(steps):
-        p = soft(x @ w)
-        w -= 4.0 * (1 - i / steps) * (x.T @ ((p - target) * weight[:, None]) + 1e-4 * w)
+    w, m, v = (np.zeros((x.shape[1], k)) for _ in range(3))
+    decay = np.full((x.shape[1], 1), 1e-4)
+    for t in range(1, steps + 1):
+        g = x.T @ ((soft(x @ w) - target) * share) + decay * w
+        g[-k:] = (g[-k:] + g[-k:].T) / 2  # equal either way
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    skip = (w[-k:] + w[-k:].T) / 2
+    return Field(w[:FEATURES], w[FEATURES : FEATURES + k], skip, balanced(skip))
 
-    def pair(joint: np.ndarray, prior: float, least: float) -> np.ndarray:
-        j = joint + joint.T + prior * np.eye(k) + 0.5
-        ratio = np.log(j / j.sum()) - np.log(np.outer(j.sum(0), j.sum(1)) / j.sum() ** 2)
-        return np.maximum(ratio, least * np.eye(k)) if least else ratio
 
-    # equal values agree: at least so strongly that one sure neighbour outweighs a token's own shape
-    return Field(w, np.clip(pair(chains, 1.0, 0.0), -1, 1), np.clip(pair(skips, 5.0, 3.0), -4, 4))
+def balanced(s: np.ndarray) -> np.ndarray:
+    """A symmetric potential scaled so that all its rows' exponentials sum to one: a neighbour that knows nothing then says nothing.
+
+    Else unsure occurrences of a value would talk each other into the kind whose potential is greatest.
+    """
+    for _ in range(200):
+        s = s - np.logaddexp.reduce(s, axis=1, keepdims=True) / 2
+        s = s - np.logaddexp.reduce(s, axis=0, keepdims=True) / 2
+    return (s + s.T) / 2
 
 
 def fit(docs: DataFrame) -> Field | None:
-    """docs: doc_id, text. Trained on the base matches of a sample picked by a hash of the id."""
-    share = int(1_000_000 * min(1.0, 1.3 * SAMPLE_DOCS / max(1, docs.count())))
-    picked = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share))
+    """docs: text. Trained on counts over all documents, of which there are at most CODES by the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys, cs, ss = [], [], [], []
-            for doc in batch.column(0):
-                text = doc.as_py()
-                found = nodes(text, base_spans(text))[:SAMPLE_NODES]
-                if not found:
-                    continue
-                y = [k if k >= 0 else NONE for _, _, k in found]
-                chain, skip = edges(text, found)
-                xs.append(np.concatenate([shape(text[s:e]) for s, e, _ in found]).tolist())
-                ys.append(y)
-                cs.append([y[i] * 5 + y[j] for i, j in chain])
-                ss.append([y[i] * 5 + y[j] for i, j in skip])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), *(pa.array(v, pa.list_(pa.int32())) for v in (ys, cs, ss))], ["x", "y", "c", "s"])
-
-    got = picked.select("text").mapInArrow(run, "x array<float>, y array<int>, c array<int>, s array<int>").limit(2 * SAMPLE_DOCS).toPandas()
-    if not len(got):
-        return None
-    x = np.concatenate(got["x"].to_list()).reshape(-1, FEATURES).astype("float64")
-    joint = [np.bincount(np.concatenate([np.asarray(v, "int64") for v in got[c]]), minlength=25).reshape(5, 5) for c in "cs"]
-    order = np.lexsort(x.T)  # rows come in any order; sums of them should not
-    return fit_rows(x[order], np.concatenate(got["y"].to_list())[order], *joint)
+            seen: Counter = Counter()
+            for text in batch.column(0):
+                if (t := text.as_py()) and MARK.search(t):
+                    seen.update(examples(t))
+            cols = list(zip(*((*e, n) for e, n in seen.items()))) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.int64())], ["code", "y", "l", "a", "n"])
+
+    got = docs.select("text").mapInArrow(released(run), "code int, y int, l int, a int, n long").groupBy("code", "y", "l", "a").agg(F.sum("n").alias("n"))
+    rows = [tuple(r) for r in got.collect()]
+    return fit_counts(rows) if any(r[1] != NONE for r in rows) else None
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def personal_data(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,12 +402,12 @@ def personal_data(docs: DataFrame, model: Field | None, id_col: str = "doc_id",
                 for doc, text in zip(batch.column(0).slice(a, z - a).to_pylist(), batch.column(1).slice(a, z - a)):
                     base, added = find(text.as_py() or "", m)
                     n = [sum(k == i for k, _, _ in base) for i in range(NONE)]
-                    rows.append((doc, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added)))
+                    rows.append((doc, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added), len(base) + len(added)))
                 cols = list(zip(*rows))
-                kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64()]
+                kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), RESULT)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
