@@ -2,13 +2,18 @@
 
 Trusted positives are rows labelled 1; the unlabelled set is web text whose labels are not looked at. With the class prior
 p, the classifier minimises  p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])  for the logistic loss, by mini-batches whose
-negative part is stepped back whenever it falls below zero. The prior is the share of 1 among labelled rows where both
-labels occur, else it is estimated from the scores of the positives. Features are statistics of the whole text; none is
-taken from ids, sources or languages. Scores are made probabilities by Platt scaling on labelled rows of the sample.
+negative part is stepped back whenever it falls below zero. The prior is always estimated, from positives and unlabelled text:
+the least ratio of the share of unlabelled rows to the share of positive ones among rows that a classifier of one against the
+other scores low is what cannot be positive. Scores are made probabilities by a line through the raw score, set by where the
+unlabelled rows part below the positives and by their mean, which should be the prior. No row labelled 0 is read. Features are statistics of the whole text; none is taken from
+ids, sources or languages.
+
+The fit reads at most about LABELLED_ROWS trusted positives and UNLABELLED_ROWS unlabelled rows, picked by a hash of their id:
+both bounds are parameters, and the second one is a sample of unlabelled text that learning from it by mini-batches needs.
 
 Defined results: null text is the empty text and gets a score like any other; repeated rows get equal scores; with no
-labelled positives every score is the prior 0.5; a row labelled several times counts with its least label; other columns
-are ignored; an empty table gives an empty result.
+labelled positives every score is 0.5; a row labelled several times counts with its least label; a null id is not held out;
+ties at the threshold count as accepted; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, table
+from .common import crc_fold, released, slices, table
 from .shingles import text_buffers, words
 
 #: Rows a fit may read: labelled ones, and unlabelled web text.
 LABELLED_ROWS, UNLABELLED_ROWS = 6000, 6000
 CUT = 0.3
+LEAST_STEPS = 1000
 PIECE = 1 << 20
 
 _KIND = np.full(256, 6, dtype="uint8")  # other bytes: of letters outside ASCII
@@ -71,7 +77,7 @@ class Model:
     scale: np.ndarray
     hidden: np.ndarray
     out: np.ndarray
-    platt: tuple[float, float]
+    line: tuple[float, float]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -79,15 +85,27 @@ class Model:
         return np.concatenate((np.tanh(z @ self.hidden), z), axis=1) @ self.out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.platt
+        a, b = self.line
         return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -40, 40)))
 
 
 def estimated_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled from how a positive-against-unlabelled classifier scores both."""
-    m = train(x, positive, unlabelled, None)
-    p, u = (1 / (1 + np.exp(-m.raw(x[i]))) for i in (positive, unlabelled))
-    return float(np.clip(np.mean(u >= np.quantile(p, 0.1)) / 0.9, 0.05, 0.98))
+    """Share of positives among the unlabelled, from how positive-against-unlabelled classifiers score rows they did not learn from.
+
+    Among rows scored above any level, unlabelled ones are at least the prior's share of what positives are; the level at
+    which that bound is least, allowing for the chance of few rows, is where negatives no longer mix in.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for half in (0, 1):
+        m = train(x, positive[half::2], unlabelled[half::2], None, epochs=30, units=4)
+        p[1 - half :: 2], u[1 - half :: 2] = m.raw(x[positive[1 - half :: 2]]), m.raw(x[unlabelled[1 - half :: 2]])
+    levels = np.quantile(p, np.linspace(0.01, 0.9, 90))
+    above_p, above_u = ((v[:, None] >= levels).mean(axis=0) for v in (p, u))
+    slack = np.sqrt(1 / len(u)) + np.sqrt(1 / len(p))
+    best = int(np.argmin((above_u + slack) / np.maximum(above_p - slack, 1e-9)))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
 def train(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = 60, units: int = 12, seed: int = 3) -> Model:
@@ -101,6 +119,7 @@ def train(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: fl
     z = np.concatenate((np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))), axis=1)
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (m.hidden, m.out)]
     t, parts = 0, max(1, len(both) // 512)
+    epochs = max(epochs, LEAST_STEPS // parts)  # few rows are gone through more often
     for epoch in range(epochs):
         for pos, unl in zip(np.array_split(rng.permutation(positive), parts), np.array_split(rng.permutation(unlabelled), parts)):
             if not len(pos) or not len(unl):
@@ -129,22 +148,25 @@ def train(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: fl
     return m
 
 
-def platt(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the raw score by damped Newton steps on smoothed labels."""
-    g = np.clip(m.raw(x), -20, 20)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
-    f = np.stack((g, np.ones_like(g)))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * g + b, -40, 40)))
-        grad = f @ (p - target) + np.array([1e-3 * (a - 1), 0])
-        hess = (f * (p * (1 - p))) @ f.T + np.diag([1e-3, 1e-6])
-        step = np.linalg.solve(hess + 1e-6 * np.eye(2), grad)
-        step *= min(1.0, 2 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+def calibrated(m: Model, x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """(slope, offset) of the raw score from trusted positives and unlabelled rows alone.
+
+    Below the lower edge of the positives' scores, the widest gap of the unlabelled ones, near that edge, parts the classes: its
+    middle becomes CUT. The slope is what brings the mean probability of unlabelled rows nearest to the prior.
+    """
+    g = np.sort(m.raw(x[unlabelled]))
+    edge = float(np.quantile(m.raw(x[positive]), 0.005))
+    low = np.append(g[g < edge], edge)
+    w = max(1, len(low) // 100)
+    mid, wide = (low[w:] + low[:-w]) / 2, low[w:] - low[:-w]
+    middle = edge
+    if len(wide):
+        reach = max(1e-6, edge - float(np.median(low))) / 2
+        middle = float(mid[np.argmax(wide * np.exp(-0.5 * ((edge - mid) / reach) ** 2))])
+    z = g - middle
+    mean = lambda a: (1 / (1 + np.exp(-np.clip(a * z + np.log(CUT / (1 - CUT)), -40, 40)))).mean()
+    slope = float(min(np.geomspace(0.5, 20, 40), key=lambda a: (abs(mean(a) - prior), a)))
+    return slope, float(np.log(CUT / (1 - CUT)) - slope * middle)
 
 
 def table_features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -159,30 +181,26 @@ def table_features(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([flat, *part.columns[1:]], ["x", *keep])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(run, f"x array<double>, {kinds}")
+    return docs.select("text", *keep).mapInArrow(released(run), f"x array<double>, {kinds}")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
     """docs: doc_id, text; labels: doc_id, quality. Rows held out are read neither as labelled nor as unlabelled text."""
     part = lambda n, rows: int(1_000_000 * min(1.0, 1.3 * rows / max(1, n)))
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    known = labels.where(F.col("quality").isNotNull() & (crc_fold() != 0))
-    chosen = known.where(dealt < part(known.count(), labelled_rows)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")).limit(2 * labelled_rows)
+    trusted = labels.where(F.col("quality").isNotNull() & (crc_fold() != 0)).groupBy("doc_id").agg(F.min("quality").alias("y")).where("y = 1")
+    chosen = trusted.where(dealt < part(trusted.count(), labelled_rows)).select("doc_id", F.lit(1).alias("y")).limit(2 * labelled_rows)
     web = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < part(docs.count(), unlabelled_rows)
     joined = docs.where(crc_fold() != 0).join(F.broadcast(chosen), "doc_id", "left").withColumn("web", web)
     got = table_features(joined.where("web or y is not null").select("doc_id", "text", "y", "web"), ["doc_id", "y", "web"]).limit(4 * (labelled_rows + unlabelled_rows)).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    y = got["y"].to_numpy("float64", na_value=np.nan)
-    positive, unlabelled = np.flatnonzero(y == 1), np.flatnonzero(got["web"].to_numpy(bool))
+    positive, unlabelled = np.flatnonzero(got["y"] == 1), np.flatnonzero(got["web"].to_numpy(bool))
     if not len(positive) or not len(unlabelled):
         return None
     x = np.stack(got["x"].to_numpy())
-    seen = np.flatnonzero(~np.isnan(y))
-    prior = float(y[seen].mean())
-    prior = float(np.clip(prior, 0.05, 0.98)) if prior < 1 else estimated_prior(x, positive, unlabelled)
+    prior = estimated_prior(x, positive, unlabelled)
     model = train(x, positive, unlabelled, prior)
-    if 0 < y[seen].mean() < 1:
-        model.platt = platt(model, x[seen], y[seen])
+    model.line = calibrated(model, x, positive, unlabelled, prior)
     return model
 
 
@@ -201,7 +219,7 @@ def assess(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
                 s = m.score(features(*text_buffers(part.column(1)))) if m else np.full(z - a, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= cut).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 0).alias("held_out")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 0).alias("held_out")).mapInArrow(released(run), RESULT)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -219,7 +237,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFr
                 s = m.score(features(*text_buffers(part.column(at)))) if m else np.full(z - a, 0.5)
                 yield part.filter(pa.array(s >= cut, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

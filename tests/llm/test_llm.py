@@ -128,7 +128,7 @@ def test_base_spans_equal_the_patterns(spark, sf_dir):
 
 
 def test_long_runs_are_read_once():
-    m = pii.fit_rows(np.zeros((2, pii.FEATURES)), np.array([3, pii.NONE]), np.zeros((5, 5)), np.zeros((5, 5)))
+    m = pii.fit_counts([(pii.shape("+1 (767) 555-5699"), 3, pii.ABSENT, pii.ABSENT, 5), (pii.shape("word"), pii.NONE, pii.ABSENT, pii.ABSENT, 5)])
     for t in ("1" * 300_000 + "x", "y" * 300_000 + " 1", "1 " * 100_000 + "1x", "@" * 100_000, "a@" * 50_000, "+1(" * 50_000):
         pii.find(t, m)
 
@@ -154,6 +154,63 @@ def test_a_value_that_returns_fifty_times_is_marked_each_time(spark):
             assert len(found) == 1 and [(pii.KINDS[k], text[s:e]) for k, s, e in added] == [("phone", v)] * 50
 
 
+def exact_marginals(field, text, found):
+    """By enumeration of all labellings."""
+    from itertools import product
+
+    chain, skip, _ = pii.edges(text, found)
+    own = pii.expanded(np.array([pii.shape(text[s:e]) for s, e, _ in found])) @ field.unary
+    out = np.zeros(own.shape)
+    for y in product(range(pii.NONE + 1), repeat=len(found)):
+        if all(k < 0 or y[i] == k for i, (_, _, k) in enumerate(found)):
+            z = sum(own[i, c] for i, c in enumerate(y)) + sum(field.chain[y[i], y[j]] for i, j in chain) + sum((field.skip if max(found[i][2], found[j][2]) >= 0 else field.echo)[y[i], y[j]] for i, j in skip)
+            for i, c in enumerate(y):
+                out[i, c] += np.exp(z)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def random_field(rng, size=1.0):
+    sym = rng.normal(0, size, (5, 5))
+    return pii.Field(rng.normal(0, size, (pii.FEATURES, 5)), rng.normal(0, size, (5, 5)), (sym + sym.T) / 2, pii.balanced(sym + sym.T))
+
+
+def test_marginals_equal_enumeration(monkeypatch):
+    rng = np.random.default_rng(3)
+    far = "-" * 50 + " "
+    trees = ["5551234567 " + far + "5551234567", "a.b@c.de now", "x1 y2 z3 w4", "5551234567 a1 " + far + "b2 5551234567"]
+    loops = ["5551234567 a1 5551234567 b2", "a.b@c.de x1 a.b " + far + "a.b@c.de a.b"]
+    for text in trees + loops:
+        found = pii.nodes(text, pii.base_spans(text))
+        assert 1 < len(found) < 8
+        for size in (0.5, 1.5) if text in trees else (0.4,):
+            f = random_field(rng, size)
+            assert np.abs(f.labels(text, found) - exact_marginals(f, text, found)).max() < (0.005 if text in trees else 0.05)
+
+
+def test_parts_are_settled_one_after_the_other(monkeypatch):
+    f = random_field(np.random.default_rng(4))
+    text = " ".join(f"{i}-{i * 7919 % 10_000_000:07d}" + " words that part them, far enough from each other for no chain" * (i % 3 == 0) for i in range(60)) + " 3-0023757" * 3
+    found = pii.nodes(text, pii.base_spans(text))
+    whole = f.labels(text, found)
+    for n in (1, 7, 30):
+        monkeypatch.setattr(pii, "PART_NODES", n)
+        assert np.abs(f.labels(text, found) - whole).max() < 0.01
+
+
+def test_the_field_is_learned_and_decides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    m = pii.fit(docs)
+    assert all(m.skip[k, k] - m.skip[k, pii.NONE] > 5 for k in range(pii.NONE)) and np.allclose(np.exp(m.echo).sum(axis=1), 1, atol=1e-3)  # nobody set these
+    assert pii.find("5927243074273351 is no card " + "for sure, 5927243074273351 is a number, " * 4, m) == ([], [])
+    lost = "4845168114407329 4845168114407329"  # one run of 32 digits to the pattern
+    assert pii.base_spans(lost) == [] and pii.find(lost, m)[1] == [(2, 0, 16), (2, 17, 33)]
+    assert pii.find("mail jane.doe@x.org or just Jane.Doe now", m)[1] == [(0, 28, 36)]
+    assert sum(r.n_added for r in pii.op3_pii(spark, "/root/testdata/sf0.01").collect()) > 0
+    assert pii.fit(docs.where("text LIKE 'no such text'")) is None
+    twice = pii.fit(docs.union(docs))  # counts of all rows, in any order
+    assert np.allclose(twice.skip, m.skip) and np.allclose(twice.unary, m.unary)
+
+
 # ---- 4 mixing
 
 
@@ -438,17 +495,32 @@ def test_quality_of_odd_tables(spark):
     m = quality.fit(docs, labels)
     got = quality.assess(docs, m).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.assess(docs, None).collect()} == {0.5}
+    assert quality.fit(docs, labels.where("quality = 0")) is None and quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.assess(docs, None).collect()} == {0.5}
     assert quality.assess(table(spark, []), m).count() == 0
     assert quality.keep_quality(docs, labels.limit(0)).columns == docs.columns
 
 
-def test_prior_is_estimated_without_negatives():
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_is_estimated_without_negatives(share):
     rng = np.random.default_rng(0)
-    x = np.concatenate((rng.normal(2, 1, (500, 3)), rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (300, 3))))
-    assert abs(quality.estimated_prior(x, np.arange(500), np.arange(500, 1100)) - 0.5) < 0.12
-    m = quality.train(x, np.arange(500), np.arange(500, 1100), 0.5)
-    assert (m.score(x[:500]) > 0.5).mean() > 0.95 and (m.score(x[800:]) < 0.5).mean() > 0.95
+    n = int(1200 * share)
+    x = np.concatenate((rng.normal(2, 1, (1000, 3)), rng.normal(2, 1, (n, 3)), rng.normal(-2, 1, (1200 - n, 3))))
+    pos, unl = np.arange(1000), np.arange(1000, 2200)
+    prior = quality.estimated_prior(x, pos, unl)
+    assert abs(prior - share) < 0.1
+    m = quality.train(x, pos, unl, prior)
+    m.line = quality.calibrated(m, x, pos, unl, prior)
+    assert (m.score(x[: 1000 + n]) >= quality.CUT).mean() > 0.97 and (m.score(x[1000 + n :]) < quality.CUT).mean() > 0.97
+    assert abs(m.score(x[unl]).mean() - share) < 0.1
+
+
+def test_no_row_labelled_0_is_read(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    a, b = quality.fit(docs, labels), quality.fit(docs, labels.where("quality = 1"))
+    assert np.array_equal(a.out, b.out) and a.line == b.line
+    null = quality.assess(spark.createDataFrame([(None, "some text"), (3, None), (3, None)], "doc_id long, text string"), a).collect()
+    assert [r.held_out for r in null if r.doc_id is None] == [False] and len({r.score for r in null if r.doc_id == 3}) == 1
 
 
 # ---- 9 HTML
