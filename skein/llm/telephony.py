@@ -1,12 +1,14 @@
 """Operator 7, telephony audio: mu-law and A-law by lookup, IMA ADPCM with numpy across blocks, resampled PCM.
 
 `decode_media` reads WAVE containers of formats 1 (PCM), 6 (A-law), 7 (mu-law) and 17 (IMA ADPCM) and gives 16-bit PCM at
-the wanted rate; `wave_file` writes any of them. The query stores each text's bytes as mu-law codes in such a file, reads
-the file back, and digests what it holds, its PCM at twice the rate, and the same bytes read as ADPCM blocks.
+the wanted rate; `wave_file` writes any of them. The query stores each text's bytes as 8-bit codes in a mu-law file, reads the
+file back, stores its PCM resampled to twice the rate as PCM files of bounded length, reads these back, and digests what they
+hold; the same bytes stored as A-law and as ADPCM blocks are decoded as well.
 
 Defined results: null text is the empty text, whose payload is 64 zero bytes; equal texts have equal values; null media
-decode to null; media of another format or cut short raise ValueError; other columns are ignored; an empty table gives an
-empty result. Long payloads pass through in pieces, so memory does not grow with them beyond the bytes themselves.
+decode to null; media of another format or cut short raise ValueError; repeated rows are stored each; other columns are
+ignored; an empty table gives an empty result. Long payloads pass through in pieces, so memory does not grow with them beyond
+the bytes themselves.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import released, slices, table
 
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 BLOCK_BYTES = 64
 #: Bytes decoded at a time.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 #: Step sizes of IMA ADPCM, as its specification lists them.
 STEPS = np.array([
@@ -122,14 +124,31 @@ def to_pcm(kind: int, block: int, data: np.ndarray) -> np.ndarray:
     raise ValueError(f"format {kind} is not telephony audio")
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation at the new rate, in integers; the last sample holds on."""
+def resample(x: np.ndarray, rate: int, to: int, following: int | None = None) -> np.ndarray:
+    """Linear interpolation at the new rate, in integers. After the last sample comes `following`, or it holds on."""
     if rate == to or not len(x):
         return x
     at = np.arange(-(-len(x) * to // rate), dtype="int64") * rate
     i, part = np.minimum(at // to, len(x) - 1), at % to
-    a, b = x[i].astype("int64"), x[np.minimum(i + 1, len(x) - 1)].astype("int64")
-    return (a + (b - a) * part // to).astype("<i2")
+    more = np.append(x, x[-1] if following is None else np.asarray(following, x.dtype)).astype("int64")
+    return (more[i] + (more[i + 1] - more[i]) * part // to).astype("<i2")
+
+
+def stored_pcm(media: bytes, to: int, samples: int = PIECE) -> Iterator[bytes]:
+    """16-bit PCM files at rate `to` of a WAVE file's sound, each of about `samples` of its samples; one after the other they are the whole sound."""
+    kind, rate, block, data = read_wave(media)
+    codes = np.frombuffer(data, "uint8")
+    unit = block if kind == IMA_ADPCM else {PCM: 2}.get(kind, 1)
+    whole = len(codes) // unit
+    per = 2 * (block - 4) + 1 if kind == IMA_ADPCM else 1
+    # pieces of whole blocks whose samples fall on whole steps of the new rate, so that none moves
+    step = rate // math.gcd(rate, to)
+    take = max(1, samples // (per * step)) * step
+    for a in range(0, max(1, whole), take):
+        z = min(whole, a + take)
+        pcm = to_pcm(kind, block, codes[a * unit : z * unit])
+        nxt = to_pcm(kind, block, codes[z * unit : (z + 1) * unit])[:1] if z < whole else ()
+        yield wave_file(resample(pcm, rate, to, int(nxt[0]) if len(nxt) else None).tobytes(), PCM, to)
 
 
 def decode_media(media: Column, to: int = 16_000) -> Column:
@@ -138,10 +157,7 @@ def decode_media(media: Column, to: int = 16_000) -> Column:
     @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
         def one(m: bytes | None) -> bytes | None:
-            if m is None:
-                return None
-            kind, rate, block, data = read_wave(m)
-            return wave_file(resample(to_pcm(kind, block, np.frombuffer(data, "uint8")), rate, to).tobytes(), PCM, to)
+            return None if m is None else wave_file(b"".join(bytes(read_wave(p)[3]) for p in stored_pcm(m, to)), PCM, to)
 
         return pa.array([one(m) for m in col.to_pylist()], pa.binary())
 
@@ -149,60 +165,68 @@ def decode_media(media: Column, to: int = 16_000) -> Column:
 
 
 class Sound:
-    """Running features of one stream of mu-law codes that is fed in pieces of whole blocks."""
+    """Running features of one stream of 16-bit samples that is fed in pieces."""
 
     def __init__(self) -> None:
-        self.n = self.squares = self.peak = self.crossings = self.up = self.adpcm = 0
-        self.last: np.ndarray | None = None
+        self.n = self.squares = self.peak = self.crossings = self.crc = 0
+        self.last = np.zeros(0, "<i2")
 
-    def feed(self, pcm: np.ndarray, adpcm: np.ndarray) -> None:
+    def feed(self, pcm: np.ndarray) -> None:
         x = pcm.astype("int32")
         self.n += len(x)
         self.squares += int((x.astype("int64") * x).sum())
-        self.peak = max(self.peak, int(np.abs(x).max()))
-        joined = pcm if self.last is None else np.concatenate((self.last, pcm))
+        self.peak = max(self.peak, int(np.abs(x).max(initial=0)))
+        joined = np.concatenate((self.last, pcm))
         self.crossings += int(((joined[1:] < 0) != (joined[:-1] < 0)).sum())
-        # twice the rate: each sample and the middle to the next one, as soon as that is there
-        a = joined.astype("int32")
-        both = np.stack((a[:-1], (a[:-1] + a[1:]) >> 1), axis=1).astype("<i2")
-        self.up = zlib.crc32(both.tobytes(), self.up)
+        self.crc = zlib.crc32(pcm.tobytes(), self.crc)
         self.last = joined[-1:].copy()
-        self.adpcm = zlib.crc32(adpcm, self.adpcm)
 
     def feature(self) -> str:
-        up = zlib.crc32(np.repeat(self.last, 2).tobytes(), self.up)
-        return f"rms:{math.isqrt(self.squares // self.n)};peak:{self.peak};crossings:{self.crossings};pcm16k:{up:08x};adpcm:{self.adpcm:08x}"
+        return f"rms:{math.isqrt(self.squares // max(1, self.n))};peak:{self.peak};crossings:{self.crossings};crc:{self.crc:08x}"
+
+
+def feature(media: bytes, to: int) -> str:
+    """Features of a stored file's sound, from its resampled PCM as stored and read back, and of its codes read as A-law."""
+    sound = Sound()
+    for part in stored_pcm(media, to):
+        sound.feed(np.frombuffer(read_wave(part)[3], "<i2"))
+    _, rate, _, data = read_wave(media)
+    crc = 0
+    for a in range(0, len(data), PIECE):
+        kind, _, block, again = read_wave(wave_file(bytes(data[a : a + PIECE]), A_LAW, rate))
+        crc = zlib.crc32(to_pcm(kind, block, np.frombuffer(again, "uint8")).tobytes(), crc)
+    return f"pcm{to}:{sound.feature()};alaw:{crc:08x}"
+
+
+def adpcm_checks(payloads: list[memoryview], rate: int) -> list[int]:
+    """A checksum of the sound of each payload (whole blocks) read as ADPCM, decoded across the blocks of all of them."""
+    flat = np.frombuffer(b"".join(payloads), "uint8")
+    ends = np.cumsum([len(p) for p in payloads]).tolist()
+    out, d = [0] * len(payloads), 0
+    for at in range(0, len(flat), PIECE):
+        kind, _, block, data = read_wave(wave_file(flat[at : at + PIECE].tobytes(), IMA_ADPCM, rate, BLOCK_BYTES))
+        sound = to_pcm(kind, block, np.frombuffer(data, "uint8")).reshape(-1, 2 * (block - 4) + 1)
+        a = 0
+        while a < len(sound):  # a piece may hold many payloads or part of one
+            z = min((ends[d] - at) // block, len(sound))
+            out[d] = zlib.crc32(sound[a:z], out[d])
+            d += ends[d] <= at + z * block
+            a = z
+    return out
 
 
 AUDIO = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def text_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000) -> DataFrame:
+def text_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000, to: int = 16_000) -> DataFrame:
     """Each text stored as a mu-law file and read back: digests of the payload and the file, and features of the sound."""
 
     def rows(ids: list, texts: pa.Array) -> Iterator[tuple]:
-        media, heads = [], []
-        for t in texts:
-            payload = t.as_buffer().to_pybytes() if t.is_valid else b""
-            heads.append(len(payload))
-            media.append(wave_file(payload + b"\0" * (-len(payload) % BLOCK_BYTES if payload else BLOCK_BYTES), MU_LAW, rate))
+        raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
+        media = [wave_file(r + b"\0" * (-len(r) % BLOCK_BYTES if r else BLOCK_BYTES), MU_LAW, rate) for r in raw]
         back = [read_wave(m)[3] for m in media]
-        sounds = [Sound() for _ in back]
-        # all payloads of the slice in a row, decoded piece by piece; a piece may hold many texts or part of one
-        flat = np.frombuffer(b"".join(back), "uint8")
-        ends = np.cumsum([len(b) for b in back]).tolist()
-        d = 0
-        for at in range(0, len(flat), PIECE):
-            part = flat[at : at + PIECE]
-            pcm, blocks = to_pcm(MU_LAW, 1, part), decode_adpcm(part)
-            a = 0
-            while a < len(part):
-                z = min(ends[d] - at, len(part))
-                sounds[d].feed(pcm[a:z], blocks[a // BLOCK_BYTES : z // BLOCK_BYTES])
-                d += ends[d] <= at + z
-                a = z
-        for i, n, m, b, s in zip(ids, heads, media, back, sounds):
-            yield i, n, len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-BLOCK_BYTES:]), len(m), hashlib.sha256(m).hexdigest(), s.feature()
+        for i, r, m, b, crc in zip(ids, raw, media, back, adpcm_checks(back, rate)):
+            yield i, len(r), len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-BLOCK_BYTES:]), len(m), hashlib.sha256(m).hexdigest(), f"{feature(m, to)};adpcm:{crc:08x}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -212,7 +236,7 @@ def text_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = zip(*rows(batch.column(0).slice(a, z - a).to_pylist(), batch.column(1).slice(a, z - a)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, AUDIO)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), AUDIO)
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,54 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(table(spark, []), m).count() == 0
 
 
+def test_labels_of_long_texts_and_many_languages_are_learned(spark):
+    rows = [(i, "der hund und die katze " * 2000, "de") for i in range(40)] + [(100 + i, "the cat and the dog " * (i % 9 + 1), "en") for i in range(60)] + [(None, "the cat", "en"), (7, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit_counted(*langid.sample(docs))
+    assert m.langs == ["de", "en"]
+    got = langid.identify(docs, m).collect()
+    assert all(r.lang_pred == lang for r, (_, t, lang) in zip(sorted(got, key=lambda r: r.doc_id or -1), sorted(rows, key=lambda r: r[0] or -1)) if t) and [r.held_out for r in got if r.doc_id is None] == [False]
+    many = spark.createDataFrame([(i, "some text", f"l{i % 50}") for i in range(400)], "doc_id long, text string, lang string")
+    assert 50 >= len(langid.sample(many, total=50)[1]) >= 45
+
+
+def test_scores_equal_a_plain_sum(spark):
+    texts = ["the cat and the dog", "der hund und die katze", "The CAT!", "x", "été là-bas", "ab  cd"]
+    m = langid.fit(texts[:2] * 30, ["en", "de"] * 30)
+
+    def plain(text):  # one subword after the other
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        fold = lambda c: c if 97 <= c <= 122 or c >= 128 else 32
+        b, total, n = [fold(c) for c in b], np.zeros(len(m.langs)), 0
+        for k in langid.ORDERS:
+            for i in range(len(b) - k + 1):
+                if 32 in b[i + 1 : i + k - 1]:
+                    continue
+                h = 0
+                for c in b[i : i + k]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                h ^= h >> 15
+                h = ((h * 0x85EBCA6B) & 0xFFFFFFFF) >> 18
+                total, n = total + m.weights[h or 1], n + 1
+        z = (total / max(1, n) + m.bias) / m.temperature
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    for r in langid.identify(table(spark, list(enumerate(texts))), m).collect():
+        p = plain(texts[r.doc_id])
+        assert r.lang_pred == m.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
+
+
 def test_long_text_is_read_whole(monkeypatch):
     m = langid.fit(["the cat and the dog"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30)
     data = np.frombuffer(("the cat " * 500 + "der hund " * 700).encode(), "uint8")
     whole = m.logits(data, np.array([0, len(data)]))
     monkeypatch.setattr(langid, "PIECE", 997)
     assert np.allclose(m.logits(data, np.array([0, len(data)])), whole)
+    ids, share = langid.counted(data.tobytes())
+    monkeypatch.undo()
+    want = langid.counted(data.tobytes())
+    assert np.array_equal(ids, want[0]) and np.allclose(share, want[1])
 
 
 # ---- 3 personal data
@@ -459,7 +501,7 @@ def test_media_round_trip(spark):
         telephony.read_wave(media[0][:-1])
 
 
-def test_text_audio(spark, monkeypatch):
+def test_text_audio(spark):
     got = telephony.text_audio(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
     for r in got:
@@ -468,16 +510,41 @@ def test_text_audio(spark, monkeypatch):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = telephony.wave_file(payload, telephony.MU_LAW, 8000)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-        s = telephony.Sound()
         x = np.frombuffer(payload, "uint8")
-        s.feed(telephony.MU_LAW_PCM[x], telephony.decode_adpcm(x))
-        assert s.feature() == r.feature
-        s = telephony.Sound()
-        for a in range(0, len(x), 64):
-            s.feed(telephony.MU_LAW_PCM[x[a : a + 64]], telephony.decode_adpcm(x[a : a + 64]))
-        assert s.feature() == r.feature
         up = telephony.resample(telephony.MU_LAW_PCM[x], 8000, 16_000)
-        assert f"pcm16k:{zlib.crc32(up.tobytes()):08x}" in r.feature
+        s = telephony.Sound()
+        s.feed(up)
+        assert r.feature == f"pcm16000:{s.feature()};alaw:{zlib.crc32(telephony.A_LAW_PCM[x].tobytes()):08x};adpcm:{zlib.crc32(telephony.decode_adpcm(x).tobytes()):08x}"
+
+
+@pytest.mark.parametrize("kind", [telephony.PCM, telephony.A_LAW, telephony.MU_LAW, telephony.IMA_ADPCM])
+@pytest.mark.parametrize("to", [8000, 16_000, 11_025])
+def test_stored_pieces_are_the_whole_sound(kind, to):
+    data = np.random.default_rng(kind).integers(0, 256, 64 * 60, dtype="uint8").tobytes()
+    media = telephony.wave_file(data, kind, 8000, 64 if kind == telephony.IMA_ADPCM else None)
+    _, rate, block, back = telephony.read_wave(media)
+    whole = telephony.resample(telephony.to_pcm(kind, block, np.frombuffer(back, "uint8")), rate, to)
+    for samples in (1, 500, 1 << 20):
+        parts = [telephony.read_wave(p) for p in telephony.stored_pcm(media, to, samples)]
+        assert {p[:2] for p in parts} == {(telephony.PCM, to)} and b"".join(bytes(p[3]) for p in parts) == whole.tobytes()
+
+
+def test_features_go_through_the_stored_pcm_and_each_decoder(monkeypatch):
+    media = telephony.wave_file(bytes(range(256)), telephony.MU_LAW, 8000)
+    payloads = [memoryview(bytes(range(n % 251)) + bytes(64 - n % 251 % 64)) for n in (0, 64, 130, 250, 1000)]
+    digest = lambda: (telephony.feature(media, 16_000), telephony.adpcm_checks(payloads, 8000))
+    whole = digest()
+    assert whole[1] == [zlib.crc32(telephony.decode_adpcm(np.frombuffer(p, "uint8")).tobytes()) for p in payloads]
+    for piece in (64, 128, 192):
+        monkeypatch.setattr(telephony, "PIECE", piece)
+        assert digest() == whole
+    for name in ("MU_LAW_PCM", "A_LAW_PCM", "ADPCM_DIFF"):
+        with monkeypatch.context() as m:
+            m.setattr(telephony, name, getattr(telephony, name)[::-1].copy())
+            assert digest() != whole
+    with monkeypatch.context() as m:
+        m.setattr(telephony, "stored_pcm", lambda media, to: [telephony.wave_file(b"\0\0", telephony.PCM, to)])
+        assert digest() != whole
 
 
 # ---- 8 quality
