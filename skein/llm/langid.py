@@ -2,13 +2,13 @@
 
 Subwords are the byte 3- and 4-grams inside a word and its two edges, ASCII letters lower-cased, hashed into buckets. A text
 is the mean of its buckets' embeddings under a linear softmax; both are trained by stochastic gradient descent in numpy on a
-bounded sample of the labelled rows that are not held out. A temperature and the least confidence at which the accepted
+bounded sample of the labelled rows that are not held out, whose whole texts become bucket counts where they are read. A temperature and the least confidence at which the accepted
 calibration rows reach the wanted precision are fitted on rows of the sample that training did not see.
 
 Defined results: null text and text without a letter get `und` and score 0; so does every text when no row is labelled;
 every other text gets a learned language, whole texts being read whatever their length, and `accepted` tells whether the
 calibrated score passes the rejection threshold; repeated rows get equal results; ties go to the language first in order;
-other columns are ignored.
+a null id is not held out; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, table
+from .common import crc_fold, released, slices, table
 from .shingles import text_buffers
 
 BUCKETS, DIM, ORDERS = 1 << 14, 12, (3, 4)
-#: Labelled rows of each language that a fit may read, and the longest text among them (bytes).
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 20_000
+#: Labelled rows of each language that a fit may read, and of all; a column of very many languages gives fewer rows of each.
+SAMPLE_ROWS, SAMPLE_TOTAL = 600, 20_000
 PRECISION = 0.99
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 20
@@ -95,19 +95,30 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model | None:
-    """SGD over mini-batches of texts; every fifth text is kept for calibration."""
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares) of a text's subwords, a text longer than PIECE in overlapping pieces; of bounded size for any text."""
+    data, n = np.frombuffer(text, "uint8"), np.zeros(BUCKETS, dtype="int64")
+    lap = max(ORDERS) - 1
+    for a in range(0, max(1, len(data) - lap), PIECE):
+        z = min(len(data), a + PIECE + lap)
+        for h in subwords(data, np.array([a, z])):
+            n += np.bincount(h[: PIECE if z < len(data) else None], minlength=BUCKETS)
+    n[0] = 0
+    ids = np.flatnonzero(n)
+    return ids, (n[ids] / max(1, n.sum())).astype("float32")
+
+
+def fit(texts: list[str], labels: list[str], **how) -> Model | None:
+    return fit_counted([counted(t.encode()) for t in texts], labels, **how)
+
+
+def fit_counted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model | None:
+    """SGD over mini-batches of counted texts; every fifth text is kept for calibration."""
     langs = sorted(set(labels))
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([langs.index(x) for x in labels])
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in texts:
-        data = np.frombuffer(t.encode(), "uint8")
-        h = np.concatenate([*subwords(data, np.array([0, len(data)]))])
-        ids, n = np.unique(h[h > 0], return_counts=True)
-        rows.append((ids, (n / max(1, n.sum())).astype("float32")))
     kept = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype("float32")
     emb[0] = 0
@@ -135,7 +146,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
     model = Model(langs, (emb @ soft).astype("float32"), bias, 1.0, 0.0)
     held = np.flatnonzero(kept)
     if len(held):
-        z = np.concatenate([model.logits(d, np.array([0, len(d)])) for d in (np.frombuffer(texts[i].encode(), "uint8") for i in held)])
+        z = np.stack([(model.weights[rows[i][0]] * rows[i][1][:, None]).sum(axis=0) + bias for i in held])
         # one row in a hundred counts as mislabelled, or a clean split would drive the temperature to zero
         target = np.full(z.shape, 0.01 / max(1, len(langs) - 1))
         target[np.arange(len(held)), y[held]] = 0.99
@@ -149,17 +160,24 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
     return model
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most `rows` labelled rows a language, picked by a hash of their id, none held out."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Counted texts and languages of at most `rows` labelled rows a language, picked by a hash of their id, none held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold() != 0))
-    share = {r["lang"]: min(1.0, 1.5 * rows / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return [], []
-    cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])
-    picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut[F.col("lang")]) & (F.octet_length("text") <= SAMPLE_BYTES))
-    got = picked.select("doc_id", "lang", "text").limit(2 * rows * len(share)).toPandas().sort_values(["doc_id", "text"])
-    got = got.groupby("lang", sort=True).head(rows)
-    return got["text"].tolist(), got["lang"].tolist()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = max(1, min(rows, total // max(1, sizes.count())))
+    least = F.least(F.lit(1_000_000), F.ceil(1_000_000.0 * (1.5 * rows + 6) / F.col("n"))).alias("_share")
+    picked = known.join(sizes.select("lang", least), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, share = zip(*(counted(t.as_buffer().to_pybytes()) for t in batch.column(2))) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in share], pa.binary())],
+                ["doc_id", "lang", "ids", "share"])
+
+    got = picked.select("doc_id", "lang", "text").mapInArrow(released(run), "doc_id long, lang string, ids binary, share binary").limit(8 * total).toPandas()
+    got = got.sort_values(["doc_id", "ids", "share"]).groupby("lang", sort=True).head(rows)
+    return [(np.frombuffer(i, "<u2").astype("int64"), np.frombuffer(x, "<f4")) for i, x in zip(got["ids"], got["share"])], got["lang"].tolist()
 
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
@@ -187,12 +205,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     [part.column(0), part.column(2), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(letters & (score >= (m.least if m else 1)), pa.bool_())],
                     ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 0).alias("held_out")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 0).alias("held_out")).mapInArrow(released(run), RESULT)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(*sample(docs)))
+    return identify(docs, fit_counted(*sample(docs)))
 
 
 QUERIES = {"op2_langid": op2_langid}
