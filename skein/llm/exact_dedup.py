@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small, table
+from .common import materialise, small, table, temporary
 
 
 def content_hash(text: Column) -> Column:
@@ -45,11 +45,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """docs without the rows that exact_groups does not keep; all columns stay. A row is known by its id and its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = exact_groups(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
-    found = materialise(found, "exact-kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct()
-    again = found.where("kept").groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("sha").alias("_sha"))
-    gone, again = materialise(gone, "exact-gone"), materialise(again, "exact-again")
+    with temporary(docs.sparkSession):
+        found = exact_groups(docs, id_col, text_col, keep).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+        found = materialise(found, "exact-kept")
+        gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct()
+        again = found.where("kept").groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("sha").alias("_sha"))
+        gone, again = materialise(gone, "exact-gone", keep=True), materialise(again, "exact-again", keep=True)
     rows = docs.withColumns({"_exact_id": F.col(id_col).cast("long"), "_exact_sha": F.unhex(F.sha2(text, 256))})
     is_row = lambda i: F.col("_exact_id").eqNullSafe(F.col(i)) & (F.col("_exact_sha") == F.col("_sha"))
     out = rows.join(small(gone, 64), is_row("_gone"), "left_anti")

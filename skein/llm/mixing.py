@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small, table
+from .common import materialise, small, table, temporary
 
 log = logging.getLogger(__name__)
 
@@ -243,13 +243,14 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floors: dict[str, float], keep: str) -> DataFrame:
     """docs, each row as often as its copies say. Only ids whose copies are not 1 are joined; an id that is null or missing there stays as it is, and one of several texts takes the least copies."""
-    model = fit_classifier(docs.select("doc_id", "text"), labelled)
-    if model is None:
-        return docs
-    post = materialise(with_posteriors(docs, model), "mix-posteriors")
-    rates = fit_rates(post, model.domains, targets, floors, keep=keep)
-    dealt = post.where("doc_id IS NOT NULL").select("doc_id", copies(rates.column(F.col("p")), F.col("doc_id")).alias("n"))
-    other = materialise(dealt.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("n").alias("_mix_n")).where("_mix_n <> 1"), "mix-copies")
+    with temporary(docs.sparkSession):
+        model = fit_classifier(docs.select("doc_id", "text"), labelled)
+        if model is None:
+            return docs
+        post = materialise(with_posteriors(docs, model), "mix-posteriors")
+        rates = fit_rates(post, model.domains, targets, floors, keep=keep)
+        dealt = post.where("doc_id IS NOT NULL").select("doc_id", copies(rates.column(F.col("p")), F.col("doc_id")).alias("n"))
+        other = materialise(dealt.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("n").alias("_mix_n")).where("_mix_n <> 1"), "mix-copies", keep=True)
     gone, more = other.where("_mix_n = 0").select("_mix_id"), other.where("_mix_n > 1")
     kept = docs.join(small(gone, 16), docs["doc_id"] == F.col("_mix_id"), "left_anti")
     again = docs.join(small(more, 24), docs["doc_id"] == F.col("_mix_id")).withColumn("_mix_i", F.explode(F.sequence(F.lit(2), F.col("_mix_n"))))
