@@ -1,7 +1,13 @@
 """A training corpus from `documents`: quality, exact copies, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the last
-return the columns of documents. A runner may write each stage's rows as Parquet and read them again for the next.
+return the columns of documents. A runner may write each stage's rows as Parquet and read them again for the next. Tables that
+a stage makes on its way are deleted before it returns, but for what its result still reads.
+
+Defined results: a null text is the empty text, which the quality stage judges like any other; rows of one id and one text
+count once after the exact stage, and of the copies of a text the smallest id stays, a null id only where no other is there;
+documents without words have no near copies; a row with a null id is kept by the near and mixing stages; of ties, the smaller
+id; other columns, whatever their names, pass through to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, mixing, ngram_join, packing, quality
-from skein.llm.common import materialise, small, table
+from skein.llm.common import materialise, small, table, temporary
 
 #: Shares of clean and toxic tokens wanted in the mix; clean documents stay whole, the others give way.
 MIX_TARGETS = {"clean": 0.97, "toxic": 0.03}
@@ -29,9 +35,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingle sets that link at a similarity of 0.8 stays: the smallest id."""
-    found = ngram_join.jaccard_components(docs, k=5, percent=80)
-    gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(small(gone, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
+    with temporary(spark):
+        found = ngram_join.jaccard_components(docs, k=5, percent=80)
+        gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_near_gone")), "near-gone", keep=True)
+    return docs.join(small(gone, 16), docs["doc_id"] == F.col("_near_gone"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
