@@ -26,7 +26,10 @@ ALIASES = {"deep_research": "deep", "research": "deep", "fast": "turbo", "speed"
 #: Second table of presets, kept by the settings store: pool, top-k, per source.
 SETTINGS_PRESETS = {"turbo": (50, 20, 2), "balanced": (100, 40, 3), "deep": (150, 60, 4)}
 BUDGET_FREE, BUDGET_LEAST = 3, 200
-TRUNCATED = "\n[... truncated]"
+#: Ends of texts that are cut or left out (fixed values).
+TRUNCATED = "\n[...trecho adicional condensado por limite de densidade...]"
+TURN_CUT = "\n[...additional topic snippets condensed for turn budget...]"
+PRIOR_TURN = "[Prior workspace context retrieved and synthesized in conversation history]"
 CHUNK_WORDS, CHUNK_OVERLAP = 1024, 200
 
 

@@ -3,69 +3,134 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Query vectors of one block; a block is held by the driver and sent to every task, and the chunks are read once a block.
-MAX_QUERIES = 10_000
+#: Query vectors of one block, and their bytes; a block is held by the driver and sent to every task, and the chunks are read once a block.
+MAX_QUERIES, MAX_QUERY_BYTES = 10_000, 32 << 20
+#: Queries scored at a time in a task.
+SLICE = 256
 
 
 def distance_score(distance: Column) -> Column:
     return F.round(1 / (1 + F.greatest(F.lit(0.0), distance)), 6)
 
 
-def knn(chunks: DataFrame, queries: DataFrame, k: int, key: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(q, id_col, score) of the k nearest chunks of each query by squared L2, ties by id; with key only where it is equal.
+@dataclass(frozen=True)
+class Arm:
+    """The k best chunks of a query among those in its reach: all, those of its own key, of a shared key that is not its own, or linked to its key."""
+
+    number: int
+    k: int
+    reach: str = "all"  # all, own, shared, linked
+    shared: str | None = None
+
 
-    Each task keeps k rows a query and batch, so what is shuffled grows with tasks and not with chunks. Queries of any
-    number are gone through in blocks of MAX_QUERIES.
+def scan(chunks: DataFrame, queries: DataFrame, arms: list[Arm], key: str | None = None, scopes: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(q, id_col, score, arm): the k nearest chunks of each query and arm by squared L2, ties by id, from one reading of the chunks.
+
+    scopes: an array column of the keys that a chunk is linked to. Each task keeps k rows for a query and arm, whatever it
+    reads, so what is shuffled grows with tasks and not with chunks. Queries of any number are gone through in blocks.
     """
-    own = F.col(key) if key else F.lit(None).cast("string")
-    source = chunks.where(F.col("vector").isNotNull()).select(F.col(id_col).cast("long").alias(id_col), "vector", own.alias("key"))
-    rows = queries.select("q", own.alias("key"), "vector").orderBy("q").toLocalIterator()
+    source = chunks.where(F.col("vector").isNotNull()).select(
+        F.col(id_col).cast("long").alias(id_col), "vector", (F.col(key) if key else F.lit(None).cast("string")).alias("key"),
+        (F.col(scopes) if scopes else F.lit(None).cast("array<string>")).alias("scopes"))
+    rows = queries.where(F.col("vector").isNotNull()).select("q", (F.col(key) if key else F.lit(None).cast("string")).alias("key"), "vector").orderBy("q").toLocalIterator()
     found = []
-    while held := list(islice(rows, MAX_QUERIES)):
-        found.append(_block(source, held, k, key, id_col))
+    for held in _blocks(rows):
+        found.append(_block(source, held, arms, id_col))
     if not found:
-        return chunks.select(F.lit(0).cast("long").alias("q"), id_col, F.lit(0.0).alias("score")).limit(0)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
-    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+        return chunks.select(F.lit(0).cast("long").alias("q"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("arm")).limit(0)
+    most = F.create_map(*[F.lit(x) for a in arms for x in (a.number, a.k)])
+    order = Window.partitionBy("q", "arm").orderBy(F.desc("score"), id_col)
+    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most[F.col("arm")]).drop("_r")
+
 
+def knn(chunks: DataFrame, queries: DataFrame, k: int, key: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(q, id_col, score) of the k nearest chunks of each query; with key only where it is equal."""
+    return scan(chunks, queries, [Arm(0, k, "own" if key else "all")], key, None, id_col).drop("arm")
 
-def _block(source: DataFrame, held: list[Row], k: int, key: str | None, id_col: str) -> DataFrame:
-    """(q, id_col, score) of the k nearest in each batch of the source, for each query held."""
+
+def _blocks(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    held: list[Row] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= MAX_QUERIES or 8 * len(held) * len(r["vector"]) >= MAX_QUERY_BYTES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str) -> DataFrame:
+    """The k nearest that each task finds for each query held and arm."""
     names, keys = np.array([r["q"] for r in held]), [r["key"] for r in held]
+    codes = {k: i for i, k in enumerate(dict.fromkeys(k for k in keys if k is not None))}
+    own = np.array([codes.get(k, -1) for k in keys])
     matrix = np.array([r["vector"] for r in held], dtype="float64")
     norms = (matrix**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {a: (np.full((len(names), a.k), -1.0), np.zeros((len(names), a.k), dtype="int64")) for a in arms}
         for batch in batches:
             if not len(batch):
                 continue
-            ids, own = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
+            ids = batch.column(0).to_numpy()
             x = np.asarray(batch.column(1).flatten(), dtype="float64").reshape(len(ids), -1)
-            for a in range(0, len(names), 256):
-                d = norms[a : a + 256, None] + (x**2).sum(axis=1)[None, :] - 2 * matrix[a : a + 256] @ x.T
+            order = np.argsort(ids, kind="stable")  # places in the order of ids, for ties
+            ids, x = ids[order], x[order]
+            text = [batch.column(2)[i].as_py() for i in order.tolist()] if codes or any(a.reach == "shared" for a in arms) else []
+            place = np.array([codes.get(k, -2) for k in text]) if text else np.full(len(ids), -2)
+            linked = None
+            if any(a.reach == "linked" for a in arms):
+                linked = np.zeros((len(codes) + 1, len(ids)), dtype=bool)
+                for j, i in enumerate(order.tolist()):
+                    for s in batch.column(3)[i].as_py() or ():
+                        if s in codes:
+                            linked[codes[s], j] = True
+            length = (x**2).sum(axis=1)
+            for a in range(0, len(names), SLICE):
+                d = norms[a : a + SLICE, None] + length[None, :] - 2 * matrix[a : a + SLICE] @ x.T
                 score = np.round(1 / (1 + np.maximum(d, 0)), 6)
-                q, i = [], []
-                for r in range(len(score)):
-                    at = np.arange(len(ids)) if key is None else np.flatnonzero(own == keys[a + r])
-                    at = at[np.lexsort((ids[at], -score[r, at]))[:k]]
-                    q.append(np.full(len(at), r))
-                    i.append(at)
-                r, at = np.concatenate(q), np.concatenate(i)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a + r]), pa.array(ids[at]), pa.array(score[r, at])], ["q", id_col, "score"])
+                mine = own[a : a + SLICE]
+                for arm in arms:
+                    s = score
+                    if arm.reach == "own":
+                        s = np.where(place[None, :] == mine[:, None], score, -1.0)
+                    elif arm.reach == "shared":
+                        s = np.where(np.array([t == arm.shared for t in text])[None, :] & np.array([k != arm.shared for k in keys[a : a + SLICE]])[:, None], score, -1.0)
+                    elif arm.reach == "linked":
+                        s = np.where(linked[mine], score, -1.0)
+                    _merge(*best[arm], a, s, ids)
+        for arm, (score, ids) in best.items():
+            r, c = np.nonzero(score >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[r, c]), pa.array(score[r, c]), pa.array(np.full(len(r), arm.number, dtype="int32"))], ["q", id_col, "score", "arm"])
+
+    return source.mapInArrow(run, f"q long, {id_col} long, score double, arm int")
+
 
-    return source.mapInArrow(run, f"q long, {id_col} long, score double")
+def _merge(top: np.ndarray, top_ids: np.ndarray, a: int, score: np.ndarray, ids: np.ndarray) -> None:
+    """Bring the k best of score (a row a query, from query a on; ids in order) into the k best so far."""
+    k, n = top.shape[1], score.shape[1]
+    if n > k:  # scores have six digits, so score and place make one whole number
+        rank = (1_000_000 - np.rint(score * 1_000_000)).astype("int64") * n + np.arange(n)
+        at = np.argpartition(rank, k - 1, axis=1)[:, :k]
+    else:
+        at = np.broadcast_to(np.arange(n), score.shape)
+    z = a + len(score)
+    both = np.concatenate((top[a:z], np.take_along_axis(score, at, axis=1)), axis=1)
+    both_ids = np.concatenate((top_ids[a:z], ids[at]), axis=1)
+    order = np.lexsort((both_ids, -both), axis=-1)[:, :k]
+    top[a:z], top_ids[a:z] = np.take_along_axis(both, order, axis=1), np.take_along_axis(both_ids, order, axis=1)
 
 
 def knn_sql(chunks: DataFrame, vector: list[float], k: int, id_col: str = "doc_id") -> DataFrame:
     """One query by column expressions only; the plan ends in a distributed top-k."""
     q = F.array(*(F.lit(float(v)) for v in vector))
     d = F.aggregate(F.zip_with(F.col("vector"), q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    return chunks.select(id_col, distance_score(d).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return chunks.where(F.col("vector").isNotNull()).select(id_col, distance_score(d).alias("score")).orderBy(F.desc("score"), id_col).limit(k)

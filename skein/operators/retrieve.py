@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Retrieval
-from .knn import knn
+from .knn import Arm, scan
 from .ranking import char_budget, positioned, round_robin, threshold
 
+#: Links of one set of workspaces that a plan may hold.
+MAX_LINKS = 10_000
+
+
+def linked_scopes(path: Column, links: DataFrame) -> Column:
+    """Array of the workspaces that a chunk's path is linked to. links (workspace, identifier) are settings, held in the plan and counted."""
+    ids = links.select("workspace", F.replace("identifier", F.lit("\\"), F.lit("/")).alias("identifier")).distinct().orderBy("workspace", "identifier").limit(MAX_LINKS + 1).collect()
+    if len(ids) > MAX_LINKS:
+        raise ValueError(f"more than {MAX_LINKS} links")
+    hit = [F.when(path.contains(r["identifier"]), F.lit(r["workspace"])) for r in ids]
+    return F.array_distinct(F.array_compact(F.array(*hit))) if hit else F.array().cast("array<string>")
+
 
 def arms(chunks: DataFrame, queries: DataFrame, pool: int, shared: str = "Global", links: DataFrame | None = None) -> DataFrame:
     """(q, doc_id, score, arm): the query's workspace (0), the shared one (1), and sources linked to its workspace (2).
 
     links: workspace, identifier; a linked chunk's path contains the identifier, whatever its workspace. A chunk that
-    several arms find counts once, in the first of them.
+    several arms find counts once, in the first of them. The chunks are read and scored once for all arms.
     """
-    own = knn(chunks, queries, pool, key="workspace").withColumn("arm", F.lit(0))
-    wide = knn(chunks.where(F.col("workspace") == shared), queries.where(F.col("workspace") != shared), max(10, pool // 2)).withColumn("arm", F.lit(1))
-    found = own.unionByName(wide)
+    reach = [Arm(0, pool, "own"), Arm(1, max(10, pool // 2), "shared", shared)]
     if links is not None:
-        ids = links.withColumn("identifier", F.replace("identifier", F.lit("\\"), F.lit("/"))).distinct()
-        held = F.broadcast(ids.withColumnRenamed("workspace", "scope"))  # links are one user's settings, a few rows
-        linked = chunks.join(held, F.col("file_path").contains(F.col("identifier"))).dropDuplicates(["scope", "doc_id"])
-        linked = linked.drop("workspace").withColumnRenamed("scope", "workspace")
-        found = found.unionByName(knn(linked, queries, 2 * pool, key="workspace").withColumn("arm", F.lit(2)))
+        chunks = chunks.withColumn("_scopes", linked_scopes(F.col("file_path"), links))
+        reach.append(Arm(2, 2 * pool, "linked"))
+    found = scan(chunks, queries, reach, "workspace", "_scopes" if links is not None else None)
     return found.groupBy("q", "doc_id").agg(F.max("score").alias("score"), F.min("arm").alias("arm"))
 
 

@@ -35,14 +35,13 @@ def summary(spark, d):
 
 
 def keyword_topn(spark, d):
-    return T.keywords(_docs(spark, d))
+    found = T.keywords(_docs(spark, d)).select("doc_id", F.posexplode("top").alias("pos", "t"))
+    return found.select("doc_id", (F.col("pos") + 1).alias("rank"), "t.keyword", "t.freq")
 
 
 def _enriched(spark, d):
-    docs = _docs(spark, d)
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]), ", ")  # seven a document
-    words = T.keywords(docs).groupBy("doc_id").agg(listed.alias("keywords"))
-    return docs.join(words, "doc_id", "left").withColumn("summary", T.summary(F.col("text"), F.col("file_name")))
+    docs = T.keywords(_docs(spark, d)).withColumn("keywords", F.array_join(F.col("top.keyword"), ", "))
+    return docs.withColumn("summary", T.summary(F.col("text"), F.col("file_name")))
 
 
 def envelope_text(spark, d):

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..config import BUDGET_FREE, BUDGET_LEAST, PRESETS, TRUNCATED, Retrieval
 from ..operators import ranking
 from ..operators.knn import knn, knn_sql
-from ..operators.retrieve import arms, search
+from ..operators.retrieve import arms, linked_scopes, search
 from ..schema import CHUNKS_SQL, chunks, fixture, query_vectors, table
 
 K = 10
 SCORE_SQL = "round(1 / (1 + greatest(0, list_sum(list_transform(list_zip(c.vector, q.vector), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 6)"
-QUERIES_SQL = "queries AS (SELECT doc_id AS q, workspace, vector FROM chunks WHERE doc_id < 5)"
+QUERIES_SQL = "queries AS (SELECT doc_id AS q, workspace, vector FROM chunks WHERE doc_id % 20 = 0 AND vector IS NOT NULL)"
 LINKS = "('en', 'src1'), ('fr', 'src2'), ('de', 'src\\\\3'), ('de', 'src3')"
 LINKS_SQL = "links AS (SELECT DISTINCT ws, replace(ident, chr(92), '/') AS ident FROM (VALUES ('en', 'src1'), ('fr', 'src2'), ('de', 'src' || chr(92) || '3'), ('de', 'src3')) v(ws, ident))"
 
@@ -25,11 +25,11 @@ def _links(spark: SparkSession) -> DataFrame:
 def _knn_sql(where: str = "true", key: str = "true", k: int = K) -> str:
     return f"""WITH {CHUNKS_SQL}, {QUERIES_SQL}
         SELECT q, doc_id, score FROM (SELECT q.q, c.doc_id, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY q.q ORDER BY {SCORE_SQL} DESC, c.doc_id) AS r
-        FROM chunks c, queries q WHERE {where} AND {key}) WHERE r <= {k}"""
+        FROM chunks c, queries q WHERE c.vector IS NOT NULL AND {where} AND {key}) WHERE r <= {k}"""
 
 
 def knn_l2_topk(spark, d):
-    q = query_vectors(spark, d, 1).first()
+    q = query_vectors(spark, d).orderBy("q").first()
     vector = q["vector"] if q else []
     return knn_sql(chunks(spark, d), vector, 20) if vector else chunks(spark, d).select("doc_id", F.lit(0.0).alias("score")).limit(0)
 
@@ -55,9 +55,8 @@ def knn_own_workspace(spark, d):
 
 
 def linked_sources_arm(spark, d):
-    links = F.broadcast(_links(spark).select(F.replace("identifier", F.lit("\\"), F.lit("/")).alias("identifier")).distinct())
     c = chunks(spark, d)
-    return c.join(links, c.file_path.contains(links.identifier), "left_semi").groupBy("workspace", "file_path").agg(F.count("*").alias("n"))
+    return c.where(F.size(linked_scopes(F.col("file_path"), _links(spark))) > 0).groupBy("workspace", "file_path").agg(F.count("*").alias("n"))
 
 
 def multi_arm_fanout(spark, d):
@@ -108,7 +107,7 @@ def _retrieve(name: str):
 
 def _ranked_sql(k: int = 60) -> str:
     return f"""WITH {CHUNKS_SQL}, {QUERIES_SQL}, scored AS (SELECT * FROM (SELECT q.q, c.doc_id, {SCORE_SQL} AS score, c.file_path AS src, c.text, c.content_hash, c.file_name, c.workspace,
-        row_number() OVER (PARTITION BY q.q ORDER BY {SCORE_SQL} DESC, c.doc_id) - 1 AS pos FROM chunks c, queries q) WHERE pos < {k})"""
+        row_number() OVER (PARTITION BY q.q ORDER BY {SCORE_SQL} DESC, c.doc_id) - 1 AS pos FROM chunks c, queries q WHERE c.vector IS NOT NULL) WHERE pos < {k})"""
 
 
 def _threshold_sql(src: str, least: float) -> str:
@@ -130,7 +129,7 @@ def _budget_sql(src: str, most: int) -> str:
 def _arms_sql(pool: int) -> str:
     def top(arm: int, k: int, where: str) -> str:
         return f"""SELECT q, doc_id, score, {arm} AS arm FROM (SELECT q.q, c.doc_id, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY q.q ORDER BY {SCORE_SQL} DESC, c.doc_id) AS r
-            FROM chunks c, queries q WHERE {where}) WHERE r <= {k}"""
+            FROM chunks c, queries q WHERE c.vector IS NOT NULL AND {where}) WHERE r <= {k}"""
 
     linked = "EXISTS (SELECT 1 FROM links l WHERE l.ws = q.workspace AND contains(c.file_path, l.ident))"
     return f"""WITH {CHUNKS_SQL}, {QUERIES_SQL}, {LINKS_SQL}, arms AS (SELECT q, doc_id, max(score) AS score, min(arm) AS arm FROM (
@@ -147,7 +146,7 @@ QUERIES = {f.__name__: f for f in (
     knn_l2_topk, knn_batch_topk, knn_workspace_filter, knn_in_list, knn_raw_predicate, knn_own_workspace, linked_sources_arm, multi_arm_fanout, threshold_keep,
     threshold_fallback, round_robin, round_robin_backfill, diversify_dedupe, char_budget, result_header)} | {f"retrieve_{n}": _retrieve(n) for n in PRESETS}
 ORACLE = {
-    "knn_l2_topk": f"WITH {CHUNKS_SQL} SELECT c.doc_id, {SCORE_SQL} AS score FROM chunks c, (SELECT vector FROM chunks WHERE doc_id = 0) q ORDER BY score DESC, doc_id LIMIT 20",
+    "knn_l2_topk": f"WITH {CHUNKS_SQL}, {QUERIES_SQL} SELECT c.doc_id, {SCORE_SQL} AS score FROM chunks c, (SELECT vector FROM queries ORDER BY q LIMIT 1) q WHERE c.vector IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20",
     "knn_batch_topk": _knn_sql(),
     "knn_workspace_filter": _knn_sql("c.workspace = 'fr'"),
     "knn_in_list": _knn_sql("c.workspace IN ('fr', 'de')"),

@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with an embedding, as chunks: the language is the workspace, the source the path."""
+    """documents as chunks, with their embedding where they have one: the language is the workspace, the source the path."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    joined = docs.join(vectors, docs.doc_id == vectors.vec_id)
+    joined = docs.join(vectors, docs.doc_id == vectors.vec_id, "left")
     digest = F.sha2("text", 256)
     return joined.select(
         "doc_id", F.concat("lang", F.lit("_"), F.substring(digest, 1, 20)).alias("id"), F.col("embedding").alias("vector"), "text",
@@ -29,12 +29,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS_SQL = """chunks AS (
     SELECT d.doc_id, d.lang || '_' || substr(sha256(d.text), 1, 20) AS id, e.embedding AS vector, d.text, d.source || '.md' AS file_name,
            d.source AS file_path, d.lang AS workspace, '' AS last_modified, 'Local Document' AS content_type, sha256(d.text) AS content_hash
-    FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+    FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """(q, workspace, vector): the first embeddings as a batch of queries."""
-    return chunks(spark, sf_dir).where(F.col("doc_id") < n).select(F.col("doc_id").alias("q"), "workspace", "vector")
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, workspace, vector): every embedded document whose id is divisible by 20, as a batch of queries."""
+    c = chunks(spark, sf_dir)
+    return c.where("doc_id % 20 = 0 AND vector IS NOT NULL").select(F.col("doc_id").alias("q"), "workspace", "vector")
 
 
 def fixture(spark: SparkSession, columns: str, values: str) -> DataFrame:
