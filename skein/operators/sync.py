@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,45 +19,97 @@ def stat_diff(disk: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("d.workspace", "c.workspace").alias("workspace"), F.coalesce("d.file_path", "c.file_path").alias("file_path"), status.alias("status"), F.coalesce("d.size", "c.size").alias("size"))
 
 
-def _parts(path: str) -> tuple[str, str, str]:
-    folder, _, name = path.rpartition("/")
-    return folder, name, name.rpartition(".")[2].lower() if "." in name else ""
-
-
 def rename_pairs(diff: DataFrame) -> DataFrame:
-    """(workspace, old_path, new_path): deleted and new files of one size that match by name, or by kind and place.
+    """(workspace, old_path, new_path): deleted and new files of one size that match by name, or by ending and folder.
 
-    Pairs are taken in path order, and each file once, so a workspace and size is resolved in one group.
+    The first deleted file of a key goes with the first new one, the second with the second, in path order: first for equal
+    names, then for equal ending and folder, then, where a workspace has one deleted or one new file only, for equal endings.
+    All three are windows over keys, so a key of any size is sorted and never held.
+    """
+    name = F.element_at(F.split("file_path", "/"), F.lit(-1))
+    ext = F.when(F.instr(name, ".") > 0, F.lower(F.element_at(F.split(name, r"\."), F.lit(-1)))).otherwise("")
+    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
+    moved = diff.where(F.col("status").isin("new", "deleted")).select("workspace", "file_path", "status", "size", name.alias("name"), ext.alias("ext"), folder.alias("folder"))
+    n = lambda x: F.sum((F.col("status") == x).cast("int"))
+    counts = moved.groupBy(F.col("workspace").alias("_w")).agg(((n("deleted") == 1) | (n("new") == 1)).alias("lone"))
+    left = moved.join(counts, F.col("workspace") == F.col("_w")).drop("_w")
+    found = None
+    for keys, only in ((["size", "name"], None), (["size", "ext", "folder"], None), (["size", "ext"], "lone")):
+        rank = F.row_number().over(Window.partitionBy("workspace", "status", *keys).orderBy("file_path"))
+        at = (left.where(only) if only else left).withColumn("_r", rank).select("workspace", *keys, "_r", "status", "file_path")
+        on = ["workspace", *keys, "_r"]
+        pairs = at.where("status = 'deleted'").select(*on, F.col("file_path").alias("old_path")).join(at.where("status = 'new'").select(*on, F.col("file_path").alias("new_path")), on)
+        pairs = pairs.select("workspace", "old_path", "new_path")
+        found = pairs if found is None else found.unionByName(pairs)
+        taken = pairs.select("workspace", F.explode(F.array(F.struct(F.lit("deleted").alias("status"), F.col("old_path").alias("file_path")), F.struct(F.lit("new").alias("status"), F.col("new_path").alias("file_path")))).alias("_taken")).select("workspace", "_taken.*")
+        left = left.join(taken, ["workspace", "status", "file_path"], "left_anti")
+    return found
+
+
+def change_summary(diff: DataFrame, renames: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Counts of each status in a workspace, whether it is up to date, and a line that says so.
+
+    A renamed file is neither new nor deleted. sources: workspace, n_folders, n_web, web_pages, n_drives; where given, the line
+    of a workspace without changes names its kinds of sources. A workspace whose files are all new was never read.
     """
-
-    def match(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("status").to_pylist(), t.column("file_path").to_pylist()))
-        gone, new = [p for s, p in rows if s == "deleted"], [p for s, p in rows if s == "new"]
-        n_gone, n_new = t.column("n_gone")[0].as_py(), t.column("n_new")[0].as_py()
-        left, out = dict.fromkeys(new), []
-        for old in gone:
-            folder, name, ext = _parts(old)
-            for cand in left:
-                f, n, e = _parts(cand)
-                if n == name or (e == ext and (f == folder or n_gone == 1 or n_new == 1)):
-                    out.append((old, cand))
-                    del left[cand]
-                    break
-        ws = t.column("workspace")[0].as_py()
-        return pa.table({"workspace": pa.array([ws] * len(out), pa.string()), "old_path": pa.array([a for a, _ in out], pa.string()), "new_path": pa.array([b for _, b in out], pa.string())})
-
-    moved = diff.where(F.col("status").isin("new", "deleted"))
-    counts = moved.groupBy("workspace").agg(F.sum((F.col("status") == "deleted").cast("int")).alias("n_gone"), F.sum((F.col("status") == "new").cast("int")).alias("n_new"))
-    return moved.join(counts, "workspace").groupBy("workspace", "size").applyInArrow(match, "workspace string, old_path string, new_path string")
-
-
-def change_summary(diff: DataFrame) -> DataFrame:
-    """Counts of each status in a workspace, whether it is up to date, and a line that says so."""
     n = lambda s: F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}")
     out = diff.groupBy("workspace").agg(n("new"), n("modified"), n("deleted"), n("unchanged"))
-    total = F.col("n_new") + F.col("n_modified") + F.col("n_deleted")
-    part = lambda s: F.when(F.col(f"n_{s}") > 0, F.concat(F.col(f"n_{s}"), F.lit(f" {s}")))
-    return out.withColumns({"up_to_date": total == 0, "message": F.when(total == 0, "up to date").otherwise(F.concat_ws(", ", part("new"), part("modified"), part("deleted")))})
+    moved = renames.groupBy("workspace").agg(F.count("*").alias("n_renamed")) if renames is not None else None
+    out = out.join(moved, "workspace", "left").fillna(0, ["n_renamed"]) if moved is not None else out.withColumn("n_renamed", F.lit(0).cast("long"))
+    virgin = (F.col("n_modified") + F.col("n_deleted") + F.col("n_unchanged") == 0) & (F.col("n_new") > 0)
+    out = out.withColumn("_virgin", virgin).withColumns({"n_new": F.col("n_new") - F.col("n_renamed"), "n_deleted": F.col("n_deleted") - F.col("n_renamed")})
+    kinds = ("new", "modified", "deleted", "renamed")
+    part = lambda s: F.when(F.col(f"n_{s}") > 0, F.concat(F.col(f"n_{s}"), F.lit(f" {s} file"), F.when(F.col(f"n_{s}") > 1, "s").otherwise("")))
+    none = F.lit("Up to date (0 changes)")
+    if sources is not None:
+        out = out.join(sources, "workspace", "full_outer").fillna(0).fillna(False, ["_virgin"])
+        web = F.concat(F.lit("All "), "n_web", F.lit(" web sources ("), "web_pages", F.lit(" pages) up to date."))
+        drives = F.concat(F.lit("All "), "n_drives", F.lit(" cloud drives connected."))
+        none = F.when(F.col("n_folders") + F.col("n_web") + F.col("n_drives") == 0, "No sources configured.").when((F.col("n_folders") == 0) & (F.col("n_web") > 0), web).when((F.col("n_folders") == 0) & (F.col("n_drives") > 0), drives).otherwise(none)
+    total = sum((F.col(f"n_{k}") for k in kinds[1:]), F.col("n_new"))
+    said = F.concat_ws(", ", *map(part, kinds))
+    out = out.withColumns({"up_to_date": (total == 0) & ~F.col("_virgin"), "message": F.when(total > 0, said).otherwise(none)})
+    return out.select("workspace", *(f"n_{k}" for k in (*kinds, "unchanged")), "up_to_date", "message")
+
+
+def change_scan(disk: DataFrame, cache: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(diff, renames, summary) of a workspace's files against its stat cache."""
+    diff = stat_diff(disk, cache)
+    renames = rename_pairs(diff)
+    return diff, renames, change_summary(diff, renames, sources)
+
+
+def index_folders(chunks: DataFrame, disk: DataFrame, cache: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(chunks, cache) after an incremental index: renamed files keep their chunks under the new path, chunks of deleted and
+    modified files go, and modified and new files are read.
+
+    chunks: workspace, file_path and more; disk and cache: workspace, file_path, mtime, size; read: files (workspace,
+    file_path) to chunks. An unchanged workspace reads nothing.
+    """
+    diff, renames, _ = change_scan(disk, cache)
+    on = ["workspace", "file_path"]
+    old = renames.select("workspace", F.col("old_path").alias("file_path"), "new_path")
+    gone = diff.where("status IN ('deleted', 'modified')").select(on).join(old, on, "left_anti")
+    kept = chunks.join(gone, on, "left_anti").join(old, on, "left").withColumn("file_path", F.coalesce("new_path", "file_path")).drop("new_path")
+    fresh = diff.where("status IN ('new', 'modified')").select(on).join(renames.select("workspace", F.col("new_path").alias("file_path")), on, "left_anti")
+    return kept.unionByName(read(fresh)), disk
+
+
+def cache_upsert(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stat cache with rows in place of those of their files."""
+    return cache.join(rows.select("workspace", "file_path"), ["workspace", "file_path"], "left_anti").unionByName(rows)
+
+
+def cache_rename(cache: DataFrame, renames: DataFrame) -> DataFrame:
+    """The stat cache with files under their new paths; what was cached there before goes."""
+    to = renames.select("workspace", F.col("new_path").alias("file_path"))
+    moved = cache.join(to, ["workspace", "file_path"], "left_anti").join(renames.withColumnRenamed("old_path", "file_path"), ["workspace", "file_path"], "left")
+    return moved.withColumn("file_path", F.coalesce("new_path", "file_path")).select(*cache.columns)
+
+
+def sync_kind(page_count: Column, scope: Column) -> Column:
+    """How a registered URL is synchronised: as a portal that is crawled, or as one page."""
+    return F.when((F.coalesce(F.nullif(page_count, F.lit(0)), F.lit(1)) > 1) | scope.isin("domain", "section", "custom"), "portal").otherwise("single_page")
 
 
 def crawl_status(pages: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -92,10 +145,13 @@ def due(sources: DataFrame, now: Column) -> DataFrame:
     return sources.where(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") + F.make_interval(hours=F.col("polling_interval_hours")) <= now))
 
 
-def progress(rows: DataFrame, width: int = 10) -> DataFrame:
-    """Adds pct and bar to current, total, stage."""
-    pct = F.when(F.col("total") > 0, F.round(100.0 * F.col("current") / F.col("total"), 1)).otherwise(F.lit(0.0))
-    full = F.least(F.lit(width), F.floor(F.lit(width) * pct / 100)).cast("int")
-    bar = F.concat(F.lit("["), F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full), F.lit("] "), pct, F.lit("% ("), "current", F.lit("/"), "total", F.lit(" "), "stage", F.lit(")"))
+def progress(rows: DataFrame, width: Column | int = 8) -> DataFrame:
+    """Adds pct and bar to current, total, stage; the bar's fill is rounded half to even, its number cut."""
+    w = F.lit(width) if isinstance(width, int) else width
+    share = F.col("current") / F.col("total")
+    pct = F.when(F.col("total") > 0, F.round(100.0 * share, 1)).otherwise(F.lit(0.0))
+    full = F.least(w, F.greatest(F.lit(0), F.bround(w * share).cast("int")))
+    stage = F.when(F.col("stage").isin("files", "pages", "drives"), F.concat(F.lit(" "), "stage")).otherwise("")
+    bar = F.concat(F.lit("["), F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), w - full), F.lit("] "), pct.cast("int"), F.lit("% ("), "current", F.lit("/"), "total", stage, F.lit(")"))
     idle = F.when(F.col("stage") == "scanning", "[scanning...]").otherwise("[calculating...]")
     return rows.withColumns({"pct": pct, "bar": F.when(F.col("total") > 0, bar).otherwise(idle)})

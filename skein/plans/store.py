@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dml
-from ..schema import CHUNKS_SQL, chunks, fixture
+from ..schema import CHUNKS_SQL, chunks, fixture, table
 
 COLS = ["doc_id", "id", "workspace", "file_path"]
 
@@ -19,11 +19,24 @@ def _post(df):
 
 
 def append_chunks(spark, d):
-    return _post(dml.append(_c(spark, d), _c(spark, d).where("doc_id < 50")))
+    return _post(dml.append(_c(spark, d), _c(spark, d).where("doc_id % 20 = 7")))
 
 
 def upsert_chunks(spark, d):
-    return _post(dml.upsert(_c(spark, d), _c(spark, d).where("doc_id < 50").withColumn("file_path", F.lit("new")), "doc_id"))
+    return _post(dml.upsert(_c(spark, d), _c(spark, d).where("doc_id % 20 = 7").withColumn("file_path", F.lit("new")), "doc_id"))
+
+
+def replace_pages(spark, d):
+    """Changed sources: all their chunks go, then those of the new version come."""
+    c = _c(spark, d)
+    new = c.where("doc_id % 3 = 0 AND file_path IN ('src1', 'src2', 'src7')").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    return _post(dml.replace_files(c, new))
+
+
+def deleted_counts(spark, d):
+    c = _c(spark, d)
+    rows = [(n, dml.removed(c, f)) for n, f in (("workspace", dml.delete_workspace(c, "fr")), ("file", dml.delete_file(c, "src3", "en")), ("ids", dml.delete_ids(c, c.where("doc_id % 10 = 3"), "id")))]
+    return spark.createDataFrame(rows, "change string, n long")
 
 
 def delete_workspace(spark, d):
@@ -50,24 +63,140 @@ def transfer_source(spark, d):
     return _post(dml.transfer(_c(spark, d), "src5", "en", "de"))
 
 
+ROOTS = "('w', 'https://a/x', NULL, 'X', 2), ('w', 'https://a', 'https://a', 'old', 1), ('w', 'https://b', NULL, 'B', 4), ('w', 'https://c/z', 'https://a', 'Z', 5), ('v', 'https://a/y', NULL, 'Y', 3), ('w', 'https://ab', NULL, 'AB', 9)"
+ROOT_COLUMNS = "workspace, url, root_url, title, page_count"
+
+
 def root_source_consolidate(spark, d):
-    s = fixture(spark, "workspace, url, page_count", "('w', 'https://a/x', 2), ('w', 'https://a', 1), ('w', 'https://b', 4), ('v', 'https://a/y', 3), ('v', 'https://ab', 9)")
-    return dml.consolidate_root(s, "https://a")
+    return dml.consolidate_root(fixture(spark, ROOT_COLUMNS, ROOTS), "w", "https://a", "A", 7)
+
+
+def root_source_new(spark, d):
+    return dml.consolidate_root(fixture(spark, ROOT_COLUMNS, ROOTS), "v", "https://a/", "A", 7)
+
+
+def ledger_delete_root(spark, d):
+    return dml.delete_root(fixture(spark, ROOT_COLUMNS, ROOTS), "w", "https://a")
+
+
+def url_add_if_absent(spark, d):
+    old = fixture(spark, ROOT_COLUMNS, ROOTS)
+    new = fixture(spark, ROOT_COLUMNS, "('w', 'https://b', 'https://b', 'other', 1), ('v', 'https://b', 'https://b', 'B', 1), ('w', 'https://new', 'https://new', 'N', 1)")
+    return dml.put(old, new, ["workspace", "url"], replace=False)
+
+
+def envelope_cache_put(spark, d):
+    """Enrichments by text hash, insert or replace."""
+    docs = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    old, new = docs.where("doc_id % 2 = 0").withColumn("v", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("v", F.lit("new"))
+    return dml.put(old, new, ["h"])
+
+
+def _tables(spark, d):
+    c = _c(spark, d)
+    return {
+        "chunks": c.select("workspace", "file_path", "doc_id"), "urls": c.where("doc_id % 5 = 0").select("workspace", F.col("file_path").alias("url")), "cache": c.groupBy("workspace", "file_path").agg(F.count("*").alias("size")),
+        "users": spark.sql("SELECT * FROM VALUES ('u1', array('es', 'FR')), ('u2', array('*', 'ws_es')), ('u3', array('de')) AS t(user, allowed)")}
+
+
+def _counted(tables):
+    parts = [df.groupBy("workspace").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "workspace", "n") for t, df in tables.items() if t != "users"]
+    parts.append(tables["users"].select(F.lit("users").alias("name"), F.explode("allowed").alias("workspace")).groupBy("name", "workspace").agg(F.count("*").alias("n")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cascade_rename(spark, d):
+    return _counted(dml.cascade_rename(_tables(spark, d), "es", "iberia", "ws_es"))
+
+
+def cascade_delete(spark, d):
+    return _counted(dml.cascade_delete(_tables(spark, d), "es"))
+
+
+def transfer_folder(spark, d):
+    t = _tables(spark, d)
+    paths = spark.sql("""SELECT * FROM VALUES ('en', array('src1', " 'src5/' ")), ('de', array('src9/')), ('fr', array('src5')) AS t(workspace, paths)""")
+    p, cache, chunks = dml.transfer_folder(paths, t["cache"], t["chunks"], "src5", "en", "de")
+    listed = p.select(F.lit("paths").alias("name"), "workspace", F.explode("paths").alias("x")).groupBy("name", "workspace").agg(F.count("*").alias("n"))
+    return listed.unionByName(_counted({"cache": cache, "chunks": chunks, "users": t["users"].limit(0)}))
+
+
+WEB = "('w', 'https://a/x', 'https://a', 2), ('w', 'https://a', NULL, 1), ('w', 'https://b', NULL, 4), ('v', 'https://a/y', NULL, 3), ('w', 'https://c/docs', 'https://c', 9), ('w', 'https://c', 'https://c', 9)"
+WEB_COLUMNS = "workspace, url, root_url, page_count"
+
+
+def transfer_web(spark, d):
+    urls = fixture(spark, WEB_COLUMNS, WEB)
+    u, p = dml.transfer_web(urls, urls, "https://a", "w", "v")
+    u2, p2 = dml.transfer_web(urls, urls, "docs", "w", "v")
+    rows = [x.select(F.lit(n).alias("name"), "workspace", "url") for n, x in (("urls", u), ("pages", p), ("urls_like", u2), ("pages_like", p2))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+LINKS = "('w', 'folder', '/a', 'A'), ('w', 'web', 'https://x', 'X'), ('v', 'folder', '/a', 'A')"
+LINK_COLUMNS = "workspace, source_type, identifier, title"
+
+
+def link_unlink(spark, d):
+    links = dml.link(fixture(spark, LINK_COLUMNS, LINKS), fixture(spark, LINK_COLUMNS, "('w', 'folder', '/a', 'A2'), ('u', 'web', 'https://x', 'X')"))
+    return dml.unlink(links, "w", "web", "https://x")
 
 
 def _sql(rel: str) -> str:
     return f"WITH {CHUNKS_SQL} SELECT workspace, file_path, count(*) AS n, min(doc_id) AS first, sum(doc_id)::BIGINT AS total FROM ({rel}) GROUP BY ALL"
 
 
-QUERIES = {f.__name__: f for f in (append_chunks, upsert_chunks, delete_workspace, delete_local_docs, delete_file, delete_id, rename_workspace, transfer_source, root_source_consolidate)}
+_TABLES_SQL = """chunk AS (SELECT workspace, file_path, doc_id FROM chunks), urls AS (SELECT workspace, file_path AS url FROM chunks WHERE doc_id % 5 = 0), cache AS (SELECT workspace, file_path, count(*) AS size FROM chunks GROUP BY ALL),
+    users AS (SELECT unnest(string_split(a, ',')) AS workspace FROM (VALUES ('es,FR'), ('*,ws_es'), ('de')) t(a)),
+    every AS (SELECT 'chunks' AS name, workspace FROM chunk UNION ALL SELECT 'urls', workspace FROM urls UNION ALL SELECT 'cache', workspace FROM cache UNION ALL SELECT 'users', workspace FROM users)"""
+_ROOTS_SQL = f"r AS (SELECT * FROM (VALUES {ROOTS}) t({ROOT_COLUMNS}))"
+
+
+def _root_sql(workspace: str, root: str) -> str:
+    stem = root.rstrip("/")
+    return f"""WITH {_ROOTS_SQL}, kept AS (SELECT * FROM r WHERE NOT (workspace = '{workspace}' AND url <> '{root}' AND (coalesce(root_url, '') = '{root}' OR starts_with(url, '{stem}/'))))
+        SELECT workspace, url, root_url, CASE WHEN workspace = '{workspace}' AND url = '{root}' THEN 'A' ELSE title END AS title, CASE WHEN workspace = '{workspace}' AND url = '{root}' THEN 7 ELSE page_count END AS page_count FROM kept
+        UNION ALL SELECT '{workspace}', '{root}', '{root}', 'A', 7 WHERE NOT EXISTS (SELECT 1 FROM r WHERE workspace = '{workspace}' AND url = '{root}')"""
+
+
+def _web_sql(root: str, suffix: str) -> str:
+    return f"""SELECT 'urls{suffix}' AS name, CASE WHEN workspace = 'w' AND (contains(url, '{root}') OR coalesce(root_url, '') = '{root}') THEN 'v' ELSE workspace END AS workspace, url FROM w
+        UNION ALL SELECT 'pages{suffix}', CASE WHEN workspace = 'w' AND (contains(url, '{root}') OR contains(coalesce(root_url, ''), '{root}')) THEN 'v' ELSE workspace END, url FROM w"""
+
+
+QUERIES = {f.__name__: f for f in (
+    append_chunks, upsert_chunks, replace_pages, deleted_counts, delete_workspace, delete_local_docs, delete_file, delete_id, rename_workspace, transfer_source, root_source_consolidate, root_source_new,
+    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, transfer_folder, transfer_web, link_unlink)}
 ORACLE = {
-    "append_chunks": _sql("SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id < 50"),
-    "upsert_chunks": _sql("SELECT doc_id, workspace, CASE WHEN doc_id < 50 THEN 'new' ELSE file_path END AS file_path FROM chunks"),
+    "append_chunks": _sql("SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id % 20 = 7"),
+    "upsert_chunks": _sql("SELECT doc_id, workspace, CASE WHEN doc_id % 20 = 7 THEN 'new' ELSE file_path END AS file_path FROM chunks"),
+    "replace_pages": _sql("""SELECT doc_id, workspace, file_path FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks n WHERE n.doc_id % 3 = 0 AND n.file_path IN ('src1', 'src2', 'src7') AND n.workspace = c.workspace AND n.file_path = c.file_path)
+        UNION ALL SELECT doc_id + 1000000, workspace, file_path FROM chunks WHERE doc_id % 3 = 0 AND file_path IN ('src1', 'src2', 'src7')"""),
+    "deleted_counts": f"""WITH {CHUNKS_SQL} SELECT 'workspace' AS change, count(*) AS n FROM chunks WHERE workspace = 'fr' UNION ALL SELECT 'file', count(*) FROM chunks WHERE workspace = 'en' AND file_path = 'src3'
+        UNION ALL SELECT 'ids', count(*) FROM chunks WHERE id IN (SELECT id FROM chunks WHERE doc_id % 10 = 3)""",
     "delete_workspace": _sql("SELECT * FROM chunks WHERE workspace <> 'fr'"),
     "delete_local_docs": _sql("SELECT * FROM chunks WHERE workspace <> 'de'"),
     "delete_file": _sql("SELECT * FROM chunks WHERE NOT (workspace = 'en' AND file_path = 'src3')"),
     "delete_id": _sql("SELECT * FROM chunks WHERE id NOT IN (SELECT id FROM chunks WHERE doc_id % 10 = 3)"),
     "rename_workspace": _sql("SELECT * REPLACE (CASE WHEN workspace = 'es' THEN 'iberia' ELSE workspace END AS workspace) FROM chunks"),
-    "transfer_source": _sql("SELECT * REPLACE (CASE WHEN workspace = 'en' AND file_path = 'src5' THEN 'de' ELSE workspace END AS workspace) FROM chunks"),
-    "root_source_consolidate": "SELECT workspace, url, page_count::BIGINT AS page_count FROM (VALUES ('w', 'https://a', 3), ('w', 'https://b', 4), ('v', 'https://a', 3), ('v', 'https://ab', 9)) t(workspace, url, page_count)",
+    "transfer_source": _sql("SELECT * REPLACE (CASE WHEN workspace = 'en' AND contains(file_path, 'src5') THEN 'de' ELSE workspace END AS workspace) FROM chunks"),
+    "root_source_consolidate": _root_sql("w", "https://a"),
+    "root_source_new": _root_sql("v", "https://a/"),
+    "ledger_delete_root": f"WITH {_ROOTS_SQL} SELECT * FROM r WHERE NOT (workspace = 'w' AND (url = 'https://a' OR coalesce(root_url, '') = 'https://a'))",
+    "url_add_if_absent": f"""WITH {_ROOTS_SQL}, n AS (SELECT * FROM (VALUES ('w', 'https://b', 'https://b', 'other', 1), ('v', 'https://b', 'https://b', 'B', 1), ('w', 'https://new', 'https://new', 'N', 1)) t({ROOT_COLUMNS}))
+        SELECT * FROM r UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.workspace = n.workspace AND r.url = n.url)""",
+    "envelope_cache_put": """WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT h, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM h WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
+    "cascade_rename": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n FROM (SELECT name, CASE WHEN name = 'users' AND lower(workspace) IN ('es', 'ws_es') THEN 'ws_es' WHEN name <> 'users' AND workspace = 'es' THEN 'iberia' ELSE workspace END AS workspace FROM every) GROUP BY ALL""",
+    "cascade_delete": f"WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n FROM every WHERE workspace <> 'es' OR name IN ('chunks', 'users') GROUP BY ALL",
+    "transfer_folder": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL}, p AS (SELECT workspace, unnest(string_split(x, ',')) AS x FROM (VALUES ('en', 'src1,src5'), ('de', 'src9'), ('fr', 'src5')) t(workspace, x))
+        SELECT 'paths' AS name, workspace, count(*) AS n FROM (SELECT CASE WHEN workspace = 'en' AND x = 'src5' THEN 'de' ELSE workspace END AS workspace FROM p) GROUP BY ALL
+        UNION ALL SELECT 'cache', workspace, count(*) FROM (SELECT CASE WHEN workspace = 'en' AND (file_path = 'src5' OR starts_with(file_path, 'src5/')) THEN 'de' ELSE workspace END AS workspace FROM cache) GROUP BY ALL
+        UNION ALL SELECT 'chunks', workspace, count(*) FROM (SELECT CASE WHEN workspace = 'en' AND contains(file_path, 'src5') THEN 'de' ELSE workspace END AS workspace FROM chunk) GROUP BY ALL""",
+    "transfer_web": f"WITH w AS (SELECT * FROM (VALUES {WEB}) t({WEB_COLUMNS})) {_web_sql('https://a', '')} UNION ALL {_web_sql('https://c', '_like')}",
+    "link_unlink": f"""WITH l AS (SELECT * FROM (VALUES {LINKS}) t({LINK_COLUMNS})), n AS (SELECT * FROM (VALUES ('w', 'folder', '/a', 'A2'), ('u', 'web', 'https://x', 'X')) t({LINK_COLUMNS})),
+        j AS (SELECT * FROM n UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workspace = l.workspace AND n.source_type = l.source_type AND n.identifier = l.identifier))
+        SELECT * FROM j WHERE NOT (workspace = 'w' AND source_type = 'web' AND identifier = 'https://x')""",
 }

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that are never read, and file endings that are (fixed values).
-IGNORED_FOLDERS = ("node_modules", "venv", "env", "__pycache__", "dist", "build", "target", "bin", "obj", "vendor", "site-packages", "bower_components")
-EXTENSIONS = ("md", "txt", "rst", "csv", "json", "yaml", "yml", "xml", "html", "htm", "log", "py", "js", "ts", "java", "go", "rs", "c", "cpp", "h", "sql", "sh", "toml", "ini", "cfg", "pdf", "docx")
+IGNORED_FOLDERS = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".vs", ".idea", ".vscode", "$recycle.bin", ".tmp")
+EXTENSIONS = (
+    "pdf", "docx", "doc", "txt", "md", "rtf", "odt", "pages", "epub", "eml", "msg", "csv", "tsv", "json", "jsonl", "xlsx", "xls", "ods", "pptx", "ppt", "key",
+    "py", "js", "ts", "tsx", "jsx", "html", "htm", "css", "xml", "yaml", "yml", "toml", "sql", "c", "cpp", "cs", "java", "go", "rs", "sh", "ps1", "bat", "cmd",
+    "png", "jpg", "jpeg", "webp")
+#: Endings of files that are not text; they are found and listed, and their text is null.
+BINARY = ("pdf", "docx", "doc", "rtf", "odt", "pages", "epub", "msg", "xlsx", "xls", "ods", "pptx", "ppt", "key", "png", "jpg", "jpeg", "webp")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -25,8 +30,9 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_text(files: DataFrame) -> DataFrame:
-    """discover()'s files with text; bytes that are not UTF-8 text give a null text and corrupt = true."""
-    text = F.try_validate_utf8(F.col("content").cast("string"))
+    """discover()'s files with text; files of binary formats and bytes that are not UTF-8 text give a null text and corrupt = true."""
+    binary = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*BINARY)
+    text = F.when(~binary, F.try_validate_utf8(F.col("content").cast("string")))
     out = files.withColumn("text", text)
     return out.select("path", F.element_at(F.split("path", "/"), F.lit(-1)).alias("file_name"), "text", F.date_format("mtime", "yyyy-MM-dd").alias("last_modified"), F.lit("Local Document").alias("content_type"),
                       F.lit("filesystem_timestamp").alias("date_confidence"), "size", F.col("text").isNull().alias("corrupt"))
