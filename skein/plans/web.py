@@ -35,8 +35,11 @@ def content_type_pages(spark, d):
     return table(spark, d, "pages").groupBy(web.content_type(F.col("url"), F.col("html")).alias("content_type")).agg(F.count("*").alias("n"))
 
 
+SPA = """(1, '<div id="root"></div>', ''), (2, '<div>text</div>', 'text'), (3, '<script>__next_data__</script>', 'short'), (4, '_next/static', repeat('x', 3000))"""
+
+
 def spa_flag(spark, d):
-    p = fixture(spark, "id, html, clean", """(1, '<div id="root"></div>', ''), (2, '<div>text</div>', 'text'), (3, '<script>__next_data__</script>', 'short')""")
+    p = fixture(spark, "id, html, clean", SPA)
     return p.select("id", web.is_spa(F.col("html"), F.col("clean")).alias("is_spa"))
 
 
@@ -102,25 +105,77 @@ def site_frontier(spark, d):
     return same.groupBy("host").agg(F.count("*").alias("n_urls"))
 
 
+def robots_urls(spark, d):
+    """The pages' URLs that the rules allow, as a set of URLs without those that are not."""
+    rules = web.robots_rules(fixture(spark, "origin, line_no, line", "('o', 1, 'User-agent: *'), ('o', 2, 'Disallow: /fr/'), ('o', 3, 'Allow: /fr/1*'), ('o', 4, 'Disallow: /*.html$')"))
+    urls = table(spark, d, "pages").select(F.lit("o").alias("origin"), "url").distinct()
+    return web.robots_allowed(urls, rules).where("allowed").select("url")
+
+
 QUERIES = {f.__name__: f for f in (
-    page_title, date_cascade, content_type, content_type_pages, spa_flag, base_domain, url_rank, section_urls, robots_allow, sitemap_urls, html_text, jsonld_entities,
+    page_title, date_cascade, content_type, content_type_pages, spa_flag, base_domain, url_rank, section_urls, robots_allow, robots_urls, sitemap_urls, html_text, jsonld_entities,
     page_links, site_frontier)}
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _days() -> list[tuple[str, str]]:
+    """(day, confidence) of each source of a page's date, as SQL, in order."""
+    day = r"(\d{4}-\d{2}-\d{2})"
+    out = [(f"nullif(regexp_extract(regexp_extract(html, {_text('(?i)' + p)}, 1), '{day}', 1), '')", c) for p, c in web.META_DATES]
+    out += [(f"nullif(regexp_extract(html, {_text('(?i)' + t + chr(92) + 's*' + day)}, 1), '')", "high") for t in web.TEXT_DATES]
+    y = r"'/(20\d{2})/(0[1-9]|1[0-2])(?:/([0-3]\d))?/'"
+    out.append((f"CASE WHEN regexp_matches(url, {y}) THEN regexp_extract(url, {y}, 1) || '-' || regexp_extract(url, {y}, 2) || '-' || coalesce(nullif(regexp_extract(url, {y}, 3), ''), '01') END", "url_pattern"))
+    return [*out, ("http_date", "http_header"), ("'2030-01-01'", "crawl_timestamp")]
+
+
+_CLASS = ("CASE WHEN " + " OR ".join(f"regexp_matches(html, {_text('(?i)' + p)})" for p in web.BOT_PHRASES) + " THEN 'Blocked by Anti-Bot Firewall (Captcha)' "
+          + " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{x}')" for x in xs) + f" THEN '{n}'" for n, xs in web.URL_CLASSES)
+          + " WHEN " + " OR ".join(f"contains(html, {_text(m)})" for m in web.PRODUCT_MARKS) + " THEN 'E-Commerce Product Page' ELSE 'Web Documentation' END")
+_PATH = r"regexp_extract(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^([^?#]*)', 1)"
+_RANKED = rf"""u AS (SELECT *, lower({_PATH.format('url')}) AS path, list_filter(string_split(regexp_replace({_PATH.format('start')}, '\.(html|htm|php|asp|aspx)$', ''), '/'), lambda x: x <> '') AS parts FROM (VALUES {URLS}) t(start, url, linked)),
+    v AS (SELECT *, '/' || lower(array_to_string(parts, '/')) AS prefix, list_transform(list_filter(parts, lambda x: length(x) > 2), lambda x: lower(x)) AS terms FROM u),
+    w AS (SELECT *, starts_with(path, prefix || '/') OR path = prefix OR path = prefix || '.html' AS inside, len(list_filter(terms, lambda x: contains(path, x) OR contains(lower(url), x))) AS hits FROM v),
+    scored AS (SELECT *, CASE WHEN url = start THEN 10000 ELSE CASE WHEN inside THEN 2000 WHEN starts_with(path, prefix) THEN 1500 ELSE 0 END + 300 * hits + CASE WHEN linked THEN 500 ELSE 0 END END AS score,
+        inside OR url = start OR len(list_filter(terms, lambda x: length(x) >= 5 AND contains(path, x))) > 0 AS in_section FROM w),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY url <> start, score DESC, length(path), url DESC)::INT AS rank FROM scored)"""
+
+
+def _rules(values: str) -> str:
+    """Rules of robots files: agents' lines one after the other share the rules that follow them."""
+    return rf"""l AS (SELECT origin, line_no, lower(trim(split_part(split_part(line, '#', 1), ':', 1))) AS k, trim(substr(split_part(line, '#', 1), instr(split_part(line, '#', 1), ':') + 1)) AS v FROM (VALUES {values}) t(origin, line_no, line)),
+    g AS (SELECT *, sum(CASE WHEN k = 'user-agent' AND coalesce(p, '') <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY origin ORDER BY line_no) AS grp FROM (SELECT *, lag(k) OVER (PARTITION BY origin ORDER BY line_no) AS p FROM l)),
+    rules AS (SELECT a.origin, lower(a.v) AS agent, r.v AS pattern, r.k = 'allow' AS is_allow,
+        '^' || replace(regexp_replace(regexp_replace(r.v, '\$$', ''), '([.+?()\[\]{{}}^|$\\])', '\\\1', 'g'), '*', '.*') || CASE WHEN r.v LIKE '%$' THEN '$' ELSE '.*' END AS rx
+        FROM g a JOIN g r ON a.origin = r.origin AND a.grp = r.grp AND a.k = 'user-agent' WHERE r.k = 'allow' OR (r.k = 'disallow' AND r.v <> ''))"""
+
+
+_LINES = ROBOTS
+_HOST = r"regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower({0}), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), ':\d+$', ''), '^www\.', '')"
+_LINKS = r"""raw AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+    links AS (SELECT DISTINCT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) || CASE WHEN length(split_part(href, '#', 1)) > 1 THEN regexp_replace(split_part(href, '#', 1), '/+$', '') ELSE '/' END AS link FROM raw WHERE starts_with(href, '/'))"""
 ORACLE = {
     "page_title": "SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) ELSE url END AS title FROM pages",
-    "date_cascade": """SELECT * FROM (VALUES (1, '2024-03-04', 'high'), (2, '2023-01-02', 'high'), (3, '2022-05-06', 'high'), (4, '2021-07-08', 'medium'), (5, '2020-09-10', 'high'), (6, '2023-06-01', 'url_pattern'),
-        (7, '2023-06-15', 'url_pattern'), (8, '2019-11-12', 'http_header'), (9, '2030-01-01', 'crawl_timestamp'), (10, '2018-01-01', 'high')) t(id, last_modified, date_confidence)""",
-    "content_type": """SELECT * FROM (VALUES (1, 'Historical News / Press Release'), (2, 'Canonical Service / Documentation'), (3, 'E-Commerce Product Page'), (4, 'E-Commerce Product Page'), (5, 'Web Documentation'),
-        (6, 'Blocked by Anti-Bot Firewall (Captcha)'), (7, 'Historical News / Press Release'), (8, 'Blocked by Anti-Bot Firewall (Captcha)')) t(id, content_type)""",
-    "content_type_pages": """SELECT CASE WHEN regexp_matches(lower(url), '/news/|/blog/|/press/|/announcement|/backgrounder') THEN 'Historical News / Press Release' WHEN regexp_matches(lower(url), '/services/|/guide/|/doc/|/docs/|/manual/|/policy/')
-        THEN 'Canonical Service / Documentation' WHEN regexp_matches(lower(url), '/ip/|/dp/|/product/|/item/|/p/|/produtos/') THEN 'E-Commerce Product Page' ELSE 'Web Documentation' END AS content_type, count(*) AS n FROM pages GROUP BY 1""",
-    "spa_flag": "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, is_spa)",
-    "base_domain": r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), ':\d+$', ''), '^www\.', '') AS domain FROM pages",
-    "url_rank": """SELECT * FROM (VALUES ('https://h/docs/guide.html', 10000, 1), ('https://h/docs/guide/a', 3100, 2), ('https://h/docs/guide/b', 2600, 3), ('https://h/docs/guides', 2100, 4), ('https://h/docs/x?guide=1', 600, 5),
-        ('https://h/other', 500, 6), ('https://h/ab', 0, 7), ('https://h/aa', 0, 8)) t(url, score, rank)""",
-    "section_urls": "SELECT * FROM (VALUES ('https://h/docs/guide.html', 1), ('https://h/docs/guide/a', 2), ('https://h/docs/guide/b', 3), ('https://h/docs/guides', 4)) t(url, rank)",
-    "robots_allow": """SELECT * FROM (VALUES ('https://o/', true, '*'), ('https://o/private/x', false, '*'), ('https://o/private/open/y', true, '*'), ('https://o/a.pdf', false, '*'), ('https://o/a.pdf?x=1', true, '*'), ('https://o/tmpfile', false, '*'),
-        ('https://o/bot', true, '*'), ('https://p/private/', true, '*'), ('https://o/', true, 'bot'), ('https://o/private/x', true, 'bot'), ('https://o/private/open/y', true, 'bot'), ('https://o/a.pdf', true, 'bot'), ('https://o/a.pdf?x=1', true, 'bot'),
-        ('https://o/tmpfile', true, 'bot'), ('https://o/bot', true, 'bot'), ('https://p/private/', true, 'bot')) t(url, allowed, agent)""",
-    "sitemap_urls": "SELECT * FROM (VALUES ('https://h/a', '2024-01-01'), ('https://h/b', '2024-01-02')) t(loc, lastmod)",
-    "jsonld_entities": """SELECT * FROM (VALUES (1, 'Product: Lamp | Brand: Lux | Rating: 4.5 / 5 stars (12 reviews) | Price: EUR 9.90 | Status: In Stock'), (2, 'FAQ: Why?' || chr(10) || 'Answer: So.'), (3, '')) t(id, entities)""",
+    "date_cascade": f"SELECT id, coalesce({', '.join(x for x, _ in _days())}) AS last_modified, CASE {' '.join(f'WHEN {x} IS NOT NULL THEN {_text(c)}' for x, c in _days())} END AS date_confidence FROM (VALUES {PAGES}) t(id, url, html, http_date)",
+    "content_type": f"SELECT id, {_CLASS} AS content_type FROM (VALUES {KINDS}) t(id, url, html)",
+    "content_type_pages": f"SELECT {_CLASS} AS content_type, count(*) AS n FROM pages GROUP BY 1",
+    "spa_flag": f"SELECT id, ({' OR '.join(f'contains(lower(html), {_text(m.lower())})' for m in web.SPA_MARKERS)}) AND (length(clean) / greatest(length(html), 1) < 0.05 OR length(clean) < 2500) AS is_spa FROM (VALUES {SPA}) t(id, html, clean)",
+    "base_domain": f"SELECT page_id, {_HOST.format('url')} AS domain FROM pages",
+    "url_rank": f"WITH {_RANKED} SELECT url, score::INT AS score, rank FROM ranked",
+    "section_urls": f"WITH {_RANKED} SELECT url, rank FROM ranked WHERE in_section",
+    "robots_allow": rf"""WITH {_rules(_LINES)}, asked AS (SELECT * FROM (VALUES {PROBES}) p(origin, url), (VALUES ('*'), ('bot')) a(agent)),
+        used AS (SELECT q.*, r.pattern, r.is_allow FROM (SELECT *, EXISTS (SELECT 1 FROM rules r WHERE r.origin = asked.origin AND r.agent = asked.agent) AS own FROM asked) q
+            JOIN rules r ON r.origin = q.origin AND r.agent = CASE WHEN own THEN q.agent ELSE '*' END AND regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), r.rx))
+        SELECT asked.url, coalesce(arg_max(is_allow, 2 * length(pattern) + is_allow::INT), true) AS allowed, asked.agent FROM asked LEFT JOIN used USING (origin, url, agent) GROUP BY asked.url, asked.agent""",
+    "robots_urls": rf"""WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path FROM pages)
+        SELECT url FROM u WHERE CASE WHEN starts_with(path, '/fr/1') THEN NOT (length('/*.html$') > length('/fr/1*') AND path LIKE '%.html') WHEN path LIKE '%.html' THEN false ELSE NOT starts_with(path, '/fr/') END""",
+    "sitemap_urls": f"SELECT regexp_extract(x, '<loc>(.*?)</loc>', 1) AS loc, regexp_extract(x, '<lastmod>(.*?)</lastmod>', 1) AS lastmod FROM (SELECT unnest(regexp_extract_all(xml, '<url>.*?</url>')) AS x FROM (VALUES {SITEMAP}) t(xml))",
+    "jsonld_entities": f"""WITH j AS (SELECT id, nullif(regexp_extract(html, 'ld\\+json">(.*)</script>', 1), '')::JSON AS j FROM (VALUES {LD}) t(id, html)),
+        e AS (SELECT id, CASE WHEN j ->> '$."@type"' = 'Product' THEN concat_ws(' | ', 'Product: ' || (j ->> '$.name'), 'Brand: ' || (j ->> '$.brand.name'), 'Rating: ' || (j ->> '$.aggregateRating.ratingValue') || ' / ' || coalesce(j ->> '$.aggregateRating.bestRating', '5') || ' stars' || coalesce(' (' || (j ->> '$.aggregateRating.reviewCount') || ' reviews)', ''),
+            'Price: ' || (j ->> '$.offers.priceCurrency') || ' ' || (j ->> '$.offers.price'), 'Status: ' || CASE WHEN contains(j ->> '$.offers.availability', 'InStock') THEN 'In Stock' ELSE 'Out of Stock' END)
+            WHEN j ->> '$."@graph"[0]."@type"' = 'FAQPage' THEN 'FAQ: ' || (j ->> '$."@graph"[0].mainEntity[0].name') || chr(10) || 'Answer: ' || (j ->> '$."@graph"[0].mainEntity[0].acceptedAnswer.text') ELSE '' END AS entities FROM j) SELECT * FROM e""",
+    "page_links": f"WITH {_LINKS} SELECT page_id, link FROM links",
+    "site_frontier": f"WITH {_LINKS} SELECT host, count(*) AS n_urls FROM (SELECT DISTINCT {_HOST.format('url')} AS host, lower(regexp_extract(link, '^(https?://[^/?#]*)', 1)) || regexp_replace(link, '^https?://[^/?#]*', '') AS link FROM links) GROUP BY host",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 class Snapshot:
     """A table at root/v=N, partitioned by a column; readers of an older version are not disturbed.
 
-    The pointer is a one-row Parquet folder root/current/N, so it works on any store that Spark writes to.
+    The pointer is an empty file root/current/N, made only where there is none, so it works on any store that Spark writes to.
     """
 
     def __init__(self, spark: SparkSession, root: str, partition: str | None = "workspace"):
@@ -29,11 +29,12 @@ class Snapshot:
         return self.spark.read.parquet(f"{self.root}/v={version or self.version()}")
 
     def write(self, df: DataFrame) -> int:
+        """Write the next version. A writer that finds it taken by another one raises, and the other one's stays."""
         n = self.version() + 1
-        w = df.write.mode("overwrite")
+        w = df.write.mode("errorifexists")
         (w.partitionBy(self.partition) if self.partition else w).parquet(f"{self.root}/v={n}")
-        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current/{n}")
-        fs.mkdirs(path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current/{n}")
+        self._fs().create(path, False).close()
         return n
 
     def change(self, f: Callable[[DataFrame], DataFrame]) -> int:

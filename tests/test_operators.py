@@ -1,10 +1,13 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.config import TRUNCATED, preset
-from skein.functions import web
+from skein.functions import text, web
 from skein.operators import knn as search
 from skein.operators import ranking, sync
 from skein.sources.files import discover, load_text
@@ -61,16 +64,25 @@ def test_snapshot_versions(spark, tmp_path):
     s.write(df)
     s.change(lambda d: d.where("workspace = 'w'"))
     assert s.version() == 2 and s.read().count() == 1 and s.read(1).count() == 2
+    late = Snapshot(spark, s.root)
+    late.version = lambda: 1  # another writer took the next version meanwhile
+    with pytest.raises(Exception, match="already exists"):
+        late.write(df)
+    assert s.version() == 2 and s.read().count() == 1
+    s.drop()
+    assert s.version() == 0
 
 
 def test_discover_and_load(spark, tmp_path):
-    for name in ("a.md", "sub/b.txt", ".git/c.md", "node_modules/d.md", "e.bin", "~$f.docx"):
+    kept = ("a.md", "sub/b.txt", "build/c.CSS", "dist/vendor/d.tsx", "e.jsonl", "f.xlsx", "g.png")
+    for name in (*kept, ".git/c.md", "node_modules/d.md", "Venv/d.md", "e.bin", "x.log", "y.rst", "~$f.docx", "._g.md"):
         p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
+        p.parent.mkdir(exist_ok=True, parents=True)
         p.write_text("text of " + name)
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xff")
     got = {r.file_name: (r.text, r.corrupt) for r in load_text(discover(spark, f"file://{tmp_path}")).collect()}
-    assert got == {"a.md": ("text of a.md", False), "b.txt": ("text of sub/b.txt", False), "bad.txt": (None, True)}
+    want = {n.split("/")[-1]: (None, True) if n.endswith(("xlsx", "png")) else ("text of " + n, False) for n in kept}
+    assert got == want | {"bad.txt": (None, True)}
 
 
 def test_change_feed_upserts(spark, tmp_path):
@@ -122,3 +134,87 @@ def test_knn_goes_through_any_number_of_queries(spark, monkeypatch, key):
         near = [(-round(1 / (1 + sum((a - b) ** 2 for a, b in zip(v, x))), 6), i) for i, u, x in rows if key is None or u == w]
         want[q] = {(i, -s) for s, i in sorted(near)[:4]}
     assert got == want and search.knn(chunks, queries.limit(0), 4).count() == 0
+
+
+def test_chunking_is_linear(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("word " * n,)], "t string").cache()
+        df.count()
+        began = time.perf_counter()
+        assert df.select(F.size(text.chunk_words(F.col("t"), 1024, 200)).alias("n")).first()["n"] == -(-(n - 200) // 824)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(800_000) < 8 * max(0.3, took(200_000))
+
+
+def test_index_documents_equals_plain_python(spark, sf_dir):
+    from skein.plans import documents
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    lead = {r.doc_id: r.summary for r in documents.summary(spark, sf_dir).collect()}
+    words = {}
+    for r in documents.keyword_topn(spark, sf_dir).orderBy("doc_id", "rank").collect():
+        words.setdefault(r.doc_id, []).append(r.keyword)
+    want = set()
+    for i, r in docs.items():
+        w = (r.text or "").split()
+        for n in range(max(-(-(len(w) - 200) // 824), 1) if w else 0):
+            chunk = " ".join(w[n * 824 : n * 824 + 1024])
+            body = f"[Context: {lead[i]} | Keywords: {', '.join(words.get(i, [])) or 'general'}]\n---\n{chunk}"
+            want.add((i, n, f"{r.lang}_{hashlib.sha256(body.encode()).hexdigest()[:20]}", r.lang, hashlib.sha256(chunk.encode()).hexdigest(), 64))
+    got = [tuple(r[c] for c in ("doc_id", "ord", "id", "workspace", "content_hash", "width")) for r in documents.index_documents(spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_embedding_stand_in(spark):
+    from skein.plans.documents import embed
+
+    rows = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(embed("t").alias("v")).collect()
+    v = np.zeros(64)
+    for w in "aba":
+        h = zlib.crc32(w.encode())
+        v[h % 64] += 1 if h & 64 else -1
+    assert np.allclose(rows[0].v, v / np.linalg.norm(v)) and not any(rows[1].v) and not any(rows[2].v)
+
+
+def test_visible_text_and_entities(spark):
+    html = [
+        '<head><title>T</title></head><body><nav>menu</nav><h1>Head</h1><p>One <b>two</b></p><form>Ask <label>name</label></form><script>x()</script><footer>f</footer></body>',
+        '<script type="application/ld+json">[{"@type": ["Product"], "name": "P", "brand": "B", "offers": [{"price": 3}]}, {"@type": "Product", "name": "P"}, {"@type": "Product"}]</script><p>see</p>',
+        None]
+    got = [r.t for r in spark.createDataFrame([(h,) for h in html], "h string").select(web.html_to_text("h").alias("t")).collect()]
+    assert " ".join(got[0].split()) == "Head One two Ask name" and got[1].startswith("Product: P | Brand: B | Price: 3\n\n") and got[1].endswith("see") and got[2] == ""
+
+
+def test_rename_pairs_in_hot_groups(spark):
+    rows = [("w", f"a/{i}.md", "deleted", 0) for i in range(300)] + [("w", f"b/{i}.md", "new", 0) for i in range(300)] + [("w", "c/x.txt", "new", 0), ("w", "a/y.txt", "deleted", 0)]
+    got = {(r.old_path, r.new_path) for r in sync.rename_pairs(spark.createDataFrame(rows, "workspace string, file_path string, status string, size long")).collect()}
+    assert got == {(f"a/{i}.md", f"b/{i}.md") for i in range(300)}  # the others share neither name nor folder
+
+
+def test_command_suggestions(spark):
+    from skein.functions.scalars import suggested
+
+    df = spark.createDataFrame([("/hepl me",), ("/zzzzqq",), (None,), ("/Folder x",)], "x string")
+    assert [r.s for r in df.select(suggested(F.col("x"), ["/help", "/exit", "/folder"]).alias("s")).collect()] == ["/help", None, None, "/folder"]
+
+
+def test_running_top_k_over_batches(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), "abc"[i % 3], [float(x) for x in rng.integers(0, 3, 4)]) for i in rng.permutation(500)]  # many ties
+    chunks = spark.createDataFrame(rows, "doc_id long, workspace string, vector array<float>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = search.scan(chunks, chunks.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "q"), [search.Arm(0, 9, "own"), search.Arm(1, 5, "shared", "a")], "workspace").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for q, w, v in rows:
+        if q % 50 == 0:
+            for arm, k, ok in ((0, 9, lambda u: u == w), (1, 5, lambda u: u == "a" and w != "a")):
+                near = sorted((-round(1 / (1 + sum((a - b) ** 2 for a, b in zip(v, x))), 6), i) for i, u, x in rows if ok(u))[:k]
+                want |= {(q, i, -s, arm) for s, i in near}
+    assert {(r.q, r.doc_id, r.score, r.arm) for r in got} == want and len(got) == len(want)
