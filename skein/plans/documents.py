@@ -48,6 +48,26 @@ def envelope_text(spark, d):
     return _enriched(spark, d).select("doc_id", F.sha2(T.envelope(F.col("summary"), F.col("keywords"), F.col("text")), 256).alias("h"))
 
 
+def envelope_bypass(spark, d):
+    """Rows of the system's own help are stored as they are; all others get their header."""
+    x = _enriched(spark, d).withColumn("is_system_help", F.col("doc_id") % 11 == 0)
+    return x.select("doc_id", F.sha2(F.when(F.col("is_system_help"), F.col("text")).otherwise(T.envelope(F.col("summary"), F.col("keywords"), F.col("text"))), 256).alias("h"))
+
+
+def system_document(spark, d):
+    """One document of the help pages: a heading and a text each, in order; and the hash by which loading it again is skipped."""
+    pages = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("## Page "), "item_id", F.lit("\n"), "text").alias("part"))
+    one = pages.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "part"))), lambda x: x["part"]), "\n\n").alias("text"))  # the fixed help pages
+    return one.select(F.length("text").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+
+
+def bootstrap_gate(spark, d):
+    """The system's chunks after a load: replaced where the composite hash is another one, else kept as they are."""
+    gates = F.array(F.struct(F.lit("same").alias("gate"), F.lit(True).alias("keeps")), F.struct(F.lit("other").alias("gate"), F.lit(False).alias("keeps")))
+    doc = system_document(spark, d).select("hash", F.explode(gates).alias("g")).select("hash", "g.*").withColumn("stored_hash", F.when(F.col("keeps"), F.col("hash")).otherwise("old"))
+    return doc.select("gate", F.when(F.col("stored_hash") == F.col("hash"), "kept").otherwise("replaced").alias("action"), "hash")
+
+
 def envelope_cache_join(spark, d):
     docs = _docs(spark, d).withColumn("h", T.content_hash(F.col("text")))
     cache = docs.where("doc_id % 3 = 0").groupBy("h").agg(F.min("doc_id").alias("cached_by"))
@@ -108,7 +128,7 @@ def path_prefix_join(spark, d):
     """Files under any of a workspace's folders."""
     folders = spark.sql("SELECT * FROM VALUES ('w1', array('src1', 'src2')), ('w2', array('src1')) AS t(workspace, paths)").select("workspace", F.explode("paths").alias("p"))
     docs = _docs(spark, d)
-    return docs.join(F.broadcast(folders), docs.source.startswith(folders.p)).groupBy("workspace").agg(F.countDistinct("doc_id").alias("n"))
+    return docs.join(folders, docs.source.startswith(folders.p)).groupBy("workspace").agg(F.countDistinct("doc_id").alias("n"))
 
 
 _LINES = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
@@ -139,7 +159,7 @@ def _chunk_cte(size: int, overlap: int) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    content_hash, chunk_id, doc_title, summary, keyword_topn, envelope_text, envelope_cache_join, chunk_split, chunk_stats, embed_hash, index_documents,
+    content_hash, chunk_id, doc_title, summary, keyword_topn, envelope_text, envelope_bypass, system_document, bootstrap_gate, envelope_cache_join, chunk_split, chunk_stats, embed_hash, index_documents,
     count_by_workspace, inspect_sample, duplicates_by_hash, path_prefix_join)}
 ORACLE = {
     "content_hash": f"SELECT doc_id, sha256({STRIP.format('text')}) AS content_hash FROM documents",
@@ -150,6 +170,12 @@ ORACLE = {
     "envelope_text": f"""WITH {_SUMMARY_CTE}, {_KEYWORDS_CTE}, kw AS (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS k FROM keywords GROUP BY doc_id)
         SELECT doc_id, sha256('[Context: ' || summary || ' | Keywords: ' || coalesce(k, 'general') || ']' || chr(10) || '---' || chr(10) || text) AS h
         FROM documents JOIN summaries USING (doc_id) LEFT JOIN kw USING (doc_id)""",
+    "envelope_bypass": f"""WITH {_SUMMARY_CTE}, {_KEYWORDS_CTE}, kw AS (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS k FROM keywords GROUP BY doc_id)
+        SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text ELSE '[Context: ' || summary || ' | Keywords: ' || coalesce(k, 'general') || ']' || chr(10) || '---' || chr(10) || text END) AS h
+        FROM documents JOIN summaries USING (doc_id) LEFT JOIN kw USING (doc_id)""",
+    "system_document": "SELECT length(t) AS n_chars, sha256(t) AS hash FROM (SELECT string_agg('## Page ' || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS t FROM benchmark)",
+    "bootstrap_gate": """WITH h AS (SELECT sha256(string_agg('## Page ' || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY item_id)) AS hash FROM benchmark)
+        SELECT gate, CASE WHEN gate = 'same' THEN 'kept' ELSE 'replaced' END AS action, hash FROM h, (VALUES ('same'), ('other')) t(gate)""",
     "envelope_cache_join": f"""WITH h AS (SELECT doc_id, sha256({STRIP.format('text')}) AS h FROM documents), cache AS (SELECT h, min(doc_id) AS cached_by FROM h WHERE doc_id % 3 = 0 GROUP BY h)
         SELECT doc_id, cached_by IS NOT NULL AS hit, coalesce(cached_by, doc_id) AS enriched_from FROM h LEFT JOIN cache USING (h)""",
     "chunk_split": f"WITH {_chunk_cte(200, 40)} SELECT doc_id, ord, sha256(text) AS h FROM chunked",

@@ -171,6 +171,24 @@ def entitlements(spark, d):
     return scope.entitled(fixture(spark, "tier, source_type, n_workspaces", GATES), _lists(spark, TIER_COLUMNS, scope.TIERS, "source_types"))
 
 
+def tier_lines(spark, d):
+    """A line for each tier: its sources, and what it opens."""
+    t = _lists(spark, TIER_COLUMNS, scope.TIERS, "source_types")
+    opens = [F.when(F.col(c), F.lit(c)) for c in ("ocr", "multi_context", "collaboration", "server")]
+    return t.select("tier", F.concat_ws(" | ", F.concat(F.lit("sources: "), F.array_join("source_types", ", ")), F.concat(F.lit("up to "), "max_workspaces", F.lit(" workspaces")), F.concat_ws(", ", *opens)).alias("line"))
+
+
+USERS = "('u1', 'admin', '*'), ('u2', 'analyst', 'Default'), ('u3', 'viewer', 'Default,Research')"
+USER_TOKENS = "('k1', 'u1'), ('k2', 'u2'), ('k3', 'u2'), ('k4', 'u3')"
+
+
+def user_cascade(spark, d):
+    """Users and tokens after one user is made and another goes with all tokens."""
+    users = fixture(spark, "user, role, allowed", USERS).unionByName(fixture(spark, "user, role, allowed", "('u4', 'boss', 'Default')").withColumn("role", scope.role_asked(F.col("role"), "analyst")))
+    left = users.where("user <> 'u2'")
+    return left.join(fixture(spark, "token, user", USER_TOKENS), "user", "left").select("user", "role", "token")
+
+
 SEATS = "(1), (5), (8)"
 
 
@@ -205,7 +223,7 @@ _MODE = "CASE WHEN {0} IN ('strict', 'hybrid', 'proactive') THEN {0} END"
 _ENGINE = "CASE WHEN lower(trim({0})) = 'ddg' THEN 'duckduckgo' WHEN lower(trim({0})) IN ('auto', 'tavily', 'serper', 'duckduckgo') THEN lower(trim({0})) END"
 QUERIES = {f.__name__: f for f in (
     resolve_workspace, token_access, allowlist_names, unified_sources, library_sources, grounding_mode, mode_asked, web_search_flag, search_engine, model_provider, usable_models, invite_state, invite_permissions,
-    invite_lookup, grant_revoke, sharing_access, folder_view, folder_upsert_delete, workspace_paths, folder_list, entitlements, seat_price, table_counts, event_windows, session_counts)}
+    invite_lookup, grant_revoke, sharing_access, folder_view, folder_upsert_delete, workspace_paths, folder_list, entitlements, tier_lines, user_cascade, seat_price, table_counts, event_windows, session_counts)}
 ORACLE = {
     "resolve_workspace": f"""WITH {WS}, j AS (SELECT x, w.id, w.name, coalesce((w.workspace_id = x OR lower(w.name) = lower(x))::INT, 0) AS best FROM (VALUES {ASKED}) t(x)
         LEFT JOIN w ON w.workspace_id = x OR lower(w.name) = lower(x) OR (regexp_matches(x, '^ws_[0-9]+$') AND w.id::VARCHAR = regexp_extract(x, '^ws_([0-9]+)$', 1)))
@@ -248,6 +266,10 @@ ORACLE = {
         f AS (SELECT workspace, path, min(t * 1000 + pos) AS seen FROM b WHERE path <> '' GROUP BY ALL) SELECT workspace, path, row_number() OVER (PARTITION BY workspace ORDER BY seen, path) - 1 AS pos FROM f""",
     "entitlements": f"""SELECT a.*, coalesce(list_contains(string_split(source_types, ','), lower(trim(source_type))), false) AS may_use_source, coalesce(n_workspaces < max_workspaces, false) AS may_add_workspace, coalesce(ocr, false) AS may_ocr,
         coalesce(multi_context, false) AS may_multi_context, coalesce(collaboration, false) AS may_collaboration, coalesce(server, false) AS may_server FROM (VALUES {GATES}) a(tier, source_type, n_workspaces) LEFT JOIN (VALUES {scope.TIERS}) t({TIER_COLUMNS}) USING (tier)""",
+    "tier_lines": f"""SELECT tier, 'sources: ' || replace(source_types, ',', ', ') || ' | up to ' || max_workspaces || ' workspaces | ' || concat_ws(', ', CASE WHEN ocr THEN 'ocr' END, CASE WHEN multi_context THEN 'multi_context' END,
+        CASE WHEN collaboration THEN 'collaboration' END, CASE WHEN server THEN 'server' END) AS line FROM (VALUES {scope.TIERS}) t({TIER_COLUMNS})""",
+    "user_cascade": f"""WITH u AS (SELECT * FROM (VALUES {USERS}) t("user", role, allowed) UNION ALL SELECT 'u4', 'analyst', 'Default'), k AS (SELECT * FROM (VALUES {USER_TOKENS}) t(token, "user"))
+        SELECT u."user", role, token FROM u LEFT JOIN k USING ("user") WHERE u."user" <> 'u2'""",
     "seat_price": f"SELECT seats, 79 + 15 * greatest(seats - 5, 0) AS price FROM (VALUES {SEATS}) t(seats)",
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("customer", "supplier", "nation", "region")),
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",

@@ -145,6 +145,23 @@ def link_unlink(spark, d):
     return dml.unlink(links, "w", "web", "https://x")
 
 
+def links_of_workspace(spark, d):
+    """By the workspace's name as it is written."""
+    return fixture(spark, LINK_COLUMNS, LINKS + ", ('W', 'web', 'https://y', 'Y')").where("workspace = 'w'").select("source_type", "identifier")
+
+
+def urls_listed(spark, d):
+    """Registered URLs: of a workspace, and one by its own."""
+    u = fixture(spark, WEB_COLUMNS, WEB)
+    return u.where("workspace = 'v'").select(F.lit("workspace").alias("by"), "url").unionByName(u.where("url = 'https://b'").select(F.lit("url").alias("by"), "url"))
+
+
+def url_hash_update(spark, d):
+    """What a page's last reading leaves in the registry."""
+    new = fixture(spark, WEB_COLUMNS, "('w', 'https://b', 'https://b', 6)")
+    return dml.put(fixture(spark, WEB_COLUMNS, WEB), new, ["workspace", "url"])
+
+
 def _sql(rel: str) -> str:
     return f"WITH {CHUNKS_SQL} SELECT workspace, file_path, count(*) AS n, min(doc_id) AS first, sum(doc_id)::BIGINT AS total FROM ({rel}) GROUP BY ALL"
 
@@ -169,7 +186,7 @@ def _web_sql(root: str, suffix: str) -> str:
 
 QUERIES = {f.__name__: f for f in (
     append_chunks, upsert_chunks, replace_pages, deleted_counts, delete_workspace, delete_local_docs, delete_file, delete_id, rename_workspace, transfer_source, root_source_consolidate, root_source_new,
-    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, transfer_folder, transfer_web, link_unlink)}
+    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, transfer_folder, transfer_web, link_unlink, links_of_workspace, urls_listed, url_hash_update)}
 ORACLE = {
     "append_chunks": _sql("SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id % 20 = 7"),
     "upsert_chunks": _sql("SELECT doc_id, workspace, CASE WHEN doc_id % 20 = 7 THEN 'new' ELSE file_path END AS file_path FROM chunks"),
@@ -199,4 +216,7 @@ ORACLE = {
     "link_unlink": f"""WITH l AS (SELECT * FROM (VALUES {LINKS}) t({LINK_COLUMNS})), n AS (SELECT * FROM (VALUES ('w', 'folder', '/a', 'A2'), ('u', 'web', 'https://x', 'X')) t({LINK_COLUMNS})),
         j AS (SELECT * FROM n UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workspace = l.workspace AND n.source_type = l.source_type AND n.identifier = l.identifier))
         SELECT * FROM j WHERE NOT (workspace = 'w' AND source_type = 'web' AND identifier = 'https://x')""",
+    "links_of_workspace": f"SELECT source_type, identifier FROM (VALUES {LINKS}, ('W', 'web', 'https://y', 'Y')) t({LINK_COLUMNS}) WHERE workspace = 'w'",
+    "urls_listed": f"WITH w AS (SELECT * FROM (VALUES {WEB}) t({WEB_COLUMNS})) SELECT 'workspace' AS by, url FROM w WHERE workspace = 'v' UNION ALL SELECT 'url', url FROM w WHERE url = 'https://b'",
+    "url_hash_update": f"SELECT workspace, url, CASE WHEN url = 'https://b' THEN 'https://b' ELSE root_url END AS root_url, CASE WHEN url = 'https://b' THEN 6 ELSE page_count END AS page_count FROM (VALUES {WEB}) t({WEB_COLUMNS})",
 }

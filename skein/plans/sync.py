@@ -111,6 +111,21 @@ def crawl_status(spark, d):
     return _crawl(spark, d).select("page_id", "status")
 
 
+def crawl_index(spark, d):
+    """The page table after a crawl: pages that are new or changed give way to what was read, all others stay."""
+    from ..operators.dml import replace_files
+
+    rows = table(spark, d, "pages").select(F.lit("w").alias("workspace"), F.col("url").alias("file_path"), "page_id", F.sha2("html", 256).alias("h"))
+    old = rows.where("page_id % 4 <> 0").withColumn("h", F.lit("old"))
+    read = _crawl(spark, d).where("status IN ('new', 'changed')").select("page_id")
+    return replace_files(old, rows.join(read, "page_id", "left_semi").select(*old.columns)).select("page_id", "h")
+
+
+def stat_cache_map(spark, d):
+    """A workspace's stat cache, by path."""
+    return _cache(spark, d).where("workspace = 'de'").select("file_path", "mtime", "size")
+
+
 def lastmod_skip(spark, d):
     return _crawl(spark, d).groupBy((F.col("status") == "skipped_lastmod").alias("skipped")).agg(F.count("*").alias("n"))
 
@@ -184,7 +199,7 @@ _SQL_CRAWL = """pg AS (SELECT url, page_id, CASE WHEN page_id % 3 = 0 THEN '2024
     crawl AS (SELECT pg.*, CASE WHEN lastmod = lm THEN 'skipped_lastmod' WHEN http_status = 304 AND h IS NOT NULL THEN 'skipped_304' WHEN n_chars <= 30 THEN 'error'
         WHEN content_hash = h THEN 'skipped_hash' WHEN h IS NULL THEN 'new' ELSE 'changed' END AS status FROM pg LEFT JOIN led USING (url))"""
 QUERIES = {f.__name__: f for f in (
-    stat_diff, change_summary, change_summary_sources, rename_pairs, rename_diff, folder_index, stat_cache_upsert, stat_cache_rename, stat_cache_clear, sync_dispatch, crawl_cap, crawl_status, lastmod_skip,
+    stat_diff, change_summary, change_summary_sources, rename_pairs, rename_diff, folder_index, stat_cache_upsert, stat_cache_rename, stat_cache_clear, sync_dispatch, crawl_cap, crawl_status, crawl_index, stat_cache_map, lastmod_skip,
     crawl_counters, new_urls, page_ledger_upsert, polling_due, progress_bar, page_sum, distinct_pages)}
 ORACLE = {
     "stat_diff": f"WITH {_SQL_DIFF} SELECT workspace, file_path, status, size FROM diff",
@@ -207,6 +222,9 @@ ORACLE = {
     "crawl_cap": r"""SELECT page_id, domain, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY length(url), url DESC, page_id) AS rank FROM (SELECT page_id, url,
         regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), ':\d+$', ''), '^www\.', '') AS domain FROM pages)) WHERE rank <= 3""",
     "crawl_status": f"WITH {_SQL_CRAWL} SELECT page_id, status FROM crawl",
+    "crawl_index": f"""WITH {_SQL_CRAWL}, r AS (SELECT page_id, url, content_hash AS h FROM crawl WHERE status IN ('new', 'changed'))
+        SELECT page_id, h FROM r UNION ALL SELECT page_id, 'old' FROM pages WHERE page_id % 4 <> 0 AND url NOT IN (SELECT url FROM r)""",
+    "stat_cache_map": f"SELECT file_path, mtime::DOUBLE AS mtime, size FROM ({_SQL_CACHE}) WHERE workspace = 'de'",
     "lastmod_skip": f"WITH {_SQL_CRAWL} SELECT status = 'skipped_lastmod' AS skipped, count(*) AS n FROM crawl GROUP BY 1",
     "crawl_counters": f"""WITH {_SQL_CRAWL}, s AS (SELECT count(*) FILTER (status IN ('new', 'changed')) AS indexed, count(*) FILTER (starts_with(status, 'skipped')) AS skipped, count(*) FILTER (status = 'error') AS errors,
         sum(CASE WHEN status IN ('new', 'changed') THEN n_chars ELSE 0 END)::BIGINT AS chars, count(*) FILTER (status IN ('new', 'changed') AND is_spa) AS spa FROM crawl)
