@@ -86,6 +86,14 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return task
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it none of df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of df (a materialised table) when its counted size is below limit; leave the join to Spark beyond it."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

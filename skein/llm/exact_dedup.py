@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small, table, temporary
+from .common import fresh, materialise, small, table, temporary
 
 
 def content_hash(text: Column) -> Column:
@@ -51,14 +51,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct()
         again = found.where("kept").groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("sha").alias("_sha"))
         gone, again = materialise(gone, "exact-gone", keep=True), materialise(again, "exact-again", keep=True)
-    rows = docs.withColumns({"_exact_id": F.col(id_col).cast("long"), "_exact_sha": F.unhex(F.sha2(text, 256))})
-    is_row = lambda i: F.col("_exact_id").eqNullSafe(F.col(i)) & (F.col("_exact_sha") == F.col("_sha"))
-    out = rows.join(small(gone, 64), is_row("_gone"), "left_anti")
+    own_id, own_sha, own_text = (fresh(docs, f"_exact_{x}") for x in ("id", "sha", "text"))
+    rows = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: F.unhex(F.sha2(text, 256))})
+
+    def join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        r = small(right.toDF(fresh(left, "_r_id"), fresh(left, "_r_sha")), 64)
+        return left.join(r, left[own_id].eqNullSafe(r[r.columns[0]]) & (left[own_sha] == r[r.columns[1]]), how)
+
+    out = join(rows, gone, "left_anti")
     if not again.isEmpty():
-        once = out.join(small(again, 64), is_row("_again"), "left_semi").withColumn("_exact_text", text)
-        once = once.dropDuplicates(["_exact_id", "_exact_text"]).drop("_exact_text")
-        out = out.join(small(again, 64), is_row("_again"), "left_anti").unionByName(once)
-    return out.drop("_exact_id", "_exact_sha")
+        once = join(out, again, "left_semi").withColumn(own_text, text)
+        once = once.dropDuplicates([own_id, own_text]).drop(own_text)
+        out = join(out, again, "left_anti").unionByName(once)
+    return out.drop(own_id, own_sha)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

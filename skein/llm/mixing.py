@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small, table, temporary
+from .common import fresh, materialise, small, table, temporary
 
 log = logging.getLogger(__name__)
 
@@ -251,9 +251,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floors:
         rates = fit_rates(post, model.domains, targets, floors, keep=keep)
         dealt = post.where("doc_id IS NOT NULL").select("doc_id", copies(rates.column(F.col("p")), F.col("doc_id")).alias("n"))
         other = materialise(dealt.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("n").alias("_mix_n")).where("_mix_n <> 1"), "mix-copies", keep=True)
-    gone, more = other.where("_mix_n = 0").select("_mix_id"), other.where("_mix_n > 1")
-    kept = docs.join(small(gone, 16), docs["doc_id"] == F.col("_mix_id"), "left_anti")
-    again = docs.join(small(more, 24), docs["doc_id"] == F.col("_mix_id")).withColumn("_mix_i", F.explode(F.sequence(F.lit(2), F.col("_mix_n"))))
+    names = [fresh(docs, x) for x in ("_mix_id", "_mix_n", "_mix_i")]
+    gone, more = (small(other.where(w).toDF(*names[:2]), 24) for w in ("_mix_n = 0", "_mix_n > 1"))
+    kept = docs.join(gone, docs["doc_id"] == gone[names[0]], "left_anti")
+    again = docs.join(more, docs["doc_id"] == more[names[0]]).withColumn(names[2], F.explode(F.sequence(F.lit(2), F.col(names[1]))))
     return kept.unionByName(again.select(*(docs[c] for c in docs.columns)))
 
 

@@ -114,7 +114,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         for block in blocks(batches, block_pieces):
             lengths = block.column("length").to_numpy()
-            order = np.argsort(-lengths, kind="stable")
+            order = np.argsort(-lengths, kind="stable") if block_pieces > 1 else np.arange(len(lengths))
             placed = np.empty((2, len(order)), dtype="int64")
             for i, n in zip(order.tolist(), lengths[order].tolist()):
                 placed[:, i] = fit.put(n)

@@ -65,6 +65,15 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_packing_strictly_online_is_best_fit(spark):
+    rows = [(i, "word " * (i * 37 % 700)) for i in range(200)]
+    got = packing.pack(table(spark, rows), block_pieces=1, open_bins=4).coalesce(1).orderBy("doc_id", "piece").collect()
+    by_bin = defaultdict(list)
+    for r in got:
+        by_bin[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for o, n in v if o < at) == at for v in by_bin.values() for at, _ in v) and max(sum(n for _, n in v) for v in by_bin.values()) <= 1024
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     f = packing.BestFit(10, 2)
     assert [f.put(n) for n in (6, 5, 4)] == [(0, 0), (1, 0), (0, 6)]
@@ -291,6 +300,41 @@ def test_words_are_split_at_all_white_space(spark):
     assert {model.domains[r.domain - 1] for r in other} == {"toxic"} and all(max(r.p) > 0.9 for r in other)
 
 
+def plain_posterior(model, text):
+    """Of one text, word by word."""
+    import xxhash
+
+    words = (text or "").lower().split()
+    scale = lambda k, x: f"\x01{k}{int(x / max(1, len(words)) * 8)}"
+    marked = [*words, scale("s", sum(w[-1] in "&%$#*!|=<>~^" for w in words)), scale("d", len(set(words)))]
+    hit = {model.slots[xxhash.xxh64(w.rstrip(".,;:!?)\"").encode(), seed=42).intdigest() & (mixing.BUCKETS - 1)] for w in marked} - {0}
+    z = np.array([b + sum(w[s - 1] for s in hit) for w, b in zip(model.weights, model.bias)])
+    e = np.exp(np.maximum(z - z.max(), -60))
+    return len(words), e / e.sum()
+
+
+def test_posteriors_and_rates_equal_plain_versions(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = mixing.label_domains(spark.read.parquet(f"{d}/labels.parquet"))
+    model = mixing.fit_classifier(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    post = mixing.with_posteriors(docs, model)
+    rows = post.collect()
+    for r in rows:
+        n, p = plain_posterior(model, texts[r.doc_id])
+        assert r.n_tokens == n and np.allclose(r.p, p, atol=1e-9)
+    # the steps, made again over all rows at once, and the optimum's conditions: a rate above 0 has no gradient left
+    rates = mixing.fit_rates(post, model.domains, mixing.TARGETS)
+    p, n, r = np.array([x.p for x in rows]), np.array([x.n_tokens for x in rows]), np.ones(len(rows))
+    for e in rates.steps:
+        r = np.maximum(r - p @ np.array(e), 0)
+    got = {x.doc_id: x.r for x in post.withColumn("r", rates.column(F.col("p"))).collect()}
+    assert np.allclose([got[x.doc_id] for x in rows], r)
+    goal = n.sum() * np.array([mixing.TARGETS[d] for d in model.domains])
+    assert np.abs(p.T @ (n * r) - goal).max() < 0.002 * n.sum() and not rates.unmet
+
+
 def test_rates_lift_a_rare_domain_to_its_target(spark):
     names, targets = ["clean", "low", "toxic"], {"clean": 0.90, "low": 0.07, "toxic": 0.03}
     rows = [(i, 100, [0.0005, 0.0005, 0.999] if i == 7 else [0.01, 0.9895, 0.0005] if i % 9 == 0 else [0.9989, 0.001, 0.0001], 1) for i in range(2000)]  # toxic: one in 2000
@@ -567,6 +611,31 @@ def test_quality_of_odd_tables(spark):
     assert quality.keep_quality(docs, labels.limit(0)).columns == docs.columns
 
 
+def plain_features(text):
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * (quality.KINDS + 8) + [1.0]
+    kind = lambda c: 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in (9, 10, 11, 12, 13, 32) else 4 if chr(c) in ".,;:'\"?()-" else 5 if c < 128 else 6
+    n = [0] * quality.KINDS
+    for c in b:
+        n[kind(c)] += 1
+    w = [x.lower() for x in re.split(rb"[\x20\x09-\x0D]+", b) if x]
+    lines = [x for x in b.split(b"\n") if x]
+    k, own = len(w), len(set(w))
+    return [(x / len(b)) ** 0.5 for x in n] + [
+        n[1] / max(1, n[0] + n[1] + n[6]), sum(x == y for x, y in zip(w, w[1:])) / max(1, k - 1), (len(lines) - len(set(lines))) / max(1, len(lines) - 1), own / max(1, k),
+        np.log1p(k) / 8, np.log1p(len(b) / max(1, k)) / 3, min(1, own / (3 * k**0.75 + 1)), k < 8, 0]
+
+
+def test_quality_features_equal_plain_ones(sf_dir):
+    import pandas as pd
+    import pyarrow as pa
+
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet")["text"].tolist() + [t for _, t in ODD] + ["a a a b", "\n\nx\nx\n", "Ä ä 1 $ (b)", " "]
+    got = quality.features(*shingles.text_buffers(pa.array(texts)))
+    assert np.allclose(got, [plain_features(t) for t in texts])
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
 def test_prior_is_estimated_without_negatives(share):
     rng = np.random.default_rng(0)
@@ -745,3 +814,38 @@ def test_pipeline(spark):
     packed = packing.pack(kept).agg(F.countDistinct("doc_id")).first()[0]
     assert packed == len(mixed)
     assert {r.doc_id for r in p.run(spark, d).collect()} == set(mixed)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    src = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{src}/documents.parquet")
+    names = "doc_id long, text string, digest string, h string, t string, node long, _near_gone long, kept boolean, _exact_id long, _MIX_N int, y int, web boolean"
+    good = base.where("length(text) > 300").orderBy("doc_id").limit(3).select("text").collect()
+    odd = [(None, good[0].text), (9001, good[1].text), (9001, good[1].text), (9002, None), (9003, ""), (9004, good[2].text + " and a little more"), (9005, good[2].text), (None, "alone " * 50), (9006, "x" * 200_000)]
+    rows = spark.createDataFrame([(*r, "d", "h", "t", 1, 2, True, 3, 4, 5, True) for r in odd], names)
+    more = base.select("doc_id", "text").withColumns({"digest": F.lit("d"), "h": F.lit("h"), "t": F.lit("t"), "node": F.lit(1).cast("long"), "_near_gone": F.lit(2).cast("long"), "kept": F.lit(True), "_exact_id": F.lit(3).cast("long"), "_MIX_N": F.lit(4), "y": F.lit(5), "web": F.lit(True)})
+    for docs in (rows.unionByName(more), rows.limit(0)):
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.read.parquet(f"{src}/labels.parquet").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        seen = []
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, kept, str(tmp_path))
+            assert out.columns == kept.columns
+            kept = exact_dedup.materialise(out, f"odd-{name}")
+            seen.append([(r.doc_id, r.text) for r in kept.collect()])
+        packed = p.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert len({(r.doc_id) for r in packed}) == len({i for i, _ in seen[-1]})
+        if not packed:
+            continue
+        judged = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        assert set(seen[0]) <= judged
+        texts = [t or "" for _, t in seen[1]]
+        assert len(texts) == len(set(texts)) == len({t or "" for _, t in seen[0]})  # every text once
+        near = [(i, t) for i, t in seen[1] if i is not None]
+        comps = brute_components(near, 5, 80)
+        assert {i for i, _ in seen[2] if i is not None} == {i for i, (_, c) in comps.items() if c == i}
+        assert [t for i, t in seen[2] if i is None] == [t for i, t in seen[1] if i is None]
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 0
