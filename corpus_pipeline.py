@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, mixing, ngram_join, packing, quality
-from skein.llm.common import materialise, small, table, temporary
+from skein.llm.common import fresh, materialise, small, table, temporary
 
 #: Shares of clean and toxic tokens wanted in the mix; clean documents stay whole, the others give way.
 MIX_TARGETS = {"clean": 0.97, "toxic": 0.03}
@@ -37,8 +37,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingle sets that link at a similarity of 0.8 stays: the smallest id."""
     with temporary(spark):
         found = ngram_join.jaccard_components(docs, k=5, percent=80)
-        gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_near_gone")), "near-gone", keep=True)
-    return docs.join(small(gone, 16), docs["doc_id"] == F.col("_near_gone"), "left_anti")
+        gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")), "near-gone", keep=True)
+    gone = small(gone.toDF(fresh(docs, "_near_gone")), 16)
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
