@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, released, slices, table
+from .common import crc_fold, materialise, released, slices, small, table
 from .shingles import text_buffers
 
 BUCKETS, DIM, ORDERS = 1 << 14, 12, (3, 4)
@@ -163,10 +163,10 @@ def fit_counted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], ep
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
     """Counted texts and languages of at most `rows` labelled rows a language, picked by a hash of their id, none held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold() != 0))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-sizes")
     rows = max(1, min(rows, total // max(1, sizes.count())))
     least = F.least(F.lit(1_000_000), F.ceil(1_000_000.0 * (1.5 * rows + 6) / F.col("n"))).alias("_share")
-    picked = known.join(sizes.select("lang", least), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share"))
+    picked = known.join(small(sizes.select("lang", least), 64), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
