@@ -66,6 +66,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         del _MADE[mark:]
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that `materialise` wrote and of which df is the whole."""
+    files = df.inputFiles()
+    if files:
+        path = files[0].rsplit("/", 1)[0]
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run as the function of a task after which its worker gives back the memory that it no longer uses.
 
