@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing", "langid", "pii", "mixing", "ngram_join", "token_counts", "telephony", "quality", "html_text", "exact_dedup", "codebooks"]
+_MODULES = ["packing", "langid", "pii", "mixing", "ngram_join", "token_counts", "telephony", "quality", "html_text", "exact_dedup", "codebooks", "hnsw", "merkle"]
 
 
 def queries() -> dict:
