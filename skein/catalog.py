@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_PLANS = ["retrieval", "documents", "web", "sync", "store", "scope", "memory", "settings"]
+_PLANS = ["retrieval", "documents", "web", "discovery", "sync", "store", "scope", "memory", "settings"]
 
 
 def _plans() -> list:
