@@ -37,15 +37,27 @@ def scan(chunks: DataFrame, queries: DataFrame, arms: list[Arm], key: str | None
     scopes: an array column of the keys that a chunk is linked to. Each task keeps k rows for a query and arm, whatever it
     reads, so what is shuffled grows with tasks and not with chunks. Queries of any number are gone through in blocks.
     """
-    source = chunks.where(F.col("vector").isNotNull()).select(
+    source = _source(chunks, key, scopes, id_col)
+    found = [_block(source, held, arms, id_col) for held in _blocks(_asked(queries, key))]
+    return _best(found, arms, id_col) if found else _nothing(chunks, id_col)
+
+
+def _source(chunks: DataFrame, key: str | None, scopes: str | None, id_col: str, *more: str) -> DataFrame:
+    return chunks.where(F.col("vector").isNotNull()).select(
         F.col(id_col).cast("long").alias(id_col), "vector", (F.col(key) if key else F.lit(None).cast("string")).alias("key"),
-        (F.col(scopes) if scopes else F.lit(None).cast("array<string>")).alias("scopes"))
-    rows = queries.where(F.col("vector").isNotNull()).select("q", (F.col(key) if key else F.lit(None).cast("string")).alias("key"), "vector").orderBy("q").toLocalIterator()
-    found = []
-    for held in _blocks(rows):
-        found.append(_block(source, held, arms, id_col))
-    if not found:
-        return chunks.select(F.lit(0).cast("long").alias("q"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("arm")).limit(0)
+        (F.col(scopes) if scopes else F.lit(None).cast("array<string>")).alias("scopes"), *more)
+
+
+def _asked(queries: DataFrame, key: str | None) -> Iterator[Row]:
+    return queries.where(F.col("vector").isNotNull()).select("q", (F.col(key) if key else F.lit(None).cast("string")).alias("key"), "vector").orderBy("q").toLocalIterator()
+
+
+def _nothing(chunks: DataFrame, id_col: str) -> DataFrame:
+    return chunks.select(F.lit(0).cast("long").alias("q"), F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("arm")).limit(0)
+
+
+def _best(found: list[DataFrame], arms: list[Arm], id_col: str) -> DataFrame:
+    """Of what tasks found, the k nearest of each query and arm."""
     most = F.create_map(*[F.lit(x) for a in arms for x in (a.number, a.k)])
     order = Window.partitionBy("q", "arm").orderBy(F.desc("score"), id_col)
     return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most[F.col("arm")]).drop("_r")
@@ -67,13 +79,22 @@ def _blocks(rows: Iterator[Row]) -> Iterator[list[Row]]:
         yield held
 
 
-def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str) -> DataFrame:
-    """The k nearest that each task finds for each query held and arm."""
+def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str, probes: np.ndarray | None = None) -> DataFrame:
+    """The k nearest that each task finds for each query held and arm.
+
+    probes: the cells (a row for each query) in which a query looks; the source then has each row's cell behind its scopes.
+    """
     names, keys = np.array([r["q"] for r in held]), [r["key"] for r in held]
     codes = {k: i for i, k in enumerate(dict.fromkeys(k for k in keys if k is not None))}
     own = np.array([codes.get(k, -1) for k in keys])
     matrix = np.array([r["vector"] for r in held], dtype="float64")
     norms = (matrix**2).sum(axis=1)
+    visits: dict[int, np.ndarray] = {}
+    if probes is not None:
+        cell, query = probes.ravel(), np.repeat(np.arange(len(names)), probes.shape[1])
+        by = np.lexsort((query, cell))
+        starts = np.nonzero(np.diff(cell[by], prepend=-1))[0]
+        visits = {int(cell[by[i]]): query[by[i:j]] for i, j in zip(starts, [*starts[1:], len(by)])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {a: (np.full((len(names), a.k), -1.0), np.zeros((len(names), a.k), dtype="int64")) for a in arms}
@@ -94,19 +115,25 @@ def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str) ->
                         if s in codes:
                             linked[codes[s], j] = True
             length = (x**2).sum(axis=1)
-            for a in range(0, len(names), SLICE):
-                d = norms[a : a + SLICE, None] + length[None, :] - 2 * matrix[a : a + SLICE] @ x.T
-                score = np.round(1 / (1 + np.maximum(d, 0)), 6)
-                mine = own[a : a + SLICE]
-                for arm in arms:
-                    s = score
-                    if arm.reach == "own":
-                        s = np.where(place[None, :] == mine[:, None], score, -1.0)
-                    elif arm.reach == "shared":
-                        s = np.where(np.array([t == arm.shared for t in text])[None, :] & np.array([k != arm.shared for k in keys[a : a + SLICE]])[:, None], score, -1.0)
-                    elif arm.reach == "linked":
-                        s = np.where(linked[mine], score, -1.0)
-                    _merge(*best[arm], a, s, ids)
+            parts = [(np.arange(len(ids)), np.arange(len(names)))]
+            if probes is not None:
+                cells = batch.column(4).to_numpy()[order]
+                parts = [(np.nonzero(cells == c)[0], visits[c]) for c in np.unique(cells).tolist() if c in visits]
+            for rows, asking in parts:
+                for a in range(0, len(asking), SLICE):
+                    at = asking[a : a + SLICE]
+                    d = norms[at, None] + length[None, rows] - 2 * matrix[at] @ x[rows].T
+                    score = np.round(1 / (1 + np.maximum(d, 0)), 6)
+                    mine = own[at]
+                    for arm in arms:
+                        s = score
+                        if arm.reach == "own":
+                            s = np.where(place[None, rows] == mine[:, None], score, -1.0)
+                        elif arm.reach == "shared":
+                            s = np.where(np.array([text[i] == arm.shared for i in rows.tolist()])[None, :] & np.array([keys[i] != arm.shared for i in at.tolist()])[:, None], score, -1.0)
+                        elif arm.reach == "linked":
+                            s = np.where(linked[mine][:, rows], score, -1.0)
+                        _merge(*best[arm], at, s, ids[rows])
         for arm, (score, ids) in best.items():
             r, c = np.nonzero(score >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[r, c]), pa.array(score[r, c]), pa.array(np.full(len(r), arm.number, dtype="int32"))], ["q", id_col, "score", "arm"])
@@ -114,19 +141,18 @@ def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str) ->
     return source.mapInArrow(run, f"q long, {id_col} long, score double, arm int")
 
 
-def _merge(top: np.ndarray, top_ids: np.ndarray, a: int, score: np.ndarray, ids: np.ndarray) -> None:
-    """Bring the k best of score (a row a query, from query a on; ids in order) into the k best so far."""
+def _merge(top: np.ndarray, top_ids: np.ndarray, queries: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    """Bring the k best of score (a row a query; ids in order) into the k best so far of the same queries."""
     k, n = top.shape[1], score.shape[1]
     if n > k:  # scores have six digits, so score and place make one whole number
         rank = (1_000_000 - np.rint(score * 1_000_000)).astype("int64") * n + np.arange(n)
         at = np.argpartition(rank, k - 1, axis=1)[:, :k]
     else:
         at = np.broadcast_to(np.arange(n), score.shape)
-    z = a + len(score)
-    both = np.concatenate((top[a:z], np.take_along_axis(score, at, axis=1)), axis=1)
-    both_ids = np.concatenate((top_ids[a:z], ids[at]), axis=1)
+    both = np.concatenate((top[queries], np.take_along_axis(score, at, axis=1)), axis=1)
+    both_ids = np.concatenate((top_ids[queries], ids[at]), axis=1)
     order = np.lexsort((both_ids, -both), axis=-1)[:, :k]
-    top[a:z], top_ids[a:z] = np.take_along_axis(both, order, axis=1), np.take_along_axis(both_ids, order, axis=1)
+    top[queries], top_ids[queries] = np.take_along_axis(both, order, axis=1), np.take_along_axis(both_ids, order, axis=1)
 
 
 def knn_sql(chunks: DataFrame, vector: list[float], k: int, id_col: str = "doc_id") -> DataFrame:

@@ -2,24 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..config import Retrieval
+from ..sources.scratch import Scratch, small
 from .knn import Arm, scan
 from .ranking import char_budget, positioned, round_robin, threshold
 
-#: Links of one set of workspaces that a plan may hold.
-MAX_LINKS = 10_000
+#: Bytes of link identifiers that one automaton holds; more links take more passes over a path.
+LINK_BYTES = 16 << 20
 
 
 def linked_scopes(path: Column, links: DataFrame) -> Column:
-    """Array of the workspaces that a chunk's path is linked to. links (workspace, identifier) are settings, held in the plan and counted."""
-    ids = links.select("workspace", F.replace("identifier", F.lit("\\"), F.lit("/")).alias("identifier")).distinct().orderBy("workspace", "identifier").limit(MAX_LINKS + 1).collect()
-    if len(ids) > MAX_LINKS:
-        raise ValueError(f"more than {MAX_LINKS} links")
-    hit = [F.when(path.contains(r["identifier"]), F.lit(r["workspace"])) for r in ids]
-    return F.array_distinct(F.array_compact(F.array(*hit))) if hit else F.array().cast("array<string>")
+    """Sorted array of the workspaces that a chunk's path is linked to. links (workspace, identifier): the path contains the identifier.
+
+    Identifiers go to the tasks in blocks of bounded size, and each task makes one automaton of a block, so that a path is read
+    once for all of them; the plan has one expression a block, however many links there are. An empty identifier is in every
+    path; null ones, and null paths, link nothing.
+    """
+    rows = links.where("workspace IS NOT NULL AND identifier IS NOT NULL").select("workspace", F.replace("identifier", F.lit("\\"), F.lit("/")).alias("identifier")).distinct()
+    blocks = [_matcher(block)(path) for block in _link_blocks(rows.orderBy("identifier", "workspace").toLocalIterator())]
+    if not blocks:
+        return F.array().cast("array<string>")
+    return blocks[0] if len(blocks) == 1 else F.array_sort(F.array_distinct(F.flatten(F.array(*blocks))))
+
+
+def _link_blocks(rows: Iterator[Row]) -> Iterator[dict[str, list[str]]]:
+    """Workspaces by identifier, as many as one automaton holds."""
+    held: dict[str, list[str]] = {}
+    size = 0
+    for r in rows:
+        held.setdefault(r["identifier"], []).append(r["workspace"])
+        size += len(r["identifier"]) + len(r["workspace"])
+        if size >= LINK_BYTES:
+            yield held
+            held, size = {}, 0
+    if held:
+        yield held
+
+
+def _matcher(names: dict[str, list[str]]):
+    @F.arrow_udf(Ty.ArrayType(Ty.StringType()))
+    def scopes(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = ahocorasick.Automaton()
+        for name, workspaces in names.items():
+            if name:
+                find.add_word(name, workspaces)
+        always = names.get("", [])
+        if len(find):
+            find.make_automaton()
+        for batch in paths:
+            known: dict[str | None, list[str]] = {None: []}
+            for p in batch.unique().to_pylist():  # many chunks are of one path
+                if p is not None:
+                    hits = (w for _, some in (find.iter(p) if len(find) else ()) for w in some)
+                    known[p] = sorted({*always, *hits})
+            yield pa.array([known[p] for p in batch.to_pylist()], pa.list_(pa.string()))
+
+    return scopes
 
 
 def arms(chunks: DataFrame, queries: DataFrame, pool: int, shared: str = "Global", links: DataFrame | None = None) -> DataFrame:
@@ -45,6 +91,7 @@ def filter_and_balance(rows: DataFrame, setting: Retrieval) -> DataFrame:
 def search(chunks: DataFrame, queries: DataFrame, setting: Retrieval, shared: str = "Global", links: DataFrame | None = None) -> DataFrame:
     """Ranked chunks of each query, with all their columns."""
     pool = max(setting.pool, 2 * setting.top_k)
-    found = arms(chunks, queries, pool, shared, links)
-    rows = found.join(chunks.drop("vector"), "doc_id").withColumn("src", F.col("file_path"))
+    # what was found is written and counted first: few rows are sent to the chunks, whose texts then stay where they are
+    found = Scratch(chunks.sparkSession).written(arms(chunks, queries, pool, shared, links), "search-found", keep=True)
+    rows = small(found, 64).join(chunks.drop("vector"), "doc_id").withColumn("src", F.col("file_path"))
     return filter_and_balance(rows, setting)

@@ -9,6 +9,7 @@ from pyspark.sql import types as Ty
 
 from ..config import CHUNK_OVERLAP, CHUNK_WORDS
 from ..functions import text as T
+from ..operators.folders import under
 from ..schema import CHUNKS_SQL, chunks, table
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -126,9 +127,15 @@ def duplicates_by_hash(spark, d):
 
 def path_prefix_join(spark, d):
     """Files under any of a workspace's folders."""
-    folders = spark.sql("SELECT * FROM VALUES ('w1', array('src1', 'src2')), ('w2', array('src1')) AS t(workspace, paths)").select("workspace", F.explode("paths").alias("p"))
-    docs = _docs(spark, d)
-    return docs.join(folders, docs.source.startswith(folders.p)).groupBy("workspace").agg(F.countDistinct("doc_id").alias("n"))
+    folders = spark.sql("SELECT * FROM VALUES ('w1', array('src1', 'src2')), ('w2', array('src1')) AS t(workspace, paths)").select("workspace", F.explode("paths").alias("folder"))
+    return under(_docs(spark, d).select("doc_id", "source"), folders, "source").groupBy("workspace").agg(F.countDistinct("doc_id").alias("n"))
+
+
+def folders_of_sources(spark, d):
+    """Every document under the folders that the sources' own names make: a workspace for each language, with the sources of its documents."""
+    docs = _docs(spark, d).select("doc_id", "lang", "source")
+    folders = docs.select(F.col("lang").alias("workspace"), F.expr("substring(source, 1, length(source) - (length(source) > 4)::int)").alias("folder")).distinct()
+    return under(docs.select("doc_id", "source"), folders, "source").select("doc_id", "workspace")
 
 
 _LINES = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
@@ -160,7 +167,7 @@ def _chunk_cte(size: int, overlap: int) -> str:
 
 QUERIES = {f.__name__: f for f in (
     content_hash, chunk_id, doc_title, summary, keyword_topn, envelope_text, envelope_bypass, system_document, bootstrap_gate, envelope_cache_join, chunk_split, chunk_stats, embed_hash, index_documents,
-    count_by_workspace, inspect_sample, duplicates_by_hash, path_prefix_join)}
+    count_by_workspace, inspect_sample, duplicates_by_hash, path_prefix_join, folders_of_sources)}
 ORACLE = {
     "content_hash": f"SELECT doc_id, sha256({STRIP.format('text')}) AS content_hash FROM documents",
     "chunk_id": "SELECT doc_id, lang || '_' || substr(sha256(text), 1, 20) AS chunk_id FROM documents",
@@ -183,5 +190,6 @@ ORACLE = {
     "count_by_workspace": f"WITH {CHUNKS_SQL} SELECT workspace, count(*) AS n FROM chunks GROUP BY workspace",
     "inspect_sample": f"WITH {CHUNKS_SQL} SELECT doc_id, id, file_name, substr(text, 1, 80) AS head FROM chunks WHERE workspace = 'es' ORDER BY doc_id LIMIT 5",
     "duplicates_by_hash": f"SELECT sha256({STRIP.format('text')}) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "folders_of_sources": "WITH f AS (SELECT DISTINCT lang AS workspace, substr(source, 1, length(source) - (length(source) > 4)::INT) AS folder FROM documents) SELECT DISTINCT doc_id, workspace FROM documents JOIN f ON starts_with(source, folder)",
     "path_prefix_join": "SELECT workspace, count(DISTINCT doc_id) AS n FROM documents JOIN (VALUES ('w1', 'src1'), ('w1', 'src2'), ('w2', 'src1')) f(workspace, p) ON starts_with(source, p) GROUP BY workspace",
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BUDGET_FREE, BUDGET_LEAST, PRESETS, TRUNCATED, Retrieval
 from ..operators import ranking
+from ..operators.ivf import Index
 from ..operators.knn import knn, knn_sql
 from ..operators.retrieve import arms, linked_scopes, search
+from ..sources.scratch import folder
 from ..schema import CHUNKS_SQL, chunks, fixture, query_vectors, table
 
 K = 10
@@ -54,6 +58,26 @@ def knn_own_workspace(spark, d):
     return knn(chunks(spark, d), query_vectors(spark, d), K, key="workspace")
 
 
+def _index(spark, d) -> Index:
+    """An index over the chunks with a vector, their vectors and workspaces beside them."""
+    return Index.build(chunks(spark, d).select("doc_id", "workspace", "vector"), f"{folder(spark)}/skein/ivf-{uuid.uuid4().hex}")
+
+
+def ivf_topk(spark, d):
+    """Near neighbours from an index that probes as many cells as its pilot rows need; with the recall that these had."""
+    index = _index(spark, d)
+    return index.knn(query_vectors(spark, d), K).withColumns({"probes": F.lit(index.probes), "recall": F.lit(index.recall)})
+
+
+def ivf_all_cells(spark, d):
+    """The same index with all its cells probed, which is exact."""
+    return _index(spark, d).knn(query_vectors(spark, d), K, exact=True)
+
+
+def ivf_own_workspace(spark, d):
+    return _index(spark, d).knn(query_vectors(spark, d), K, key="workspace", exact=True)
+
+
 def linked_sources_arm(spark, d):
     c = chunks(spark, d)
     return c.where(F.size(linked_scopes(F.col("file_path"), _links(spark))) > 0).groupBy("workspace", "file_path").agg(F.count("*").alias("n"))
@@ -143,7 +167,7 @@ def _retrieve_sql(s: Retrieval) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_l2_topk, knn_batch_topk, knn_workspace_filter, knn_in_list, knn_raw_predicate, knn_own_workspace, linked_sources_arm, multi_arm_fanout, threshold_keep,
+    knn_l2_topk, knn_batch_topk, knn_workspace_filter, knn_in_list, knn_raw_predicate, knn_own_workspace, ivf_topk, ivf_all_cells, ivf_own_workspace, linked_sources_arm, multi_arm_fanout, threshold_keep,
     threshold_fallback, round_robin, round_robin_backfill, diversify_dedupe, char_budget, result_header)} | {f"retrieve_{n}": _retrieve(n) for n in PRESETS}
 ORACLE = {
     "knn_l2_topk": f"WITH {CHUNKS_SQL}, {QUERIES_SQL} SELECT c.doc_id, {SCORE_SQL} AS score FROM chunks c, (SELECT vector FROM queries ORDER BY q LIMIT 1) q WHERE c.vector IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20",
@@ -152,6 +176,8 @@ ORACLE = {
     "knn_in_list": _knn_sql("c.workspace IN ('fr', 'de')"),
     "knn_raw_predicate": _knn_sql("length(c.text) > 500 AND c.file_path LIKE 'src1%'"),
     "knn_own_workspace": _knn_sql(key="c.workspace = q.workspace"),
+    "ivf_all_cells": _knn_sql(),
+    "ivf_own_workspace": _knn_sql(key="c.workspace = q.workspace"),
     "linked_sources_arm": f"WITH {CHUNKS_SQL}, {LINKS_SQL} SELECT workspace, file_path, count(*) AS n FROM chunks c WHERE EXISTS (SELECT 1 FROM links l WHERE contains(c.file_path, l.ident)) GROUP BY ALL",
     "multi_arm_fanout": f"{_arms_sql(30)} SELECT q, doc_id, score, arm FROM arms",
     "threshold_keep": f"{_ranked_sql()} SELECT q, doc_id, score FROM {_threshold_sql('scored', 0.42)}",
