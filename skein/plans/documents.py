@@ -9,6 +9,8 @@ from pyspark.sql import types as Ty
 
 from ..config import CHUNK_OVERLAP, CHUNK_WORDS
 from ..functions import text as T
+from ..functions.sentences import sentence_chunks
+from ..operators.embedding import HashedWords, embedded
 from ..operators.folders import under
 from ..schema import CHUNKS_SQL, chunks, table
 
@@ -85,6 +87,28 @@ def chunk_stats(spark, d):
     return parts.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.max("c.ord").alias("last"))
 
 
+def sentence_split(spark, d):
+    """Chunks of whole sentences, of 96 tokens at most, that overlap by up to 24."""
+    parts = _docs(spark, d).select("doc_id", F.explode(sentence_chunks(F.col("text"), 96, 24)).alias("c"))
+    return parts.select("doc_id", "c.ord", "c.start", "c.end", "c.tokens", F.sha2("c.text", 256).alias("h"))
+
+
+def sentence_split_vocabulary(spark, d):
+    """Chunks of at most 1024 tokens of a tokenizer file, which overlap by up to 200."""
+    import public_tokenizers
+
+    cut = sentence_chunks(F.col("text"), CHUNK_WORDS, CHUNK_OVERLAP, public_tokenizers.path("byte_bpe_50k.json"))
+    return _docs(spark, d).select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.ord", "c.start", "c.end", "c.tokens")
+
+
+def embed_chunks(spark, d):
+    """Every chunk of every document with its vector: equal chunks are sent once, 50 at a time."""
+    parts = _docs(spark, d).select("doc_id", F.explode(sentence_chunks(F.col("text"), 96, 24)).alias("c")).select("doc_id", "c.ord", "c.text")
+    got = embedded(parts, "text", HashedWords())
+    norm = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3)
+    return got.select("doc_id", "ord", F.size("vector").alias("width"), norm.alias("norm"), F.size(F.filter("vector", lambda x: x != 0)).alias("nonzero"), "error")
+
+
 @F.arrow_udf(Ty.ArrayType(Ty.FloatType()))
 def embed(text: pa.Array) -> pa.Array:
     """A deterministic stand-in for an embedding provider: hashed words, unit length, 64 wide."""
@@ -165,8 +189,35 @@ def _chunk_cte(size: int, overlap: int) -> str:
         chunked AS (SELECT doc_id, lang, ord::INT AS ord, array_to_string(w[ord * {step} + 1 : ord * {step} + {size}], ' ') AS text FROM c)"""
 
 
+def _sentence_cte(budget: int, overlap: int) -> str:
+    """Tokens with the white space before them, sentences, pieces of long ones, and windows by a recursion over each text."""
+    return rf"""tok AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[ 	
+
+]*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_ 	
+
+])') AS t FROM documents)),
+        placed AS (SELECT *, ltrim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) AS z FROM tok),
+        marked AS (SELECT *, length(t) > length(w) AS gap, regexp_matches(t, '^[ 	
+
+]*
+[ 	
+]*
+') AS blank, contains('.!?…。！？', w) AS stop, contains('"'')]}}»”’', w) AS closer FROM placed),
+        run AS (SELECT *, max(CASE WHEN NOT closer OR gap THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS head FROM marked),
+        ended AS (SELECT r.*, h.stop AS after FROM run r JOIN marked h ON h.doc_id = r.doc_id AND h.k = r.head),
+        sent AS (SELECT *, sum(CASE WHEN k = 1 OR blank OR (gap AND before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS s FROM (SELECT *, lag(after) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM ended)),
+        pieced AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, s ORDER BY k) - 1) // {budget} AS piece FROM sent),
+        unit AS (SELECT doc_id, s, piece, min(z - length(w)) AS a, max(z) AS z, count(*) AS n FROM pieced GROUP BY doc_id, s, piece),
+        lists AS MATERIALIZED (SELECT doc_id, list(a ORDER BY s, piece) AS a, list(z ORDER BY s, piece) AS z, list(n ORDER BY s, piece) AS n, list(total ORDER BY s, piece) AS total
+            FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY s, piece) AS total FROM unit) GROUP BY doc_id),
+        step AS (SELECT doc_id, 0 AS ord, 1 AS i, len(list_filter(total, lambda x: x <= {budget})) AS j FROM lists UNION ALL
+            SELECT doc_id, ord + 1, i, len(list_filter(total, lambda x: x <= {budget} + CASE WHEN i > 1 THEN total[i - 1] ELSE 0 END)) AS j FROM (
+                SELECT step.doc_id, ord, total, step.i + 1 + len(list_filter(list_slice(total, step.i, step.j - 1), lambda x: x < total[j] - {overlap} OR x < total[j + 1] - {budget})) AS i FROM step JOIN lists USING (doc_id) WHERE j < len(total))),
+        windowed AS (SELECT step.doc_id, ord, CAST(a[i] AS INTEGER) AS start, CAST(z[j] AS INTEGER) AS "end", CAST(total[j] - CASE WHEN i > 1 THEN total[i - 1] ELSE 0 END AS INTEGER) AS tokens FROM step JOIN lists USING (doc_id))"""
+
+
 QUERIES = {f.__name__: f for f in (
-    content_hash, chunk_id, doc_title, summary, keyword_topn, envelope_text, envelope_bypass, system_document, bootstrap_gate, envelope_cache_join, chunk_split, chunk_stats, embed_hash, index_documents,
+    content_hash, chunk_id, doc_title, summary, keyword_topn, envelope_text, envelope_bypass, system_document, bootstrap_gate, envelope_cache_join, chunk_split, chunk_stats, sentence_split, sentence_split_vocabulary, embed_chunks, embed_hash, index_documents,
     count_by_workspace, inspect_sample, duplicates_by_hash, path_prefix_join, folders_of_sources)}
 ORACLE = {
     "content_hash": f"SELECT doc_id, sha256({STRIP.format('text')}) AS content_hash FROM documents",
@@ -187,6 +238,13 @@ ORACLE = {
         SELECT doc_id, cached_by IS NOT NULL AS hit, coalesce(cached_by, doc_id) AS enriched_from FROM h LEFT JOIN cache USING (h)""",
     "chunk_split": f"WITH {_chunk_cte(200, 40)} SELECT doc_id, ord, sha256(text) AS h FROM chunked",
     "chunk_stats": f"WITH {_chunk_cte(CHUNK_WORDS, CHUNK_OVERLAP)} SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(ord) AS last FROM chunked GROUP BY lang",
+    "sentence_split": f"""WITH RECURSIVE {_sentence_cte(96, 24)} SELECT doc_id, ord, start, "end", tokens, sha256(substr(text, start + 1, "end" - start)) AS h FROM windowed JOIN documents USING (doc_id)""",
+    "embed_chunks": f"""WITH RECURSIVE {_sentence_cte(96, 24)},
+        words AS (SELECT doc_id, ord, unnest(string_split_regex(lower(substr(text, start + 1, "end" - start)), '\\s+')) AS w FROM windowed JOIN documents USING (doc_id)),
+        hashed AS MATERIALIZED (SELECT w, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(0, length(hex(encode(w))) // 2), lambda i: [CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM (SELECT DISTINCT w FROM words)),
+        place AS (SELECT doc_id, ord, h % 64 AS p, sum(CASE WHEN (h // 64) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM words JOIN hashed USING (w) GROUP BY doc_id, ord, p)
+        SELECT doc_id, ord, 64 AS width, CASE WHEN count(*) FILTER (v <> 0) > 0 THEN 1.0 ELSE 0.0 END AS norm, CAST(count(*) FILTER (v <> 0) AS INTEGER) AS nonzero, CAST(NULL AS VARCHAR) AS error FROM place GROUP BY doc_id, ord""",
     "count_by_workspace": f"WITH {CHUNKS_SQL} SELECT workspace, count(*) AS n FROM chunks GROUP BY workspace",
     "inspect_sample": f"WITH {CHUNKS_SQL} SELECT doc_id, id, file_name, substr(text, 1, 80) AS head FROM chunks WHERE workspace = 'es' ORDER BY doc_id LIMIT 5",
     "duplicates_by_hash": f"SELECT sha256({STRIP.format('text')}) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
