@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, scratch, small
+
 MTIME_TOLERANCE = 0.001
 
 
@@ -19,31 +23,69 @@ def stat_diff(disk: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("d.workspace", "c.workspace").alias("workspace"), F.coalesce("d.file_path", "c.file_path").alias("file_path"), status.alias("status"), F.coalesce("d.size", "c.size").alias("size"))
 
 
+PAIRS = "workspace string, old_path string, new_path string"
+
+
 def rename_pairs(diff: DataFrame) -> DataFrame:
-    """(workspace, old_path, new_path): deleted and new files of one size that match by name, or by ending and folder.
+    """(workspace, old_path, new_path): each deleted file, in path order, with the first new one left that it can have become.
 
-    The first deleted file of a key goes with the first new one, the second with the second, in path order: first for equal
-    names, then for equal ending and folder, then, where a workspace has one deleted or one new file only, for equal endings.
-    All three are windows over keys, so a key of any size is sorted and never held.
+    A new file of the same workspace, size and ending is one if it has the same name, or the same folder, or if the workspace
+    has one deleted or one new file only. Where files of a name (or of a folder) have no choice besides it, the order means that
+    the first deleted goes with the first new one, the second with the second: one window over all such keys, however large.
+    Files that could match both by name and by folder, and those that share a key with one, are gone through in order, in
+    groups of workspace, size and ending. The files that moved are written once; all else reads them. Null sizes match nothing.
     """
+    with scratch(diff.sparkSession) as s:
+        return _paired(s, s.written(diff.where("status IN ('new', 'deleted')").select("workspace", "file_path", "status", "size"), "moved"))
+
+
+def _paired(s: Scratch, changed: DataFrame) -> DataFrame:
+    """The pairs of changed, a written table of files with their status, as a written table."""
     name = F.element_at(F.split("file_path", "/"), F.lit(-1))
-    ext = F.when(F.instr(name, ".") > 0, F.lower(F.element_at(F.split(name, r"\."), F.lit(-1)))).otherwise("")
-    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
-    moved = diff.where(F.col("status").isin("new", "deleted")).select("workspace", "file_path", "status", "size", name.alias("name"), ext.alias("ext"), folder.alias("folder"))
-    n = lambda x: F.sum((F.col("status") == x).cast("int"))
-    counts = moved.groupBy(F.col("workspace").alias("_w")).agg(((n("deleted") == 1) | (n("new") == 1)).alias("lone"))
-    left = moved.join(counts, F.col("workspace") == F.col("_w")).drop("_w")
-    found = None
-    for keys, only in ((["size", "name"], None), (["size", "ext", "folder"], None), (["size", "ext"], "lone")):
-        rank = F.row_number().over(Window.partitionBy("workspace", "status", *keys).orderBy("file_path"))
-        at = (left.where(only) if only else left).withColumn("_r", rank).select("workspace", *keys, "_r", "status", "file_path")
-        on = ["workspace", *keys, "_r"]
-        pairs = at.where("status = 'deleted'").select(*on, F.col("file_path").alias("old_path")).join(at.where("status = 'new'").select(*on, F.col("file_path").alias("new_path")), on)
-        pairs = pairs.select("workspace", "old_path", "new_path")
-        found = pairs if found is None else found.unionByName(pairs)
-        taken = pairs.select("workspace", F.explode(F.array(F.struct(F.lit("deleted").alias("status"), F.col("old_path").alias("file_path")), F.struct(F.lit("new").alias("status"), F.col("new_path").alias("file_path")))).alias("_taken")).select("workspace", "_taken.*")
-        left = left.join(taken, ["workspace", "status", "file_path"], "left_anti")
-    return found
+    ext = F.lower(F.regexp_extract(F.regexp_replace(name, r"^\.+", ""), r"(\.[^.]*)$", 1))
+    above = F.regexp_replace("file_path", r"[^/]*$", "")
+    folder = F.coalesce(F.nullif(F.regexp_replace(above, r"/+$", ""), F.lit("")), above)
+    gone = F.col("status") == "deleted"
+    moved = changed.where("status IN ('new', 'deleted') AND size IS NOT NULL").select("workspace", "file_path", gone.alias("gone"), "size", name.alias("name"), ext.alias("ext"), folder.alias("folder"))
+    counts = moved.groupBy(F.col("workspace").alias("_w")).agg(((F.sum(F.col("gone").cast("int")) == 1) | (F.sum((~F.col("gone")).cast("int")) == 1)).alias("lone"))
+    by_name, by_folder = Window.partitionBy("workspace", "size", "name"), Window.partitionBy("workspace", "size", "ext", "folder")
+    meets = lambda w: F.max("gone").over(w) & F.max(~F.col("gone")).over(w)
+    rows = moved.join(counts, F.col("workspace").eqNullSafe(F.col("_w"))).drop("_w").withColumn("n", meets(by_name)).withColumn("f", meets(by_folder))
+    rows = rows.where("lone OR n OR f").withColumn("both", F.col("n") & F.col("f") & ~F.col("lone"))
+    coupled = (F.col("n") & F.max("both").over(by_name)) | (F.col("f") & F.max("both").over(by_folder))
+    rows = s.written(rows.withColumn("coupled", coupled).drop("both"), "moved-keys")
+    key = F.when(F.col("lone"), F.struct(F.lit("all").alias("kind"), F.lit("").alias("of"))).when(F.col("n"), F.struct(F.lit("name").alias("kind"), F.col("name").alias("of"))).otherwise(F.struct(F.lit("folder").alias("kind"), F.col("folder").alias("of")))
+    keys = ["workspace", "size", "ext", "key"]
+    turn = F.row_number().over(Window.partitionBy(*keys, "gone").orderBy("file_path"))
+    ranked = rows.where("NOT coupled").withColumn("key", key).withColumn("turn", turn)
+    path = lambda x: F.max(F.when(F.col("gone") == x, F.col("file_path")))
+    pairs = ranked.groupBy(*keys, "turn").agg(path(True).alias("old_path"), path(False).alias("new_path")).where("old_path IS NOT NULL AND new_path IS NOT NULL")
+    held = rows.where("coupled").groupBy("workspace", "size", "ext").applyInArrow(_greedy, PAIRS)
+    return s.written(pairs.select("workspace", "old_path", "new_path").unionByName(held), "renames", keep=True)
+
+
+def _greedy(group: pa.Table) -> pa.Table:
+    """Deleted files in order, each with the first new one that is left under its name or in its folder."""
+    rows = group.sort_by("file_path").select(["workspace", "file_path", "gone", "name", "folder"]).to_pylist()
+    new = [r for r in rows if not r["gone"]]
+    queues: dict[tuple[str, str], deque[int]] = {}
+    for i, r in enumerate(new):
+        for kind in ("name", "folder"):
+            queues.setdefault((kind, r[kind]), deque()).append(i)
+    taken, out = set(), []
+    for r in rows:
+        if not r["gone"]:
+            continue
+        heads = []
+        for kind in ("name", "folder"):
+            q = queues.get((kind, r[kind]), ())
+            while q and q[0] in taken:
+                q.popleft()
+            heads += [q[0]] if q else []
+        if heads:
+            taken.add(min(heads))
+            out.append({"workspace": r["workspace"], "old_path": r["file_path"], "new_path": new[min(heads)]["file_path"]})
+    return pa.Table.from_pylist(out, pa.schema([("workspace", pa.string()), ("old_path", pa.string()), ("new_path", pa.string())]))
 
 
 def change_summary(diff: DataFrame, renames: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
@@ -86,12 +128,15 @@ def index_folders(chunks: DataFrame, disk: DataFrame, cache: DataFrame, read: Ca
     chunks: workspace, file_path and more; disk and cache: workspace, file_path, mtime, size; read: files (workspace,
     file_path) to chunks. An unchanged workspace reads nothing.
     """
-    diff, renames, _ = change_scan(disk, cache)
     on = ["workspace", "file_path"]
-    old = renames.select("workspace", F.col("old_path").alias("file_path"), "new_path")
-    gone = diff.where("status IN ('deleted', 'modified')").select(on).join(old, on, "left_anti")
+    with scratch(chunks.sparkSession) as s:
+        changed = s.written(stat_diff(disk, cache).where("status <> 'unchanged'"), "folder-changes", keep=True)
+        renames = small(_paired(s, changed), 256)
+        old = renames.select("workspace", F.col("old_path").alias("file_path"), "new_path")
+        told = renames.select("workspace", F.inline(F.array(F.struct(F.lit("deleted").alias("status"), F.col("old_path").alias("file_path")), F.struct(F.lit("new").alias("status"), F.col("new_path").alias("file_path")))))
+        todo = changed.join(told, [*on, "status"], "left_anti")
+    gone, fresh = todo.where("status IN ('deleted', 'modified')").select(on), todo.where("status IN ('new', 'modified')").select(on)
     kept = chunks.join(gone, on, "left_anti").join(old, on, "left").withColumn("file_path", F.coalesce("new_path", "file_path")).drop("new_path")
-    fresh = diff.where("status IN ('new', 'modified')").select(on).join(renames.select("workspace", F.col("new_path").alias("file_path")), on, "left_anti")
     return kept.unionByName(read(fresh)), disk
 
 
