@@ -54,9 +54,13 @@ def put(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = True) -
     return old.unionByName(new.dropDuplicates(keys).join(old.select(keys), keys, "left_anti"))
 
 
-def removed(old: DataFrame, new: DataFrame) -> int:
-    """How many rows a change took away."""
-    return old.count() - new.count()
+def removed(old: DataFrame, changes: dict[str, DataFrame]) -> DataFrame:
+    """(change, n): how many rows each change took away, in one aggregation over the old rows and those that each change keeps."""
+    kept = [new.select(F.lit(name).alias("change"), F.lit(-1).alias("d")) for name, new in changes.items()]
+    rows = old.select(F.explode(F.array(*map(F.lit, changes))).alias("change"), F.lit(1).alias("d"))
+    for k in kept:
+        rows = rows.unionByName(k)
+    return rows.groupBy("change").agg(F.sum("d").alias("n"))
 
 
 def consolidate_root(sources: DataFrame, workspace: str, root: str, title: str, page_count: int) -> DataFrame:
@@ -69,30 +73,6 @@ def consolidate_root(sources: DataFrame, workspace: str, root: str, title: str,
     return kept.unionByName(one.join(there.select("workspace"), "workspace", "left_anti").select(*sources.columns))
 
 
-PROTECTED = ("default", "global", "shared sources")
-
-
-def cascade_rename(tables: dict[str, DataFrame], name: str, to: str, workspace_id: str) -> dict[str, DataFrame]:
-    """Every table of a workspace under its new name; allow-lists (column allowed, an array) name it by id. Protected names stay."""
-    if name.strip().lower() in PROTECTED:
-        return tables
-    out = {}
-    for t, df in tables.items():
-        if "workspace" in df.columns:
-            df = rename_workspace(df, name, to)
-        if "allowed" in df.columns:
-            df = df.withColumn("allowed", F.transform("allowed", lambda w: F.when((w == workspace_id) | (F.lower(w) == name.lower()), F.lit(workspace_id)).otherwise(w)))
-        out[t] = df
-    return out
-
-
-def cascade_delete(tables: dict[str, DataFrame], name: str, keep: tuple[str, ...] = ("chunks",)) -> dict[str, DataFrame]:
-    """Every table without a workspace's rows, but for the tables of keep; protected workspaces stay."""
-    if name.strip().lower() in PROTECTED:
-        return tables
-    return {t: df if t in keep or "workspace" not in df.columns else delete_workspace(df, name) for t, df in tables.items()}
-
-
 def transfer_folder(paths: DataFrame, cache: DataFrame, chunks: DataFrame, folder: str, name: str, to: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A folder moves: in the workspaces' path lists (workspace, paths), in the stat cache and with its chunks. Nothing moves within one workspace or from or to one that is not there."""
     folder = folder.strip().strip("'\"").rstrip("/")

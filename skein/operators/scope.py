@@ -216,3 +216,34 @@ def entitled(asked: DataFrame, tiers: DataFrame) -> DataFrame:
     gates = [F.coalesce(f"may_{c}", no).alias(f"may_{c}") for c in ("ocr", "multi_context", "collaboration", "server")]
     source = F.coalesce(F.array_contains("source_types", F.lower(F.trim("source_type"))), no)
     return j.select(*asked.columns, source.alias("may_use_source"), F.coalesce(F.col("n_workspaces") < F.col("max_workspaces"), no).alias("may_add_workspace"), *gates)
+
+
+def searched(requests: DataFrame, results: DataFrame, most: int) -> DataFrame:
+    """requests (q, pref, tavily_key, serper_key, domains, fallback) with (engine, url, rank, widened) of the results each of them gets.
+
+    results: q, engine, within (whether the search was kept to the request's domains), pos, url: what an engine would give.
+    A preference for tavily or serper falls back to duckduckgo alone, where a fallback is allowed; auto asks the one engine that
+    has a key, tavily before serper, and then duckduckgo. If a search within domains gives nothing and a fallback is allowed, it
+    is made once more without domains and without further fallback. An engine without a key gives nothing. At most `most` rows,
+    an engine's repeated URLs once. Counts by request decide; no request's results are gathered.
+    """
+    key = lambda e: F.coalesce(F.trim(f"{e}_key"), F.lit("")) != ""
+    pref = F.lower(F.coalesce("pref", F.lit("auto")))
+    each = [(e, w) for e in ("tavily", "serper", "duckduckgo") for w in ("true", "false")]
+    counts = results.groupBy(F.col("q").alias("_q")).agg(*(F.count_if((F.col("engine") == e) & (F.col("within") == (w == "true"))).alias(f"{e}_{w}") for e, w in each))
+    asked = requests.join(counts, F.col("q") == F.col("_q"), "left")
+
+    def engine(within: str, fallback: Column) -> Column:
+        has = {e: (F.coalesce(F.col(f"{e}_{within}"), F.lit(0)) > 0) & (F.lit(True) if e == "duckduckgo" else key(e)) for e in ("tavily", "serper", "duckduckgo")}
+        last = F.when(has["duckduckgo"], "duckduckgo")
+        own = lambda e: F.when(has[e], e).when(fallback, last)
+        auto = F.when(key("tavily"), F.when(has["tavily"], "tavily").otherwise(last)).when(key("serper"), F.when(has["serper"], "serper").otherwise(last)).otherwise(last)
+        return F.when(pref == "tavily", own("tavily")).when(pref == "serper", own("serper")).when(pref.isin("duckduckgo", "ddg"), last).otherwise(auto)
+
+    narrow, wide = F.when(F.col("domains"), engine("true", F.col("fallback"))), engine("false", F.lit(False))
+    first = F.when(F.col("domains"), narrow).otherwise(engine("false", F.col("fallback")))
+    again = F.col("domains") & F.col("fallback") & first.isNull()
+    chosen = asked.select("q", F.when(again, wide).otherwise(first).alias("engine"), (F.col("domains") & ~again).alias("within"), again.alias("widened")).where("engine IS NOT NULL")
+    once = results.groupBy("q", "engine", "within", "url").agg(F.min("pos").alias("pos")).join(chosen, ["q", "engine", "within"])
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("pos", "url"))).where(F.col("rank") <= most)
+    return requests.join(ranked.select("q", "engine", "url", "rank", "widened"), "q")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.text import normal_path
+from ..operators import scope
 from ..schema import fixture, table
 
 VERSIONS = "(1, 'v0.11.63', '0.11.7'), (2, 'tool 1.2', 'v1.2.0'), (3, '2.0rc1', '2.0'), (4, 'x', '0.0.1'), (5, '1.10', '1.9.9')"
@@ -25,7 +26,7 @@ def version_tag(spark, d):
 
 
 def safe_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalars.safe_name(F.substring("text", 1, 60)).alias("name"), scalars.quoted(F.substring("text", 1, 60)).alias("quoted"))
+    return table(spark, d, "documents").select("doc_id", scalars.safe_name(F.col("text")).alias("name"), scalars.quoted(F.col("text")).alias("quoted"))
 
 
 def retry_delays(spark, d):
@@ -99,17 +100,26 @@ def empty_states(spark, d):
     return fixture(spark, "id, query, workspace, total, memory", EMPTY).select("id", F.when(F.col("memory"), memory).otherwise(docs).alias("message"))
 
 
-RESULTS = "('tavily', 1, 'https://a'), ('tavily', 2, 'https://b'), ('tavily', 3, 'https://a'), ('serper', 1, 'https://c'), ('serper', 2, 'https://b'), ('ddg', 1, 'https://d')"
 
 
-def search_cascade(spark, d):
-    """Results of the first engine that gave any, each URL once, two at most."""
-    from pyspark.sql import Window
+#: What the customers ask for, as SQL that Spark and the oracle share.
+REQUESTS = """SELECT c_custkey AS q, CASE c_custkey % 5 WHEN 0 THEN 'tavily' WHEN 1 THEN 'serper' WHEN 2 THEN 'ddg' WHEN 3 THEN 'auto' END AS pref, CASE WHEN c_custkey % 2 = 0 THEN 'key' WHEN c_custkey % 4 = 1 THEN ' ' END AS tavily_key,
+    CASE WHEN c_custkey % 3 = 0 THEN 'key' END AS serper_key, c_custkey % 7 < 4 AS domains, c_custkey % 11 <> 0 AS fallback FROM {customer}"""
+ENGINES = (("tavily", 3), ("serper", 4), ("duckduckgo", 5))
+
+
+def _answers(orders):
+    """(q, engine, within, pos, url): what each engine would give a customer, by the numbers of the customer's orders."""
+    o = orders.select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("k"))
+    wide = o.select("q", "k", F.inline(F.array(*(F.struct(F.lit(e).alias("engine"), F.lit(n).alias("n"), F.lit(w).alias("within")) for e, n in ENGINES for w in (True, False)))))
+    kept = wide.where((F.col("k") % F.col("n") < 2) & ((F.col("k") + F.col("q")) % F.when(F.col("within"), 6).otherwise(2) == 0))
+    return kept.select("q", "engine", "within", (F.col("k") % 100).cast("int").alias("pos"), F.concat(F.lit("https://"), "engine", F.lit("/"), (F.col("k") % 5).cast("string")).alias("url"))
 
-    r = fixture(spark, "engine, pos, url", RESULTS).withColumn("turn", F.array_position(F.array(*map(F.lit, ("none", "tavily", "serper", "ddg"))), F.col("engine")))
-    first = r.withColumn("_f", F.min("turn").over(Window.partitionBy())).where("turn = _f")  # one request's results
-    once = first.groupBy("engine", "url").agg(F.min("pos").alias("pos"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("engine").orderBy("pos"))).where("rank <= 2").select("engine", "url", "rank")
+
+def search_cascade(spark, d):
+    """Results of a web search for every customer, three at most, by preference, keys and fallbacks."""
+    asked = spark.sql(REQUESTS, customer=table(spark, d, "customer"))
+    return scope.searched(asked, _answers(table(spark, d, "orders")), 3).select("q", "engine", "url", "rank", "widened")
 
 
 def vector_width(spark, d):
@@ -126,7 +136,7 @@ _ORDER = f"(SELECT id, CASE WHEN len(a) > 0 THEN a ELSE [0, 0, 0] END AS a, CASE
 ORACLE = {
     "version_compare": f"SELECT id, array_to_string(a, '.') AS a, array_to_string(b, '.') AS b, a > b AS newer FROM {_ORDER}",
     "version_tag": f"SELECT id, CASE WHEN lower(c) IN ('latest', 'current', 'head') THEN 'latest' WHEN starts_with(c, 'v') THEN c ELSE 'v' || c END AS tag FROM (SELECT id, trim(regexp_replace(trim(x), '^@', '')) AS c FROM (VALUES {TAGS}) t(id, x))",
-    "safe_names": r"SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^\p{L}\p{N}_-]', '_', 'g') AS name, replace(substr(text, 1, 60), chr(39), chr(39) || chr(39)) AS quoted FROM documents",
+    "safe_names": r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}_-]', '_', 'g') AS name, replace(text, chr(39), chr(39) || chr(39)) AS quoted FROM documents",
     "retry_delays": "SELECT attempt, round(1.5 * 2 ** attempt + jitter, 4)::DOUBLE AS seconds FROM (VALUES (0, 0.1), (1, 0.2), (4, 0.5)) t(attempt, jitter)",
     "error_kind": "SELECT id, CASE " + " ".join("WHEN " + " OR ".join([f"contains(lower(x), '{p}')" for p in parts] + ["(contains(lower(x), 'tool') AND contains(lower(x), 'not supported'))"] * (kind == "tools")) + f" THEN '{kind}'" for kind, parts in scalars.ERRORS) + f" ELSE 'other' END AS kind FROM (VALUES {MESSAGES}) t(id, x)",
     "command_words": f"""SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(x, '"[^"]*"|''[^'']*''|[^\\s"'']+'), lambda w: regexp_replace(w, '^[''"]|[''"]$', '', 'g')), lambda w: w <> ''), '|') AS words FROM (VALUES {COMMANDS}) t(id, x)""",
@@ -139,7 +149,14 @@ ORACLE = {
     "empty_states": f"""SELECT id, CASE WHEN memory THEN CASE WHEN total = 0 THEN 'No long-term session memory summaries found in database yet.' WHEN workspace IS NOT NULL THEN 'No session memory records found for query ''' || query || ''' in workspace ''' || workspace || '''.' ELSE 'No session memory records found.' END
         WHEN total = 0 THEN 'No documents found in vector database.' WHEN workspace IS NOT NULL THEN 'No relevant documents found for query ''' || query || ''' in workspace ''' || workspace || '''. (Search executed across ' || total || ' indexed chunks).' ELSE 'No relevant documents found for query ''' || query || '''.' END AS message
         FROM (VALUES {EMPTY}) t(id, query, workspace, total, memory)""",
-    "search_cascade": f"""WITH r AS (SELECT *, list_position(['tavily', 'serper', 'ddg'], engine) AS turn FROM (VALUES {RESULTS}) t(engine, pos, url)), f AS (SELECT engine, url, min(pos) AS pos FROM r WHERE turn = (SELECT min(turn) FROM r) GROUP BY ALL)
-        SELECT engine, url, rank FROM (SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM f) WHERE rank <= 2""",
+    "search_cascade": f"""WITH req AS ({REQUESTS.format(customer="customer")}), ans AS (SELECT o_custkey AS q, engine, within, CAST(o_orderkey % 100 AS INTEGER) AS pos, 'https://' || engine || '/' || o_orderkey % 5 AS url
+            FROM orders, (VALUES ('tavily', 3), ('serper', 4), ('duckduckgo', 5)) e(engine, n), (VALUES (true, 6), (false, 2)) w(within, m) WHERE o_orderkey % n < 2 AND (o_orderkey + o_custkey) % m = 0),
+        turns AS (SELECT q, domains, fallback, t.within, t.again, t.step, e.engine, e.turn FROM req, (VALUES (true, false, 0), (false, true, 1), (false, false, 2)) t(within, again, step), (VALUES ('tavily', 0), ('serper', 1), ('duckduckgo', 2)) e(engine, turn)
+            WHERE (step = 2) = (NOT domains) AND (step <> 1 OR fallback)
+            AND CASE coalesce(pref, 'auto') WHEN 'tavily' THEN (engine = 'tavily' AND trim(coalesce(tavily_key, '')) <> '') OR (engine = 'duckduckgo' AND fallback AND step <> 1)
+                WHEN 'serper' THEN (engine = 'serper' AND trim(coalesce(serper_key, '')) <> '') OR (engine = 'duckduckgo' AND fallback AND step <> 1) WHEN 'ddg' THEN engine = 'duckduckgo'
+                ELSE engine = 'duckduckgo' OR engine = CASE WHEN trim(coalesce(tavily_key, '')) <> '' THEN 'tavily' WHEN trim(coalesce(serper_key, '')) <> '' THEN 'serper' END END),
+        hit AS (SELECT t.*, row_number() OVER (PARTITION BY q ORDER BY step, turn) AS r FROM turns t WHERE EXISTS (SELECT 1 FROM ans a WHERE a.q = t.q AND a.engine = t.engine AND a.within = t.within))
+        SELECT q, engine, url, rank, widened FROM (SELECT h.q, h.engine, h.again AS widened, a.url, CAST(row_number() OVER (PARTITION BY h.q ORDER BY min(a.pos), a.url) AS INTEGER) AS rank FROM hit h JOIN ans a USING (q, engine, within) WHERE r = 1 GROUP BY h.q, h.engine, h.again, a.url) WHERE rank <= 3""",
     "vector_width": "SELECT max(len(embedding)) AS width, count(*) FILTER (len(embedding) <> 64) AS n_other FROM embeddings",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import dml
+from ..operators import cascade, dml
 from ..schema import CHUNKS_SQL, chunks, fixture, table
+from ..sources.manifest import Tables
+from ..sources.scratch import folder
 
 COLS = ["doc_id", "id", "workspace", "file_path"]
 
@@ -35,8 +39,7 @@ def replace_pages(spark, d):
 
 def deleted_counts(spark, d):
     c = _c(spark, d)
-    rows = [(n, dml.removed(c, f)) for n, f in (("workspace", dml.delete_workspace(c, "fr")), ("file", dml.delete_file(c, "src3", "en")), ("ids", dml.delete_ids(c, c.where("doc_id % 10 = 3"), "id")))]
-    return spark.createDataFrame(rows, "change string, n long")
+    return dml.removed(c, {"workspace": dml.delete_workspace(c, "fr"), "file": dml.delete_file(c, "src3", "en"), "ids": dml.delete_ids(c, c.where("doc_id % 10 = 3"), "id")})
 
 
 def delete_workspace(spark, d):
@@ -96,11 +99,12 @@ def _tables(spark, d):
     c = _c(spark, d)
     return {
         "chunks": c.select("workspace", "file_path", "doc_id"), "urls": c.where("doc_id % 5 = 0").select("workspace", F.col("file_path").alias("url")), "cache": c.groupBy("workspace", "file_path").agg(F.count("*").alias("size")),
+        "workspaces": c.select(F.concat(F.lit("ws_"), "workspace").alias("workspace_id"), F.col("workspace").alias("name")).distinct(),
         "users": spark.sql("SELECT * FROM VALUES ('u1', array('es', 'FR')), ('u2', array('*', 'ws_es')), ('u3', array('de')) AS t(user, allowed)")}
 
 
 def _counted(tables):
-    parts = [df.groupBy("workspace").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "workspace", "n") for t, df in tables.items() if t != "users"]
+    parts = [df.groupBy("workspace").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "workspace", "n") for t, df in tables.items() if t not in ("users", "workspaces")]
     parts.append(tables["users"].select(F.lit("users").alias("name"), F.explode("allowed").alias("workspace")).groupBy("name", "workspace").agg(F.count("*").alias("n")))
     out = parts[0]
     for p in parts[1:]:
@@ -109,11 +113,33 @@ def _counted(tables):
 
 
 def cascade_rename(spark, d):
-    return _counted(dml.cascade_rename(_tables(spark, d), "es", "iberia", "ws_es"))
+    t = _tables(spark, d)
+    return _counted(t | cascade.rename(t, " ES ", "iberia")[0])
 
 
 def cascade_delete(spark, d):
-    return _counted(dml.cascade_delete(_tables(spark, d), "es"))
+    t = _tables(spark, d)
+    return _counted(t | cascade.delete(t, "es")[0])
+
+
+ATTEMPTS = "('es', 'iberia'), ('ws_es', 'iberia'), ('ES', 'es'), ('es', 'ES'), ('es', 'fr'), ('es', 'FR'), ('es', ' es '), ('', 'x'), ('es', '  '), ('Default', 'x'), ('es', 'Shared Sources'), ('none', 'x')"
+
+
+def cascade_outcomes(spark, d):
+    """What comes of renaming a workspace, for attempts that may and that may not be made."""
+    ws = _tables(spark, d)["workspaces"].cache()
+    tries = fixture(spark, "name, renamed_to", ATTEMPTS).collect()
+    return spark.createDataFrame([(r[0], r[1], cascade.renaming(ws, r[0], r[1])[0]) for r in tries], "name string, renamed_to string, outcome string")
+
+
+def manifest_cascades(spark, d):
+    """All tables in one store, after a rename and a deletion that were each committed for all of them at once, and a refused one."""
+    store = Tables(spark, f"{folder(spark)}/skein/store-{uuid.uuid4().hex}")
+    store.write(_tables(spark, d))
+    store.change(lambda t: cascade.rename(t, "es", "iberia")[0])
+    store.change(lambda t: cascade.rename(t, "iberia", "fr")[0])  # taken: nothing is committed
+    store.change(lambda t: cascade.delete(t, "fr")[0])
+    return _counted(store.read()).withColumn("version", F.lit(store.head().version))
 
 
 def transfer_folder(spark, d):
@@ -186,7 +212,7 @@ def _web_sql(root: str, suffix: str) -> str:
 
 QUERIES = {f.__name__: f for f in (
     append_chunks, upsert_chunks, replace_pages, deleted_counts, delete_workspace, delete_local_docs, delete_file, delete_id, rename_workspace, transfer_source, root_source_consolidate, root_source_new,
-    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, transfer_folder, transfer_web, link_unlink, links_of_workspace, urls_listed, url_hash_update)}
+    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, cascade_outcomes, manifest_cascades, transfer_folder, transfer_web, link_unlink, links_of_workspace, urls_listed, url_hash_update)}
 ORACLE = {
     "append_chunks": _sql("SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id % 20 = 7"),
     "upsert_chunks": _sql("SELECT doc_id, workspace, CASE WHEN doc_id % 20 = 7 THEN 'new' ELSE file_path END AS file_path FROM chunks"),
@@ -208,6 +234,11 @@ ORACLE = {
     "envelope_cache_put": """WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT h, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM h WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
     "cascade_rename": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n FROM (SELECT name, CASE WHEN name = 'users' AND lower(workspace) IN ('es', 'ws_es') THEN 'ws_es' WHEN name <> 'users' AND workspace = 'es' THEN 'iberia' ELSE workspace END AS workspace FROM every) GROUP BY ALL""",
     "cascade_delete": f"WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n FROM every WHERE workspace <> 'es' OR name IN ('chunks', 'users') GROUP BY ALL",
+    "cascade_outcomes": f"""WITH t AS (SELECT name, renamed_to, trim(name) AS o, trim(renamed_to) AS n FROM (VALUES {ATTEMPTS}) t(name, renamed_to)), m AS (SELECT t.*, (SELECT min(lang) FROM documents WHERE lower(lang) = lower(o) OR 'ws_' || lang = o) AS own FROM t)
+        SELECT name, renamed_to, CASE WHEN o = '' OR n = '' THEN 'empty' WHEN o = n THEN 'same' WHEN lower(o) IN ('default', 'global', 'shared sources') OR lower(n) IN ('default', 'global', 'shared sources') THEN 'protected' WHEN own IS NULL THEN 'missing'
+            WHEN EXISTS (SELECT 1 FROM documents WHERE lower(lang) = lower(n) AND lang <> own) THEN 'taken' ELSE 'renamed' END AS outcome FROM m""",
+    "manifest_cascades": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n, 3 AS version FROM (SELECT name, CASE WHEN name = 'users' AND lower(workspace) IN ('es', 'ws_es') THEN 'ws_es' WHEN name <> 'users' AND workspace = 'es' THEN 'iberia' ELSE workspace END AS workspace FROM every)
+        WHERE workspace <> 'fr' OR name IN ('chunks', 'users') GROUP BY ALL""",
     "transfer_folder": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL}, p AS (SELECT workspace, unnest(string_split(x, ',')) AS x FROM (VALUES ('en', 'src1,src5'), ('de', 'src9'), ('fr', 'src5')) t(workspace, x))
         SELECT 'paths' AS name, workspace, count(*) AS n FROM (SELECT CASE WHEN workspace = 'en' AND x = 'src5' THEN 'de' ELSE workspace END AS workspace FROM p) GROUP BY ALL
         UNION ALL SELECT 'cache', workspace, count(*) FROM (SELECT CASE WHEN workspace = 'en' AND (file_path = 'src5' OR starts_with(file_path, 'src5/')) THEN 'de' ELSE workspace END AS workspace FROM cache) GROUP BY ALL
