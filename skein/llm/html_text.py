@@ -10,8 +10,12 @@ content. Content lines select the regions of the page:
 * the section, article or main element that a content line stands in, and all articles where one holds content;
 * a marked line only if it is content itself.
 
-All unmarked lines of these regions are the text, short ones too; a page without content has none. Scripts, styles, forms and
-hidden elements have no lines. Inside an article or main element class words count only for adverts, comments and sidebars.
+All unmarked lines of these regions are the text, short ones too; a page without content has none. Scripts, styles, controls and
+what is hidden from everyone (`hidden`, `display: none`) have no lines. Inside an article or main element class words count only
+for adverts, comments and sidebars, and links mark nothing: a paragraph that is one link is a paragraph. A form's lines are
+marked, but for an article or main element in it, and but for forms that hold most of a page's unmarked text: these wrap the page.
+What counts as content is measured by the page's own ratios, so wrappers of any depth change nothing; a page whose lines are all
+marked has no text.
 
 Defined results: null and empty html give the empty text; equal pages have equal text; unclosed and crossed tags end as
 HTML's own rules for paragraphs, items and cells end them, else with their parent, in time linear in the page; white space is
@@ -38,7 +42,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that have no lines.
-GONE = frozenset("head script style noscript template form button select textarea iframe object svg math canvas audio video title".split())
+GONE = frozenset("head script style noscript template button select textarea label iframe object svg math canvas audio video title".split())
 #: Elements and roles that mark their lines.
 MARKS = frozenset("nav footer aside dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status".split())
@@ -53,8 +57,8 @@ ARTICLES = frozenset(("article", "main"))
 #: A start tag of the first kind ends open elements of the second, and paragraphs, up to the nearest element of SCOPE.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body article section div main html".split())
-#: What a marked line's ratio counts, the share of linked text that marks a line, and the least score of content.
-FAINT, LINKED, LEAST = 1e-4, 0.6, 0.1
+#: What a marked line's ratio counts, the share of linked text that marks a line, and the least score of content by the best unmarked ratio.
+FAINT, LINKED, LEAST = 1e-4, 0.6, 1e-3
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -66,6 +70,7 @@ class Line:
     marked: bool
     section: int  # number of the nearest section element
     article: bool
+    form: bool = False  # marked by a form alone
 
 
 class Lines(HTMLParser):
@@ -75,7 +80,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # tag, and the number of the section that it began, or -1
         self.at: dict[str, list[int]] = {}
-        self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors = ([] for _ in range(6))
+        self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors, self.forms = ([] for _ in range(7))
         self.sections: list[int] = [0]
         self.spans: list[list[int]] = [[0, -1, 0]]  # first line, end line, whether it is an article, of each section
         self.text: list[str] = []
@@ -86,8 +91,9 @@ class Lines(HTMLParser):
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                marked = bool(self.marks) or self.linked >= LINKED * len(t)
-                self.lines.append(Line(t, self.tags, self.linked, marked, self.sections[-1], bool(self.articles)))
+                marked = bool(self.marks) or (not self.articles and self.linked >= LINKED * len(t))
+                form = bool(self.forms) and not (self.articles and self.articles[-1] > self.forms[-1])
+                self.lines.append(Line(t, self.tags, self.linked, marked or form, self.sections[-1], bool(self.articles), form and not marked))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -99,7 +105,7 @@ class Lines(HTMLParser):
             if number >= 0:
                 self.spans[number][1] = len(self.lines)
                 self.sections.pop()
-        for held in (self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors):
+        for held in (self.scopes, self.blocks, self.marks, self.gone, self.articles, self.anchors, self.forms):
             while held and held[-1] >= place:
                 held.pop()
 
@@ -128,7 +134,7 @@ class Lines(HTMLParser):
             self.sections.append(number)
         self.stack.append((tag, number))
         self.at.setdefault(tag, []).append(place)
-        for held, yes in ((self.scopes, tag in SCOPE), (self.blocks, tag in BLOCKS), (self.marks, marked), (self.gone, gone), (self.articles, tag in ARTICLES), (self.anchors, tag == "a")):
+        for held, yes in ((self.scopes, tag in SCOPE), (self.blocks, tag in BLOCKS), (self.marks, marked), (self.gone, gone), (self.articles, tag in ARTICLES), (self.anchors, tag == "a"), (self.forms, tag == "form")):
             if yes:
                 held.append(place)
 
@@ -136,7 +142,7 @@ class Lines(HTMLParser):
         """Whether an element has no lines, and whether its lines are marked."""
         gone, marked = tag in GONE, tag in MARKS or (tag == "header" and not self.articles)
         for k, v in attrs:
-            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and HIDDEN.search(v)):
+            if k == "hidden" or (k == "style" and v and HIDDEN.search(v)):
                 gone = True
             elif k == "role" and v and v.lower() in ROLES:
                 marked = True
@@ -175,6 +181,10 @@ class Lines(HTMLParser):
         self.flush()
         self.pop_to(0)
         self.spans[0][1] = len(self.lines)
+        inside, outside = (sum(len(x.text) for x in self.lines if yes(x)) for yes in (lambda x: x.form, lambda x: not x.marked))
+        if inside > outside:
+            for x in self.lines:
+                x.marked = x.marked and not x.form
         return self.lines
 
 
@@ -186,7 +196,7 @@ def smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """The middle between two clusters of x, from its mean until both settle; LEAST at the least."""
+    """The middle between two clusters of x, from its mean until both settle; one at the least."""
     t = float(x.mean())
     for _ in range(32):
         low, high = x[x <= t], x[x > t]
@@ -195,13 +205,14 @@ def threshold(x: np.ndarray) -> float:
         if abs((nxt := float(low.mean() + high.mean()) / 2) - t) < 1e-9:
             break
         t = nxt
-    return max(LEAST, min(t, float(x.max())))
+    return max(1.0, min(t, float(x.max())))
 
 
 def content(lines: list[Line]) -> np.ndarray:
     """Which lines the clustering takes for content."""
-    ratio = np.array([len(x.text) / max(1, x.tags) * (FAINT if x.marked else 1.0) for x in lines])
-    score = np.sqrt(smoothed(ratio) * ratio)
+    plain, marked = np.array([len(x.text) / max(1, x.tags) for x in lines]), np.array([x.marked for x in lines])
+    ratio = np.where(marked, FAINT * plain, plain)
+    score = np.sqrt(smoothed(ratio) * ratio) / (LEAST * plain[~marked if not marked.all() else marked].max())
     return score >= threshold(score)
 
 

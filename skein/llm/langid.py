@@ -175,7 +175,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL)
                 [batch.column(0), batch.column(1), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in share], pa.binary())],
                 ["doc_id", "lang", "ids", "share"])
 
-    got = picked.select("doc_id", "lang", "text").mapInArrow(released(run), "doc_id long, lang string, ids binary, share binary").limit(8 * total).toPandas()
+    got = picked.select("doc_id", "lang", "text").mapInArrow(released(run), "doc_id long, lang string, ids binary, share binary").orderBy(F.xxhash64("doc_id"), "doc_id", "ids", "share").limit(8 * total).toPandas()
     got = got.sort_values(["doc_id", "ids", "share"]).groupby("lang", sort=True).head(rows)
     return [(np.frombuffer(i, "<u2").astype("int64"), np.frombuffer(x, "<f4")) for i, x in zip(got["ids"], got["share"])], got["lang"].tolist()
 

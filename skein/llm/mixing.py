@@ -106,7 +106,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_RO
     """docs: doc_id, text; labelled: doc_id, domain. The labelled rows read are at most about `rows`, picked by a hash."""
     known = labelled.where(F.col("domain").isNotNull())
     share = int(1_000_000 * min(1.0, 1.2 * rows / max(1, known.count())))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.min("domain").alias("domain")).limit(2 * rows)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
     seen = docs.join(F.broadcast(chosen), "doc_id").select("domain", words(F.col("text")).alias("w")).select("domain", F.array_distinct(F.transform(marks(F.col("w")), bucket)).alias("b"))
     seen = materialise(seen, "mix-labelled")
     size = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}

@@ -8,8 +8,11 @@ other scores low is what cannot be positive. Scores are made probabilities by a
 unlabelled rows part below the positives and by their mean, which should be the prior. No row labelled 0 is read. Features are statistics of the whole text; none is taken from
 ids, sources or languages.
 
-The fit reads at most about LABELLED_ROWS trusted positives and UNLABELLED_ROWS unlabelled rows, picked by a hash of their id:
-both bounds are parameters, and the second one is a sample of unlabelled text that learning from it by mini-batches needs.
+The fit reads at most about LABELLED_ROWS trusted positives, picked by a hash of their id, which is a parameter. Of unlabelled
+text it reads every row: random planes part the features into 2^PLANES cells, and each task sends the counts and sums of its
+cells, in whole numbers, so that the order of tasks changes nothing. A cell stands in the risk and the prior for its rows, at their
+mean and as often as its count says, in DRAWS draws spread evenly over the counts; trusted rows stand at their cells' means too,
+so that both are alike. The line is set by the raw scores of all rows, counted in bins.
 
 Defined results: null text is the empty text and gets a score like any other; repeated rows get equal scores; with no
 labelled positives every score is 0.5; a row labelled several times counts with its least label; a null id is not held out;
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, released, slices, table
+from .common import crc_fold, materialise, released, slices, table, temporary
 from .shingles import text_buffers, words
 
-#: Rows a fit may read: labelled ones, and unlabelled web text.
-LABELLED_ROWS, UNLABELLED_ROWS = 6000, 6000
+#: Labelled rows that a fit may read; planes that part unlabelled rows into cells, draws from the cells, units of a sum's whole numbers.
+LABELLED_ROWS, PLANES, DRAWS, UNIT = 6000, 16, 24_000, 1 << 20
 CUT = 0.3
+#: Width and number (to each side of zero) of the bins in which all rows' raw scores are counted.
+BIN, BINS = 1 / 256, 1 << 15
 LEAST_STEPS = 1000
 PIECE = 1 << 20
 
@@ -154,8 +159,11 @@ def calibrated(m: Model, x: np.ndarray, positive: np.ndarray, unlabelled: np.nda
     Below the lower edge of the positives' scores, the widest gap of the unlabelled ones, near that edge, parts the classes: its
     middle becomes CUT. The slope is what brings the mean probability of unlabelled rows nearest to the prior.
     """
-    g = np.sort(m.raw(x[unlabelled]))
-    edge = float(np.quantile(m.raw(x[positive]), 0.005))
+    return line(np.sort(m.raw(x[unlabelled])), float(np.quantile(m.raw(x[positive]), 0.005)), prior)
+
+
+def line(g: np.ndarray, edge: float, prior: float) -> tuple[float, float]:
+    """The same from the unlabelled rows' raw scores in order and the lower edge of the positives'."""
     low = np.append(g[g < edge], edge)
     w = max(1, len(low) // 100)
     mid, wide = (low[w:] + low[:-w]) / 2, low[w:] - low[:-w]
@@ -180,27 +188,90 @@ def table_features(docs: DataFrame, keep: list[str]) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="int32") * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([flat, *part.columns[1:]], ["x", *keep])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(released(run), f"x array<double>, {kinds}")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("text", *keep).mapInArrow(released(run), f"x array<double>{kinds}")
+
+
+def cells_of(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, planes: int) -> np.ndarray:
+    """The cell of each row: on which side it is of each of some planes, the same ones in every task."""
+    rng = np.random.default_rng(11)
+    normal, offset = rng.normal(size=(x.shape[1], planes)), 2 * rng.normal(size=planes) * np.sqrt(x.shape[1])
+    offset[: planes // 2] /= 8
+    side = np.clip((x - mean) / scale, -6, 6) @ normal > offset
+    return side @ (1 << np.arange(planes))
+
+
+def unlabelled_cells(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, planes: int = PLANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, mean features, rows) of the cells of all of rows (x), at most 2^planes of them; each task sends its cells' sums."""
+    d = len(mean)
+    names = [f"s{i}" for i in range(d)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = _matrix(batch)
+            whole = np.concatenate((np.ones((len(x), 1), "int64"), np.rint(x * UNIT).astype("int64")), axis=1)
+            at, of = np.unique(cells_of(x, mean, scale, planes), return_inverse=True)
+            sums = np.zeros((len(at), d + 1), "int64")
+            np.add.at(sums, of, whole)
+            for c, row in zip(at.tolist(), sums):
+                held[c] = held[c] + row if c in held else row
+        if held:
+            out = np.stack(list(held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array(out[:, i]) for i in range(d + 1))], ["cell", "n", *names])
+
+    each = rows.mapInArrow(released(run), "cell long, n long, " + ", ".join(f"{s} long" for s in names))
+    got = each.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", *names))).orderBy("cell").toPandas()
+    n = got["n"].to_numpy("int64")
+    return got["cell"].to_numpy(), got[names].to_numpy("float64") / UNIT / np.maximum(n, 1)[:, None], n
+
+
+def score_counts(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(raw score, rows) of all of rows (x), in order: counts by bins of BIN, at most 2 * BINS of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(2 * BINS + 1, "int64")
+        for batch in batches:
+            held += np.bincount((np.clip(np.rint(m.raw(_matrix(batch)) / BIN), -BINS, BINS) + BINS).astype("int64"), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at - BINS), pa.array(held[at])], ["bin", "n"])
+
+    got = rows.mapInArrow(released(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    return got["bin"].to_numpy() * BIN, got["n"].to_numpy("int64")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, KINDS + 9))
+
+
+def _drawn(n: np.ndarray) -> np.ndarray:
+    """Places by their counts: each as often as its share of DRAWS draws, or of all rows where they are fewer."""
+    total = int(n.sum())
+    draws = min(DRAWS, total)
+    return np.searchsorted(np.cumsum(n), (np.arange(draws) + 0.5) * total / max(draws, 1), side="right")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, planes: int = PLANES) -> Model | None:
     """docs: doc_id, text; labels: doc_id, quality. Rows held out are read neither as labelled nor as unlabelled text."""
-    part = lambda n, rows: int(1_000_000 * min(1.0, 1.3 * rows / max(1, n)))
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     trusted = labels.where(F.col("quality").isNotNull() & (crc_fold() != 0)).groupBy("doc_id").agg(F.min("quality").alias("y")).where("y = 1")
-    chosen = trusted.where(dealt < part(trusted.count(), labelled_rows)).select("doc_id", F.lit(1).alias("y")).limit(2 * labelled_rows)
-    web = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < part(docs.count(), unlabelled_rows)
-    joined = docs.where(crc_fold() != 0).join(F.broadcast(chosen), "doc_id", "left").withColumn("web", web)
-    got = table_features(joined.where("web or y is not null").select("doc_id", "text", "y", "web"), ["doc_id", "y", "web"]).limit(4 * (labelled_rows + unlabelled_rows)).toPandas()
-    got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    positive, unlabelled = np.flatnonzero(got["y"] == 1), np.flatnonzero(got["web"].to_numpy(bool))
-    if not len(positive) or not len(unlabelled):
+    share = int(1_000_000 * min(1.0, 1.3 * labelled_rows / max(1, trusted.count())))
+    chosen = trusted.where(dealt < share).select("doc_id", dealt.alias("h")).orderBy("h", "doc_id").limit(2 * labelled_rows)
+    known = docs.select("doc_id", "text").where(crc_fold() != 0)
+    got = table_features(known.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "h"), ["doc_id", "h"]).orderBy("h", "doc_id", "x").limit(4 * labelled_rows).toPandas()
+    if not len(got):
         return None
-    x = np.stack(got["x"].to_numpy())
-    prior = estimated_prior(x, positive, unlabelled)
-    model = train(x, positive, unlabelled, prior)
-    model.line = calibrated(model, x, positive, unlabelled, prior)
+    trusted_x = np.stack(got["x"].to_numpy())
+    mean, scale = trusted_x.mean(axis=0), trusted_x.std(axis=0) + 0.05
+    with temporary(docs.sparkSession):
+        rows = materialise(table_features(known.select("text"), []), "quality-features")
+        cells, x, n = unlabelled_cells(rows, mean, scale, planes)
+        unlabelled = _drawn(n)
+        positive = np.searchsorted(cells, cells_of(trusted_x, mean, scale, planes))  # the same cells: trusted rows are web text too
+        prior = estimated_prior(x, positive, unlabelled)
+        model = train(x, positive, unlabelled, prior)
+        raw, count = score_counts(rows, model)
+    model.line = line(raw[_drawn(count)], float(np.quantile(model.raw(trusted_x), 0.005)), prior)
     return model
 
 

@@ -704,6 +704,29 @@ def test_regions_without_article(html, want):
     assert html_text.main_text(html.format(t=t)) == want.format(t=t.strip())
 
 
+ARTICLE = "A sentence of the article that goes on for some words. " * 6
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    # a paragraph that is one link; forms around an article, around a page and beside an article; wrappers of any depth; what only screen readers skip
+    ("<article><p>{t}</p><p><a href=r>Read the whole of the council report on the budget</a></p></article>", "{t}\n\nRead the whole of the council report on the budget"),
+    ("<body><nav>menu</nav><form><article><h1>Head</h1><p>{t}</p></article><p>Your name <input></p><button>go</button></form></body>", "Head\n\n{t}"),
+    ("<body><form action=x><div><nav><a href=a>Home</a></nav><h1>Head</h1><p>{t}</p><p>Short.</p></div></form></body>", "Head\n\n{t}\n\nShort."),
+    ("<body><p>{t}</p><form><p>Get our letter</p><label>Mail</label><input></form></body>", "{t}"),
+    ("<form><p>Get our letter</p></form><p>{t}</p>", "{t}"),
+    ("<div>" * 400 + "<p>Hello world</p>", "Hello world"),
+    ("<article><p>a <i aria-hidden='true'>b</i> c</p></article>", "a b c"),
+    ("<body><div class='related'><p>{t}</p></div></body>", ""),
+])
+def test_what_the_article_is(html, want):
+    assert html_text.main_text(html.format(t=ARTICLE)) == want.format(t=ARTICLE.strip())
+
+
+def test_equal_lines_are_kept_alike():
+    """Ties: lines of one ratio are all content or none of them."""
+    assert html_text.main_text("<p>same words here</p>" * 5) == "\n\n".join(["same words here"] * 5)
+
+
 def test_the_clusters_decide(monkeypatch, sf_dir):
     import pandas as pd
 
