@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import discover
+from ..operators import discover, fetch
 from ..schema import table
+from .web import _CLASS
 
 #: Robots lines that every host of the queries has.
 ROBOTS = ("User-agent: *", "Disallow: /fr/", "Allow: /fr/1*", "Disallow: /*.html$")
@@ -106,3 +107,62 @@ ORACLE = {
     "sitemap_broken": f"WITH {_U.replace('MOST', str(discover.MAX_MAP_URLS))} SELECT start, map AS url FROM taken WHERE part LIKE '%7'",
     "site_discovery": _SITE,
 }
+
+
+def _web(spark, d) -> DataFrame:
+    """The pages as a server sends them: a tag of the page's own text, and for two of three pages a date."""
+    p = table(spark, d, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).cast("string")
+    return p.select("page_id", "url", "html", F.substring(F.sha2("html", 256), 1, 16).alias("etag"), F.when(F.col("page_id") % 3 != 0, day).alias("last_modified"))
+
+
+def _cached(spark, d) -> DataFrame:
+    """What was cached of every page: its tag, an older tag or none; a date or none; hashes of two of five, one of them old."""
+    w = _web(spark, d)
+    i = F.col("page_id")
+    etag = F.when(i % 4 == 0, F.col("etag")).when(i % 4 == 1, "old")
+    date = F.when(i % 5 == 0, "2024-12-31").when(i % 5 == 1, "2024-01-01")
+    digest = F.when(i % 5 == 2, F.sha2("html", 256)).when(i % 5 == 3, "old")
+    return w.select("page_id", "url", etag.alias("etag"), date.alias("http_last_modified"), digest.alias("last_hash"))
+
+
+def _rules(spark, d) -> DataFrame:
+    hosts = table(spark, d, "pages").where("url IS NOT NULL").select(web.origin(F.col("url")).alias("origin")).distinct()
+    return web.robots_rules(hosts.select("origin", F.posexplode(F.array(*map(F.lit, ROBOTS))).alias("line_no", "line")))
+
+
+def fetch_conditional(spark, d):
+    """Every page asked for with what was cached of it, and a URL of each that no page answers."""
+    asked = _cached(spark, d).select("url", F.col("etag").alias("cached_etag"), F.col("http_last_modified").alias("cached_last_modified"))
+    asked = asked.unionByName(asked.select(F.concat(web.origin(F.col("url")), F.lit("/none/at/all")).alias("url"), "cached_etag", "cached_last_modified"))
+    got = fetch.fetched(asked, _web(spark, d), "2030-01-01", _rules(spark, d), text=F.col("html"))
+    return got.select("url", "cached_etag", "cached_last_modified", "http_status", "title", "content_hash", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), "content_type", "etag", "http_last_modified")
+
+
+def single_url_index(spark, d):
+    """The registry of single URLs after a synchronisation, with what came of each."""
+    registry = _cached(spark, d).select(F.lit("w").alias("workspace"), "url", F.lit("kept").alias("title"), "last_hash", "etag", "http_last_modified")
+    told, now = fetch.index_urls(registry, _web(spark, d), "2030-01-01", text=F.col("html"))
+    return told.select("url", "outcome", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.sha2("document", 256).alias("document")).join(now.select("url", "last_hash"), "url")
+
+
+QUERIES |= {f.__name__: f for f in (fetch_conditional, single_url_index)}
+
+_FETCH = r"""web AS (SELECT page_id, url, html, substr(sha256(html), 1, 16) AS etag, CASE WHEN page_id % 3 <> 0 THEN CAST(CAST('2024-01-01' AS DATE) + CAST(page_id % 365 AS INTEGER) AS VARCHAR) END AS last_modified,
+        lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS addr FROM pages),
+    answer AS (SELECT * FROM web QUALIFY row_number() OVER (PARTITION BY addr ORDER BY page_id) = 1),
+    cached AS (SELECT url, addr, CASE page_id % 4 WHEN 0 THEN etag WHEN 1 THEN 'old' END AS cached_etag, CASE page_id % 5 WHEN 0 THEN '2024-12-31' WHEN 1 THEN '2024-01-01' END AS cached_last_modified, CASE page_id % 5 WHEN 2 THEN sha256(html) WHEN 3 THEN 'old' END AS last_hash FROM web),
+    same AS (SELECT c.*, a.page_id, a.html, a.url AS own, a.etag, a.last_modified, regexp_extract(c.addr, '^https?://[^/?#]*([^#]*)', 1) AS path,
+        coalesce(CASE WHEN cached_etag IS NOT NULL THEN cached_etag = a.etag WHEN cached_last_modified IS NOT NULL THEN a.last_modified <= cached_last_modified END, false) AS still FROM cached c LEFT JOIN answer a USING (addr))"""
+ORACLE |= {
+    "fetch_conditional": rf"""WITH {_FETCH}, r AS (SELECT *, CASE WHEN CASE WHEN starts_with(path, '/fr/1') THEN length('/*.html$') > length('/fr/1*') AND path LIKE '%.html' WHEN path LIKE '%.html' THEN true ELSE starts_with(path, '/fr/') END THEN 403 WHEN still THEN 304 ELSE 200 END AS http_status FROM same),
+        t AS (SELECT *, '{fetch.BLOCKED_TEXT[0].replace("'", "''")}' || url || '{fetch.BLOCKED_TEXT[1].replace("'", "''")}' AS notice FROM r)
+        SELECT url, cached_etag, cached_last_modified, http_status, CASE http_status WHEN 200 THEN CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) ELSE own END WHEN 304 THEN '' ELSE '{fetch.BLOCKED_TITLE}' || url END AS title,
+            CASE http_status WHEN 200 THEN sha256(html) WHEN 304 THEN '' ELSE sha256(notice) END AS content_hash, CASE http_status WHEN 200 THEN length(html) WHEN 304 THEN 0 ELSE length(notice) END AS n_chars,
+            CASE http_status WHEN 200 THEN {_CLASS.replace('lower(url)', 'lower(own)')} WHEN 304 THEN '{fetch.UNCHANGED_TYPE}' ELSE '{fetch.BLOCKED_TYPE}' END AS content_type,
+            CASE http_status WHEN 200 THEN etag WHEN 304 THEN cached_etag END AS etag, CASE http_status WHEN 200 THEN last_modified WHEN 304 THEN cached_last_modified END AS http_last_modified FROM t
+        UNION ALL SELECT regexp_extract(addr, '^(https?://[^/?#]*)', 1) || '/none/at/all', cached_etag, cached_last_modified, 404, NULL, NULL, 0, NULL, NULL, NULL FROM cached""",
+    "single_url_index": rf"""WITH {_FETCH}, o AS (SELECT *, CASE WHEN still OR last_hash = sha256(html) THEN 'unchanged' ELSE 'indexed' END AS outcome, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) ELSE own END AS title FROM same)
+        SELECT url, outcome, CASE WHEN outcome = 'indexed' THEN length(html) ELSE 0 END AS n_chars, CASE WHEN outcome = 'indexed' THEN sha256('Web Document Title: ' || title || chr(10) || 'Source URL: ' || url || chr(10) || chr(10) || html) END AS document,
+            CASE WHEN outcome = 'indexed' THEN sha256(html) ELSE last_hash END AS last_hash FROM o""",
+}
