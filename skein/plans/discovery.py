@@ -14,7 +14,7 @@ from .web import _CLASS
 ROBOTS = ("User-agent: *", "Disallow: /fr/", "Allow: /fr/1*", "Disallow: /*.html$")
 
 
-def _urls(spark, d) -> DataFrame:
+def urls(spark, d) -> DataFrame:
     """(url, page_id) of the pages, each URL once."""
     p = table(spark, d, "pages").where("url IS NOT NULL")
     return p.groupBy(web.canonical(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
@@ -22,7 +22,7 @@ def _urls(spark, d) -> DataFrame:
 
 def _starts(spark, d) -> DataFrame:
     """(start): of each site the URL with the shortest path."""
-    u = _urls(spark, d).withColumn("site", web.origin(F.col("url")))
+    u = urls(spark, d).withColumn("site", web.origin(F.col("url")))
     return u.groupBy("site").agg(F.min(F.struct(F.length("url"), "url"))["url"].alias("start")).select("start")
 
 
@@ -31,7 +31,7 @@ def _maps(spark, d) -> DataFrame:
 
     The index of a host with a name of even length is at the second place; maps of parts that end in 7 break off.
     """
-    u = _urls(spark, d).withColumns({"site": web.origin(F.col("url")), "part": F.regexp_extract(web.url_path(F.col("url")), r"([^/.]*)(\.[^/]*)?$", 1)})
+    u = urls(spark, d).withColumns({"site": web.origin(F.col("url")), "part": F.regexp_extract(web.url_path(F.col("url")), r"([^/.]*)(\.[^/]*)?$", 1)})
     text = lambda c: F.replace(c, F.lit("&"), F.lit("&amp;"))
     day = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<lastmod>"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).cast("string"), F.lit("</lastmod>")))
     item = F.concat(F.lit("<url><loc>"), text(F.col("url")), F.lit("</loc>"), F.coalesce(day, F.lit("")), F.lit("</url>"))
@@ -65,9 +65,10 @@ def site_discovery(spark, d):
 
 QUERIES = {f.__name__: f for f in (sitemap_nested, sitemap_broken, site_discovery)}
 
-_U = r"""u AS MATERIALIZED (SELECT min(page_id) AS page_id, site, url FROM (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS site,
+SITES_SQL = r"""u AS MATERIALIZED (SELECT min(page_id) AS page_id, site, url FROM (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS site,
         lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS url FROM pages) GROUP BY site, url),
-    starts AS MATERIALIZED (SELECT site, min({'n': length(url), 'url': url}).url AS start FROM u GROUP BY site),
+    starts AS MATERIALIZED (SELECT site, min({'n': length(url), 'url': url}).url AS start FROM u GROUP BY site)"""
+_U = SITES_SQL + r""",
     p AS (SELECT u.*, s.start, regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '([^/.]*)(\.[^/]*)?$', 1) AS part FROM u JOIN starts s USING (site)),
     tokens AS (SELECT start, list_filter(list_transform(string_split(regexp_replace(regexp_extract(start, '^https?://[^/?#]*([^?#]*)', 1), '\.(html|htm|php|asp|aspx)$', ''), '/'), lambda x: lower(x)), lambda x: length(x) > 2) AS whole FROM starts),
     maps AS (SELECT DISTINCT site, p.start, part, site || '/sitemap-' || part || '.xml' AS map FROM p),
@@ -78,7 +79,7 @@ _U = r"""u AS MATERIALIZED (SELECT min(page_id) AS page_id, site, url FROM (SELE
         FROM p JOIN taken t ON p.site = t.site AND p.part = t.part WHERE p.part NOT LIKE '%7') WHERE pos <= MOST)"""
 
 
-def _ranked(name: str, source: str) -> str:
+def ranked_sql(name: str, source: str) -> str:
     """URLs of each start in the order of a crawl, as SQL."""
     path = "lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1))"
     return rf"""{name}_a AS (SELECT *, {path} AS path, list_filter(string_split(regexp_replace(regexp_extract(start, '^https?://[^/?#]*([^?#]*)', 1), '\.(html|htm|php|asp|aspx)$', ''), '/'), lambda x: x <> '') AS parts FROM {source}),
@@ -95,12 +96,12 @@ _SITE = rf"""WITH {_U.replace("MOST", str(discover.MAX_URLS))},
     f0 AS MATERIALIZED (SELECT start, url, bool_or(linked) AS linked, min(depth) AS depth FROM (SELECT start, start AS url, false AS linked, 0 AS depth FROM starts UNION ALL SELECT start, loc, false, 1 FROM mapped
         UNION ALL SELECT s.start, l.url, true, 1 FROM starts s JOIN links l ON l.src = s.start) GROUP BY start, url),
     few AS (SELECT start, count(*) AS held FROM f0 GROUP BY start HAVING count(*) < {discover.FEW_URLS}),
-    waiting AS (SELECT f0.* FROM f0 JOIN few USING (start) WHERE url <> start), {_ranked("w", "waiting")},
+    waiting AS (SELECT f0.* FROM f0 JOIN few USING (start) WHERE url <> start), {ranked_sql("w", "waiting")},
     new AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY url) + held AS place FROM (SELECT DISTINCT w.start, l.url FROM w JOIN links l ON l.src = w.url WHERE w.rank <= {discover.SAMPLE} AND NOT EXISTS (SELECT 1 FROM f0 WHERE f0.start = w.start AND f0.url = l.url)) JOIN few USING (start)),
     f1 AS (SELECT * FROM f0 UNION ALL SELECT start, url, false, 2 FROM new WHERE place <= {discover.MAX_URLS}),
     allowed AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS asked FROM f1),
     kept AS (SELECT * EXCLUDE (asked) FROM allowed WHERE CASE WHEN starts_with(asked, '/fr/1') THEN NOT (length('/*.html$') > length('/fr/1*') AND asked LIKE '%.html') WHEN asked LIKE '%.html' THEN false ELSE NOT starts_with(asked, '/fr/') END),
-    {_ranked("r", "kept")}
+    {ranked_sql("r", "kept")}
     SELECT start, url, depth, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank, in_section FROM r"""
 ORACLE = {
     "sitemap_nested": f"WITH {_U.replace('MOST', str(discover.MAX_MAP_URLS))} SELECT start, loc, lastmod FROM mapped",

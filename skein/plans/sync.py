@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import web
 from ..operators import sync
 from ..schema import fixture, table
+from ..streaming.polling import due_times
+from . import discovery
 
 # Snapshots derived from documents: a path of source and id, its length as size, its id as time.
 _DISK = "concat(source, '/f', doc_id, '.md')"
@@ -89,14 +92,16 @@ def sync_dispatch(spark, d):
     return fixture(spark, "id, page_count, scope", KINDS).select("id", sync.sync_kind(F.col("page_count"), F.col("scope")).alias("kind"))
 
 
-def crawl_cap(spark, d):
-    """The first pages of each host, by URL: what a crawl with a limit reads."""
-    from pyspark.sql import Window
+#: Pages of a site that a crawl reads.
+CRAWL_PAGES = 50
 
-    from ..functions.web import base_domain
 
-    p = table(spark, d, "pages").select("page_id", "url", base_domain(F.col("url")).alias("domain"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(F.length("url"), F.desc("url"), "page_id"))).where("rank <= 3").select("page_id", "domain", "rank")
+def crawl_cap(spark, d):
+    """The first pages of each site in the order of a crawl: what one with a limit reads."""
+    u = discovery.urls(spark, d).withColumn("site", web.origin(F.col("url")))
+    starts = u.groupBy("site").agg(F.min(F.struct(F.length("url"), "url"))["url"].alias("start"))
+    ranked = web.ranked_urls(u.join(starts, "site").withColumn("linked", F.lit(False)))
+    return ranked.where(F.col("rank") <= CRAWL_PAGES).select("page_id", "url", "rank")
 
 
 def _crawl(spark, d):
@@ -152,6 +157,14 @@ def polling_due(spark, d):
     return sync.due(s, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("id")
 
 
+def polling_times(spark, d):
+    """Every time at which a user fell due, each of a user's events being a reading, with an interval of one to five days."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5 * 24 + 24).alias("hours"))
+    until = e.agg(F.max("ts")).first()[0]
+    out = due_times(e, F.lit(until))
+    return out.select("source", F.unix_micros("last").alias("last_us"), F.unix_micros("due").alias("due_us"))
+
+
 BARS = "(0, 0, 'scanning', 8), (0, 0, 'x', 8), (5, 10, 'files', 8), (20, 20, 'pages', 10), (1, 3, 'embedding', 8), (3, 16, 'drives', 8), (5, 16, 'files', 8), (7, 7, 'x', 4), (15, 30, 'files', 8), (1, 16, 'files', 8)"
 
 
@@ -200,7 +213,7 @@ _SQL_CRAWL = """pg AS (SELECT url, page_id, CASE WHEN page_id % 3 = 0 THEN '2024
         WHEN content_hash = h THEN 'skipped_hash' WHEN h IS NULL THEN 'new' ELSE 'changed' END AS status FROM pg LEFT JOIN led USING (url))"""
 QUERIES = {f.__name__: f for f in (
     stat_diff, change_summary, change_summary_sources, rename_pairs, rename_diff, folder_index, stat_cache_upsert, stat_cache_rename, stat_cache_clear, sync_dispatch, crawl_cap, crawl_status, crawl_index, stat_cache_map, lastmod_skip,
-    crawl_counters, new_urls, page_ledger_upsert, polling_due, progress_bar, page_sum, distinct_pages)}
+    crawl_counters, new_urls, page_ledger_upsert, polling_due, polling_times, progress_bar, page_sum, distinct_pages)}
 ORACLE = {
     "stat_diff": f"WITH {_SQL_DIFF} SELECT workspace, file_path, status, size FROM diff",
     "change_summary": f"""WITH {_SQL_DIFF}, {_SQL_PAIRS}, {_SQL_SUMMARY} SELECT workspace, n_new, n_modified, n_deleted, n_renamed, n_unchanged, n_new + n_modified + n_deleted + n_renamed = 0 AND NOT virgin AS up_to_date,
@@ -219,8 +232,8 @@ ORACLE = {
     "stat_cache_rename": f"""WITH {_SQL_MOVED}, {_SQL_MOVES} SELECT c.workspace, count(*) AS n, count(*) FILTER (m.new_path IS NOT NULL) AS n_moved FROM cache c LEFT JOIN moves m ON m.workspace = c.workspace AND m.old_path = c.file_path GROUP BY c.workspace""",
     "stat_cache_clear": f"SELECT workspace, count(*) AS n FROM ({_SQL_CACHE}) WHERE workspace <> 'fr' GROUP BY workspace",
     "sync_dispatch": f"SELECT id, CASE WHEN coalesce(nullif(page_count, 0), 1) > 1 OR coalesce(scope, '') IN ('domain', 'section', 'custom') THEN 'portal' ELSE 'single_page' END AS kind FROM (VALUES {KINDS}) t(id, page_count, scope)",
-    "crawl_cap": r"""SELECT page_id, domain, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY length(url), url DESC, page_id) AS rank FROM (SELECT page_id, url,
-        regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), ':\d+$', ''), '^www\.', '') AS domain FROM pages)) WHERE rank <= 3""",
+    "crawl_cap": f"""WITH {discovery.SITES_SQL}, own AS (SELECT start, url, page_id, false AS linked FROM u JOIN starts USING (site)), {discovery.ranked_sql("r", "own")}
+        SELECT page_id, url, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {CRAWL_PAGES}""",
     "crawl_status": f"WITH {_SQL_CRAWL} SELECT page_id, status FROM crawl",
     "crawl_index": f"""WITH {_SQL_CRAWL}, r AS (SELECT page_id, url, content_hash AS h FROM crawl WHERE status IN ('new', 'changed'))
         SELECT page_id, h FROM r UNION ALL SELECT page_id, 'old' FROM pages WHERE page_id % 4 <> 0 AND url NOT IN (SELECT url FROM r)""",
@@ -233,6 +246,8 @@ ORACLE = {
     "page_ledger_upsert": """SELECT url, updated_at, h, created_at FROM (SELECT url, page_id AS updated_at, sha256(html) AS h, first_value(page_id) OVER (PARTITION BY url ORDER BY page_id % 3 = 0, page_id) AS created_at,
         row_number() OVER (PARTITION BY url ORDER BY page_id % 3 <> 0, page_id DESC) AS r FROM pages) WHERE r = 1""",
     "polling_due": f"SELECT id FROM (VALUES {DUE}) t(id, last, hours) WHERE last IS NULL OR last + to_hours(hours) <= TIMESTAMP '2024-01-02 00:00:00'",
+    "polling_times": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source, CAST(ts AS TIMESTAMP) AS ts, user_id % 5 * 24 + 24 AS hours, lead(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events)
+        SELECT source, epoch_us(ts) AS last_us, epoch_us(ts + to_hours(CAST(hours AS INTEGER))) AS due_us FROM e WHERE (nxt IS NULL OR nxt > ts + to_hours(CAST(hours AS INTEGER))) AND ts + to_hours(CAST(hours AS INTEGER)) <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events)""",
     "progress_bar": f"""SELECT current, total, stage, pct, CASE WHEN total > 0 THEN '[' || repeat('█', fill) || repeat('░', width - fill) || '] ' || trunc(pct)::INT || '% (' || current || '/' || total || CASE WHEN stage IN ('files', 'pages', 'drives') THEN ' ' || stage ELSE '' END || ')'
         WHEN stage = 'scanning' THEN '[scanning...]' ELSE '[calculating...]' END AS bar FROM (SELECT *, CASE WHEN total > 0 THEN round(100.0 * current::DOUBLE / total, 1) ELSE 0.0 END::DOUBLE AS pct,
         CASE WHEN total > 0 THEN least(width, greatest(0, round_even(width * (current::DOUBLE / total), 0)::INT)) ELSE 0 END AS fill FROM (VALUES {BARS}) t(current, total, stage, width))""",
