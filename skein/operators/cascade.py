@@ -75,3 +75,24 @@ def delete(tables: dict[str, DataFrame], name: str, keep: tuple[str, ...] = ("ch
         if t not in keep and t != "workspaces" and "workspace" in df.columns:
             out[t] = df.where(~F.col("workspace").eqNullSafe(F.lit(asked)))
     return out, "deleted"
+
+
+def cleared(tables: dict[str, DataFrame], names: tuple[str, ...] = ("chunks", "cache")) -> dict[str, DataFrame]:
+    """The named tables without rows, as after a change of the embedding model: vectors and stat cache go, sources and settings stay."""
+    return {t: tables[t].limit(0) for t in names if t in tables}
+
+
+def reset(tables: dict[str, DataFrame], default: str = "Default") -> dict[str, DataFrame]:
+    """All tables without rows, but for the default workspace."""
+    out = cleared(tables, tuple(tables))
+    if "workspaces" in out:
+        one = out["workspaces"].sparkSession.range(1).select(F.lit("ws_" + default.lower()).alias("workspace_id"), F.lit(default).alias("name"))
+        out["workspaces"] = out["workspaces"].unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def settled(old: DataFrame, changes: dict[str, object]) -> DataFrame:
+    """A table of one row of settings, its id 1, with some of them changed; where there is no row, one is made. Other settings stay."""
+    one = old.sparkSession.range(1, 2).select(F.col("id").cast(old.schema["id"].dataType).alias("id"))
+    row = one.join(old.where("id = 1").dropDuplicates(["id"]), "id", "left")
+    return row.select(*((F.lit(changes[c]).cast(f.dataType) if c in changes else F.col(c)).alias(c) for c, f in ((f.name, f) for f in old.schema.fields)))

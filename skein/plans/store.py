@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cascade, dml
@@ -142,6 +144,17 @@ def manifest_cascades(spark, d):
     return _counted(store.read()).withColumn("version", F.lit(store.head().version))
 
 
+def manifest_resets(spark, d):
+    """Rows of each table after a clearing for another embedding model, and after a reset of everything: one commit each."""
+    store = Tables(spark, f"{folder(spark)}/skein/store-{uuid.uuid4().hex}")
+    store.write(_tables(spark, d))
+    seen = []
+    for step, f in (("all", lambda t: {}), ("cleared", cascade.cleared), ("reset", cascade.reset)):
+        store.change(f)
+        seen += [df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(t).alias("name"), "n") for t, df in store.read().items()]
+    return reduce(DataFrame.unionByName, seen)
+
+
 def transfer_folder(spark, d):
     t = _tables(spark, d)
     paths = spark.sql("""SELECT * FROM VALUES ('en', array('src1', " 'src5/' ")), ('de', array('src9/')), ('fr', array('src5')) AS t(workspace, paths)""")
@@ -212,7 +225,7 @@ def _web_sql(root: str, suffix: str) -> str:
 
 QUERIES = {f.__name__: f for f in (
     append_chunks, upsert_chunks, replace_pages, deleted_counts, delete_workspace, delete_local_docs, delete_file, delete_id, rename_workspace, transfer_source, root_source_consolidate, root_source_new,
-    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, cascade_outcomes, manifest_cascades, transfer_folder, transfer_web, link_unlink, links_of_workspace, urls_listed, url_hash_update)}
+    ledger_delete_root, url_add_if_absent, envelope_cache_put, cascade_rename, cascade_delete, cascade_outcomes, manifest_cascades, manifest_resets, transfer_folder, transfer_web, link_unlink, links_of_workspace, urls_listed, url_hash_update)}
 ORACLE = {
     "append_chunks": _sql("SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE doc_id % 20 = 7"),
     "upsert_chunks": _sql("SELECT doc_id, workspace, CASE WHEN doc_id % 20 = 7 THEN 'new' ELSE file_path END AS file_path FROM chunks"),
@@ -239,6 +252,8 @@ ORACLE = {
             WHEN EXISTS (SELECT 1 FROM documents WHERE lower(lang) = lower(n) AND lang <> own) THEN 'taken' ELSE 'renamed' END AS outcome FROM m""",
     "manifest_cascades": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL} SELECT name, workspace, count(*) AS n, 3 AS version FROM (SELECT name, CASE WHEN name = 'users' AND lower(workspace) IN ('es', 'ws_es') THEN 'ws_es' WHEN name <> 'users' AND workspace = 'es' THEN 'iberia' ELSE workspace END AS workspace FROM every)
         WHERE workspace <> 'fr' OR name IN ('chunks', 'users') GROUP BY ALL""",
+    "manifest_resets": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL}, n AS (SELECT name, count(*) AS n FROM every WHERE name <> 'users' GROUP BY name UNION ALL SELECT 'users', 3 UNION ALL SELECT 'workspaces', count(DISTINCT lang) FROM documents)
+        SELECT step, name, CASE step WHEN 'all' THEN n WHEN 'cleared' THEN CASE WHEN name IN ('chunks', 'cache') THEN 0 ELSE n END ELSE CASE WHEN name = 'workspaces' THEN 1 ELSE 0 END END AS n FROM n, (VALUES ('all'), ('cleared'), ('reset')) t(step)""",
     "transfer_folder": f"""WITH {CHUNKS_SQL}, {_TABLES_SQL}, p AS (SELECT workspace, unnest(string_split(x, ',')) AS x FROM (VALUES ('en', 'src1,src5'), ('de', 'src9'), ('fr', 'src5')) t(workspace, x))
         SELECT 'paths' AS name, workspace, count(*) AS n FROM (SELECT CASE WHEN workspace = 'en' AND x = 'src5' THEN 'de' ELSE workspace END AS workspace FROM p) GROUP BY ALL
         UNION ALL SELECT 'cache', workspace, count(*) FROM (SELECT CASE WHEN workspace = 'en' AND (file_path = 'src5' OR starts_with(file_path, 'src5/')) THEN 'de' ELSE workspace END AS workspace FROM cache) GROUP BY ALL
