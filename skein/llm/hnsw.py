@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, released, table
+from .common import discard, materialise, released, table
 
 SHARD_ROWS = 16_384
 #: Neighbours chosen for a new node, places of its list on the lowest layer and on others, and what an overflowing list is cut to.
@@ -366,7 +366,10 @@ def _searched(graphs: DataFrame, block: list[Row], k: int, keep: int, kind: str)
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, keep: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each query its k nearest rows of vectors but its own, ties to the smaller id."""
-    return search(index(vectors, k, shard_rows), queries, k, keep)
+    graphs = index(vectors, k, shard_rows)
+    found = search(graphs, queries, k, keep)  # written by now
+    discard(graphs)
+    return found
 
 
 def op12_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
