@@ -77,8 +77,9 @@ def fetched(asked: DataFrame, pages: DataFrame, today: str, rules: DataFrame | N
 def index_urls(registry: DataFrame, pages: DataFrame, today: str, rules: DataFrame | None = None, force: bool = False, text: Column | None = None, id_col: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """(outcomes, registry): single URLs of a registry (workspace, url, title, last_hash, etag, http_last_modified) asked for and indexed where they changed.
 
-    outcomes: workspace, url, outcome (indexed, unchanged, error), title, n_chars, document. A page that the server or its hash
-    calls unchanged is not indexed, unless forced; a page with no answer is an error and leaves its entry as it was.
+    outcomes: workspace, url, outcome (indexed, unchanged, error), title, n_chars, document, last_hash (the one in the registry
+    afterwards). A page that the server or its hash calls unchanged is not indexed, unless forced; a page with no answer is an
+    error and leaves its entry as it was. A URL that the registry has several times has as many outcomes and entries.
     """
     asked = registry.withColumnsRenamed({"title": "_old_title", "etag": "cached_etag", "http_last_modified": "cached_last_modified"})
     got = fetched(asked, pages, today, rules, id_col, text)
@@ -87,8 +88,9 @@ def index_urls(registry: DataFrame, pages: DataFrame, today: str, rules: DataFra
     got = got.withColumn("outcome", outcome)
     document = F.concat(F.lit("Web Document Title: "), "title", F.lit("\nSource URL: "), "url", F.lit("\n\n"), "content")
     new = F.col("outcome") == "indexed"
-    told = got.select("workspace", "url", "outcome", F.when(F.col("http_status") == 304, F.col("_old_title")).otherwise(F.col("title")).alias("title"), F.when(new, F.col("n_chars")).alias("n_chars"), F.when(new, document).alias("document"))
-    now = got.select("workspace", "url", F.when(new, F.col("title")).otherwise(F.col("_old_title")).alias("title"), F.when(new, F.col("content_hash")).otherwise(F.col("last_hash")).alias("last_hash"),
+    digest = F.when(new, F.col("content_hash")).otherwise(F.col("last_hash")).alias("last_hash")
+    told = got.select("workspace", "url", "outcome", F.when(F.col("http_status") == 304, F.col("_old_title")).otherwise(F.col("title")).alias("title"), F.when(new, F.col("n_chars")).alias("n_chars"), F.when(new, document).alias("document"), digest)
+    now = got.select("workspace", "url", F.when(new, F.col("title")).otherwise(F.col("_old_title")).alias("title"), digest,
                      F.when(new, F.col("etag")).otherwise(F.col("cached_etag")).alias("etag"), F.when(new, F.col("http_last_modified")).otherwise(F.col("cached_last_modified")).alias("http_last_modified"))
     return told, now
 

@@ -143,8 +143,8 @@ def fetch_conditional(spark, d):
 def single_url_index(spark, d):
     """The registry of single URLs after a synchronisation, with what came of each."""
     registry = _cached(spark, d).select(F.lit("w").alias("workspace"), "url", F.lit("kept").alias("title"), "last_hash", "etag", "http_last_modified")
-    told, now = fetch.index_urls(registry, _web(spark, d), "2030-01-01", text=F.col("html"))
-    return told.select("url", "outcome", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.sha2("document", 256).alias("document")).join(now.select("url", "last_hash"), "url")
+    told, _ = fetch.index_urls(registry, _web(spark, d), "2030-01-01", text=F.col("html"))
+    return told.select("url", "outcome", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.sha2("document", 256).alias("document"), "last_hash")
 
 
 QUERIES |= {f.__name__: f for f in (fetch_conditional, single_url_index)}

@@ -76,3 +76,18 @@ def test_unified_synchronisation(spark):
     got = sorted(map(tuple, fetch.unified(diff, none, crawled, spark.createDataFrame([("v",)], "workspace string"), ws).collect()))
     assert got == sorted([("u", "folders", "synchronised", 2, 1), ("u", "web", "up_to_date", 2, 0), ("u", "drives", "empty", 0, 0), ("v", "folders", "up_to_date", 1, 0), ("v", "web", "empty", 0, 0), ("v", "drives", "up_to_date", 1, 0),
                           ("w", "folders", "empty", 0, 0), ("w", "web", "synchronised", 2, 1), ("w", "drives", "empty", 0, 0)])
+
+
+def test_a_url_of_several_pages_has_one_outcome_each(spark, tmp_path):
+    import duckdb
+
+    from skein.plans import discovery
+
+    from .oracle import rows
+
+    pages = [(i, f"https://a.org/p{i // 2}", f"<title>T{i}</title>page {i}") for i in range(12)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = rows(discovery.single_url_index(spark, str(tmp_path)).toPandas())
+    assert len(got[1]) == 12 and got == rows(con.sql(discovery.ORACLE["single_url_index"]).df())
