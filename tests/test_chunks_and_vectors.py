@@ -1,8 +1,10 @@
 """Sentence chunks against a plain greedy loop, and embedding in batches against a provider that fails."""
 
+import json
 import random
 import re
 
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +144,61 @@ def test_queries_and_chunks_meet(spark):
     queries = E.embedded(docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "q"), "text", E.HashedWords(256))
     found = knn(chunks, queries, 1).collect()
     assert len(found) == 5 and all(r.score == 1.0 for r in found)
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = [" ", "  ", "\n", " \n", "\n\n", "\t", "\u00a0", "\x1c", "a", "word", "été", "中文", "𑨀ₐ", "¾", "'s", "...", ".", "…", '"', "<|endoftext|>", "12", "😀"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_counts_by_a_vocabulary_are_the_files_own(text):
+    v = S.vocabulary_of(VOCABULARY)
+    assert v.quick is not None
+    want = S._tokenizer(VOCABULARY).encode(text, add_special_tokens=False)
+    assert v.counts([text, "", text]) == [len(want.ids), 0, len(want.ids)] and v.spans(text) == want.offsets
+    for c in S.chunks_of(text, 5, 2, v):
+        assert c["tokens"] <= 5 and c["text"] == text[c["start"] : c["end"]]
+
+
+def test_other_tokenizer_files_count_by_themselves(tmp_path):
+    from tokenizers import Tokenizer
+
+    about = json.loads(Tokenizer.from_file(VOCABULARY).to_str())
+    assert S.ranked(about) is not None
+    texts = ["Hello there,  you", "a", ""]
+    merges = about["model"]["merges"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**about["model"], "merges": [merges[1], merges[0], *merges[2:]]}}, {"model": {**about["model"], "merges": merges[:-1]}}):
+        other = about | change
+        assert S.ranked(other) is None
+        path = str(tmp_path / "other.json")
+        with open(path, "w") as f:
+            json.dump(other, f)
+        S._tokenizer.cache_clear()
+        v = S.Vocabulary(path)
+        assert v.quick is None and v.counts(texts) == [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    S._tokenizer.cache_clear()
+
+
+def test_a_task_holds_one_slice_of_texts_and_one_call():
+    """What the functions hold grows with neither the rows nor the bytes of Arrow's batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skein.functions.workers import text_slices
+
+    assert [len(x) for x in text_slices(pa.array(["ab", None, "", "abcd", "a"]), 4)] == [3, 1, 1] and list(text_slices(pa.array([], pa.string()), 4)) == []
+
+    def peak(n):
+        col = pa.array(["Some words of a sentence. " * 40] * n)
+        cut = S.cut_batches(iter([col]), 16, 4)
+        tracemalloc.start()
+        rows = sum(len(x) for x in cut)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return top
+
+    peak(10)
+    assert peak(6000) < 1.5 * peak(1500)
