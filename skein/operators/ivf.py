@@ -136,7 +136,7 @@ class Index:
         rows, found = self.rows(), []
         probes = len(self.centroids) if exact else self.probes
         if probes:
-            for held in _blocks(_asked(queries, key)):
+            for held in _blocks(_asked(queries, key), arms):
                 near = cell_order(np.array([r["vector"] for r in held], dtype="float64"), self.centroids)[:, :probes]
                 read = np.unique(near).tolist()
                 source = rows if len(read) == len(self.centroids) else rows.where(F.col("cell").isin(read))  # partitions of other cells are not listed

@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import give_back
+
 #: Query vectors of one block, and their bytes; a block is held by the driver and sent to every task, and the chunks are read once a block.
 MAX_QUERIES, MAX_QUERY_BYTES = 10_000, 32 << 20
-#: Queries scored at a time in a task.
-SLICE = 256
+#: Rows that a block's queries may find in a task, 16 bytes each; and of these as many as become one batch.
+MAX_FOUND, FOUND_SLICE = 4_000_000, 200_000
+#: Scores that a task computes at a time, and the most queries of one such tile.
+SLICE_SCORES, SLICE = 1 << 19, 256
 
 
 def distance_score(distance: Column) -> Column:
@@ -38,7 +42,7 @@ def scan(chunks: DataFrame, queries: DataFrame, arms: list[Arm], key: str | None
     reads, so what is shuffled grows with tasks and not with chunks. Queries of any number are gone through in blocks.
     """
     source = _source(chunks, key, scopes, id_col)
-    found = [_block(source, held, arms, id_col) for held in _blocks(_asked(queries, key))]
+    found = [_block(source, held, arms, id_col) for held in _blocks(_asked(queries, key), arms)]
     return _best(found, arms, id_col) if found else _nothing(chunks, id_col)
 
 
@@ -68,11 +72,12 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, key: str | None = None, i
     return scan(chunks, queries, [Arm(0, k, "own" if key else "all")], key, None, id_col).drop("arm")
 
 
-def _blocks(rows: Iterator[Row]) -> Iterator[list[Row]]:
+def _blocks(rows: Iterator[Row], arms: list[Arm]) -> Iterator[list[Row]]:
+    most = max(1, min(MAX_QUERIES, MAX_FOUND // max(1, sum(a.k for a in arms))))
     held: list[Row] = []
     for r in rows:
         held.append(r)
-        if len(held) >= MAX_QUERIES or 8 * len(held) * len(r["vector"]) >= MAX_QUERY_BYTES:
+        if len(held) >= most or 8 * len(held) * len(r["vector"]) >= MAX_QUERY_BYTES:
             yield held
             held = []
     if held:
@@ -97,6 +102,12 @@ def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str, pro
         visits = {int(cell[by[i]]): query[by[i:j]] for i, j in zip(starts, [*starts[1:], len(by)])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from searched(batches)
+        finally:
+            give_back()
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {a: (np.full((len(names), a.k), -1.0), np.zeros((len(names), a.k), dtype="int64")) for a in arms}
         for batch in batches:
             if not len(batch):
@@ -120,10 +131,14 @@ def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str, pro
                 cells = batch.column(4).to_numpy()[order]
                 parts = [(np.nonzero(cells == c)[0], visits[c]) for c in np.unique(cells).tolist() if c in visits]
             for rows, asking in parts:
-                for a in range(0, len(asking), SLICE):
-                    at = asking[a : a + SLICE]
-                    d = norms[at, None] + length[None, rows] - 2 * matrix[at] @ x[rows].T
-                    score = np.round(1 / (1 + np.maximum(d, 0)), 6)
+                there, size = x[rows].T, max(1, min(SLICE, SLICE_SCORES // len(rows)))
+                for a in range(0, len(asking), size):
+                    at = asking[a : a + size]
+                    score = norms[at, None] + length[None, rows] - 2 * matrix[at] @ there
+                    np.maximum(score, 0, out=score)
+                    score += 1
+                    np.divide(1, score, out=score)
+                    np.round(score, 6, out=score)
                     mine = own[at]
                     for arm in arms:
                         s = score
@@ -135,8 +150,10 @@ def _block(source: DataFrame, held: list[Row], arms: list[Arm], id_col: str, pro
                             s = np.where(linked[mine][:, rows], score, -1.0)
                         _merge(*best[arm], at, s, ids[rows])
         for arm, (score, ids) in best.items():
-            r, c = np.nonzero(score >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[r, c]), pa.array(score[r, c]), pa.array(np.full(len(r), arm.number, dtype="int32"))], ["q", id_col, "score", "arm"])
+            size = max(1, FOUND_SLICE // max(1, arm.k))
+            for a in range(0, len(names), size):
+                r, c = np.nonzero(score[a : a + size] >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a + r]), pa.array(ids[a + r, c]), pa.array(score[a + r, c]), pa.array(np.full(len(r), arm.number, dtype="int32"))], ["q", id_col, "score", "arm"])
 
     return source.mapInArrow(run, f"q long, {id_col} long, score double, arm int")
 

@@ -136,6 +136,41 @@ def test_knn_goes_through_any_number_of_queries(spark, monkeypatch, key):
     assert got == want and search.knn(chunks, queries.limit(0), 4).count() == 0
 
 
+def test_a_search_task_is_bounded_by_tiles(monkeypatch):
+    """What a task holds besides its best rows does not grow with queries and batches; tiles and blocks of any size give the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (4000, 8)).astype("float32")
+
+    class Source:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def task(n_rows, n_queries):
+        held = [Row(q=i, key=None, vector=x[i].tolist()) for i in range(n_queries)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n_rows), pa.int64()), pa.array(list(x[:n_rows]), pa.list_(pa.float32())), pa.nulls(n_rows, pa.string()), pa.nulls(n_rows, pa.list_(pa.string()))], ["doc_id", "vector", "key", "scopes"])
+        run = search._block(Source(), held, [search.Arm(0, 5)], "doc_id")
+        tracemalloc.start()
+        out = [b.to_pylist() for b in run(iter([batch]))]
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sorted((r["q"], -r["score"], r["doc_id"]) for b in out for r in b), top
+
+    whole, _ = task(500, 300)
+    monkeypatch.setattr(search, "SLICE_SCORES", 1 << 14)
+    monkeypatch.setattr(search, "FOUND_SLICE", 64)
+    assert task(500, 300)[0] == whole and len(whole) == 1500
+    monkeypatch.setattr(search, "SLICE", 256)
+    assert task(4000, 256)[1] < 4_000_000  # 256 * 4000 scores at once would take 8 MB an array
+    blocks = lambda k: [len(b) for b in search._blocks(iter([Row(q=i, key=None, vector=[1.0]) for i in range(25)]), [search.Arm(0, k), search.Arm(1, 2)])]
+    monkeypatch.setattr(search, "MAX_FOUND", 100)
+    assert blocks(8) == [10, 10, 5] and blocks(200) == [1] * 25
+
+
 def test_chunking_is_linear(spark):
     import time
 
