@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import give_back
 from ..sources.scratch import scratch, small
 
 BATCH, TRIES, PAUSE = 50, 4, 1.5
@@ -83,13 +84,20 @@ def embedded(rows: DataFrame, text_col: str, provider: Provider, batch: int = BA
             got = called(provider, [t for _, t in some], pause=pause)
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.binary()), pa.array([v for v, _ in got], pa.list_(pa.float32())), pa.array([e for _, e in got], pa.string())], ["_key", "vector", "error"])
 
-        for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            while len(held) >= batch:
-                yield sent(held[:batch])
-                held = held[batch:]
-        if held:
-            yield sent(held)
+        try:
+            for b in batches:
+                at = 0
+                while at < len(b):  # no more rows become objects than one call takes
+                    some = b.slice(at, batch - len(held))
+                    at += len(some)
+                    held += zip(some.column(0).to_pylist(), some.column(1).to_pylist())
+                    if len(held) == batch:
+                        yield sent(held)
+                        held = []
+            if held:
+                yield sent(held)
+        finally:
+            give_back()
 
     with scratch(rows.sparkSession) as s:
         texts = rows.where(~blank).groupBy(key.alias("_key")).agg(F.first(text_col).alias("_text"))  # equal texts, equal keys
