@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import released, slices, table
-from .tokens import encoder, forget
+from .tokens import encoder
 
 CAPACITY, END_ID, OPEN_BINS = 1024, 2, 4096
 #: Pieces that a task holds and sorts at a time; the open bins go on from block to block.
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
                         out.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), PIECES)
 
 
 class BestFit:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, released, scratch, table
-from .tokens import encoder, forget
+from .tokens import encoder
 
 #: The end-of-document id of the vocabulary, and the bytes of one id of its files.
 SEPARATOR, WIDTH = 50_256, 2
@@ -69,7 +69,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                 [pa.array([name] * len(part)), pa.array([size] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int64()), pa.array(part, pa.int64())],
                 ["file", "bytes", "ordinal", "doc_id"])
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), FLAT), "flat-documents")
+    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), FLAT), "flat-documents")
 
 
 def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:

@@ -1,8 +1,6 @@
-"""Token ids of a public byte-level BPE vocabulary, with a bounded per-worker memo of space-delimited words.
+"""Token ids of a public byte-level BPE vocabulary, a whole text to a call.
 
-A boundary before a single space is always a boundary of the vocabulary's pre-tokeniser when the words on both sides
-have no white space at their ends, so such words are encoded once and their ids are joined. Any other text is encoded
-whole. Ids equal those of the `tokenizers` file of the same vocabulary with no special tokens added, and the tests hold
+Ids equal those of the `tokenizers` file of the same vocabulary with no special tokens added, and the tests hold
 them against it: the literal end-of-document marker in a text is its one id there. An encoder made with marker=False takes
 it as ordinary text, for uses in which that id must stand for ends of documents only.
 """
@@ -10,13 +8,17 @@ it as ordinary text, for uses in which that id must stand for ends of documents
 from __future__ import annotations
 
 import base64
+import re
+from functools import cached_property
 
-import numpy as np
-
-#: Words kept per task, and the longest of them; further words are encoded each time they occur. About 200 bytes each.
-MEMO_WORDS, MEMO_LETTERS = 100_000, 64
 #: The marker of the vocabulary's file, with its id (fixed values).
 MARKER, MARKER_ID = "<|endoftext|>", 50_256
+#: The vocabulary's pattern with its alternatives in another order: letters, which are most of a text, are tried before the
+#: contractions. Only the latter begin with an apostrophe, so both orders cut every text alike.
+SOLID = r" ?\p{L}+|'(?:[sdmt]|ll|ve|re)| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+PATTERN = SOLID + r"|\s+(?!\S)|\s+"
+#: What `\s` stands for in it.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_path() -> str:
@@ -29,41 +31,31 @@ class WordEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str | None = None, marker: bool = True):
-        import public_tokenizers
-        import tiktoken
-
         with open(path or default_path(), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={MARKER: MARKER_ID} if marker else {})
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.special = {MARKER: MARKER_ID} if marker else {}
+        self.bpe = self.encoding(PATTERN)
         #: One more than the greatest id.
-        self.size = max(max(ranks.values()), MARKER_ID if marker else 0) + 1
-        self.memo: dict[str, bytes] = {}
+        self.size = max(max(self.ranks.values()), MARKER_ID if marker else 0) + 1
+        #: Places before the last of several white characters that something else follows, which the pattern never joins.
+        self.joints = re.compile(f"(?<=[{WHITE}])(?=[{WHITE}][^{WHITE}])" + "".join(f"(?![{WHITE}]{re.escape(m)})" for m in self.special))
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+    def encoding(self, pattern: str):
+        import tiktoken
 
-    def word(self, w: str) -> bytes | None:
-        """Ids of one word after a space; None where the text must be encoded whole."""
-        if not w or w[0].isspace() or w[-1].isspace():
-            return None
-        got = self.ids(" " + w)
-        if len(self.memo) < MEMO_WORDS and len(w) <= MEMO_LETTERS:
-            self.memo[w] = got
-        return got
+        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.special)
+
+    @cached_property
+    def cut(self):
+        """For texts cut at their joints: there the pattern needs not look ahead."""
+        return self.encoding(SOLID + r"|\s+")
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.ids(text)
-        get = self.memo.get
-        parts = [get(w) for w in rest]
-        if None in parts:
-            for i, v in enumerate(parts):
-                if v is None:
-                    if (v := self.word(rest[i])) is None:
-                        return self.ids(text)
-                    parts[i] = v
-        return self.ids(first) + b"".join(parts)
+        try:
+            found = [self.bpe.encode_to_numpy(text, allowed_special="all")]
+        except ValueError:  # a million white characters in a row are more than the pattern can look ahead from
+            found = [self.cut.encode_to_numpy(t, allowed_special="all") for t in self.joints.split(text)]
+        return b"".join(x.astype("<u4", copy=False).tobytes() for x in found)
 
 
 _KEPT: dict[tuple[str | None, bool], WordEncoder] = {}
@@ -74,9 +66,3 @@ def encoder(path: str | None = None, marker: bool = True) -> WordEncoder:
     if (path, marker) not in _KEPT:
         _KEPT[path, marker] = WordEncoder(path, marker)
     return _KEPT[path, marker]
-
-
-def forget() -> None:
-    """Empty the memos of this worker, at the end of a task."""
-    for e in _KEPT.values():
-        e.memo = {}

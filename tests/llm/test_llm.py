@@ -42,6 +42,33 @@ def test_word_encoder_equals_the_tokenizer(spark, sf_dir):
             assert np.frombuffer(e.encode(t), "<u4").tolist() == want
 
 
+def test_a_text_of_rare_words_is_one_call(monkeypatch):
+    import tiktoken
+
+    calls = []
+    for name in ("encode", "encode_to_numpy"):
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, *a, real=getattr(tiktoken.Encoding, name), **k: (calls.append(text), real(self, text, *a, **k))[1])
+    text = " ".join(f"w{i}'s" for i in range(1000))
+    (want,) = reference_ids([text])
+    assert np.frombuffer(WordEncoder().encode(text), "<u4").tolist() == want and len(calls) == 1
+
+
+def test_ids_with_much_white_space():
+    white = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2028\u202f\u205f\u3000\x1c\x1f\u200b"
+    rng = np.random.default_rng(5)
+    parts = [*white, *white, "a", "é", "7", "!", "'s", "'ll", "'", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, size=n % 30)) for n in range(5000)]
+    for marker in (True, False):
+        e = WordEncoder(marker=marker)
+        for t, want in zip(texts, reference_ids(texts)):
+            if marker or "<|endoftext|>" not in t:
+                assert np.frombuffer(e.encode(t), "<u4").tolist() == want
+            by_parts = [e.cut.encode_to_numpy(p, allowed_special="all") for p in e.joints.split(t)]
+            assert b"".join(x.tobytes() for x in by_parts) == e.encode(t)
+    for text in (" " * 1_100_000 + "a", "a" + "\n" * 1_100_000 + "<|endoftext|> b"):
+        assert np.frombuffer(WordEncoder().encode(text), "<u4").tolist() == reference_ids([text])[0]
+
+
 def test_packing(spark):
     rows = ODD + [(100 + i, "some words here " * (i % 90)) for i in range(300)] + [(990, "<|endoftext|> hi <|endoftext|>")]
     got = packing.pack(table(spark, rows)).collect()
